@@ -4,6 +4,8 @@ A win table depends only on verdicts, which are keyed by ids, so texts never tak
 The roster is the listing of one results folder; prompts are the table that grows.
 """
 
+from itertools import combinations
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from prefloom.operators.judging import decide
 from prefloom.operators.ordering import fan_out, small_side
 
 MATCH_KEYS = ["prompt_id", "name_a", "name_b"]
+INLINE_MODELS = 64
 
 
 def comparable_models(registry, exclude=()):
@@ -29,18 +32,34 @@ def require_models(roster, minimum=2):
     return count
 
 
+def inline_names(roster, minimum=2):
+    """Names in order when the roster is small enough to be written into a plan, else None."""
+    names = sorted(row.model for row in roster.select("model").limit(INLINE_MODELS + 1).collect())
+    if len(names) < minimum:
+        raise ValueError(f"need at least {minimum} models to compare, found {len(names)}")
+    return names if len(names) <= INLINE_MODELS else None
+
+
+def _pair_literals(names):
+    return F.array(
+        *[
+            F.struct(F.lit(a).alias("name_a"), F.lit(b).alias("name_b"))
+            for a, b in combinations(names, 2)
+        ]
+    )
+
+
 def numbered_models(roster):
     """Models numbered by name. The roster is a folder listing, never the data."""
     position = F.row_number().over(Window.orderBy("model")) - 1
     return roster.select("model", position.alias("model_no"))
 
 
-def model_pairs(roster, count=None):
-    """Every unordered pair of models in name order, numbered.
+def numbered_pairs(roster, count):
+    """Every unordered pair of models in name order, numbered from 0, for a roster of any size.
 
     Model i emits the numbers of its later partners and meets them in an equi-join.
     """
-    count = require_models(roster) if count is None else count
     numbered = numbered_models(roster)
     first = (
         numbered.where(F.col("model_no") < count - 1)
@@ -48,25 +67,46 @@ def model_pairs(roster, count=None):
         .withColumn("partner_no", F.explode(F.sequence(F.col("model_no") + 1, F.lit(count - 1))))
     )
     second = numbered.select(F.col("model").alias("name_b"), F.col("model_no").alias("partner_no"))
-    before = F.col("model_no") * (2 * count - F.col("model_no") - 1) / 2
-    pair_no = before + F.col("partner_no") - F.col("model_no") - 1
+    model = F.col("model_no").cast("bigint")
+    before = F.floor(model * (2 * count - model - 1) / 2)
     return first.join(small_side(second, count), "partner_no").select(
-        pair_no.cast("int").alias("pair_no"), "name_a", "name_b"
+        (before + F.col("partner_no") - model - 1).cast("int").alias("pair_no"), "name_a", "name_b"
     )
 
 
+def model_pairs(roster):
+    """Every unordered pair of models in name order, and how many there are."""
+    names = inline_names(roster)
+    if names is None:
+        count = require_models(roster)
+        return numbered_pairs(roster, count).drop("pair_no"), count * (count - 1) // 2
+    pairs = roster.sparkSession.range(1).select(F.inline(_pair_literals(names)))
+    return pairs, len(names) * (len(names) - 1) // 2
+
+
 def match_items(prompts, roster):
     """One item per prompt and pair: what a judge has to decide."""
+    ids = prompts.select("prompt_id")
+    names = inline_names(roster)
+    if names is not None:
+        return ids.select("prompt_id", F.inline(_pair_literals(names)))
     count = require_models(roster)
-    pairs = model_pairs(roster, count)
-    return fan_out(prompts.select("prompt_id"), pairs, "pair_no", count * (count - 1) // 2)
+    return fan_out(ids, numbered_pairs(roster, count), "pair_no", count * (count - 1) // 2)
+
+
+def expected_generations(prompts, roster):
+    """One row per prompt and model: every response a comparison needs."""
+    ids = prompts.select("prompt_id")
+    names = inline_names(roster, 1)
+    if names is not None:
+        return ids.withColumn("model", F.explode(F.array(*[F.lit(name) for name in names])))
+    return fan_out(ids, numbered_models(roster), "model_no", require_models(roster, 1))
 
 
 def generation_gaps(prompts, roster, generations):
     """Prompts and models that still need a response."""
-    count = require_models(roster, 1)
-    expected = fan_out(prompts.select("prompt_id"), numbered_models(roster), "model_no", count)
-    return expected.join(generations, ["prompt_id", "model"], "left_anti")
+    made = generations.select("prompt_id", "model")
+    return expected_generations(prompts, roster).join(made, ["prompt_id", "model"], "left_anti")
 
 
 def match_texts(generations, roster):
@@ -75,15 +115,14 @@ def match_texts(generations, roster):
     A response of model A meets A's later partners through the small pair list, then the
     partner's response in one shuffled join; no third pass over the texts is needed.
     """
-    count = require_models(roster)
-    pairs = model_pairs(roster, count).drop("pair_no")
+    pairs, n_pairs = model_pairs(roster)
     first = generations.select(
         "prompt_id", F.col("model").alias("name_a"), F.col("response").alias("response_a")
     )
     second = generations.select(
         "prompt_id", F.col("model").alias("name_b"), F.col("response").alias("response_b")
     )
-    sided = first.join(small_side(pairs, count * (count - 1) // 2), "name_a")
+    sided = first.join(small_side(pairs, n_pairs), "name_a")
     return sided.join(second, ["prompt_id", "name_b"]).select(
         *MATCH_KEYS, "response_a", "response_b"
     )
@@ -100,7 +139,7 @@ def match_counts(judged, roster):
         F.count_if(F.col("sign") < 0).alias("b_wins"),
         F.count_if(F.col("sign") == 0).alias("ties"),
     )
-    pairs = model_pairs(roster).drop("pair_no")
+    pairs, _ = model_pairs(roster)
     return pairs.join(counts, ["name_a", "name_b"], "left").na.fill(0, ["a_wins", "b_wins", "ties"])
 
 
@@ -118,11 +157,13 @@ def leaderboard(counts, roster):
     `win_rate` keeps ties in the denominator, `decided_rate` leaves them out; both are null for
     a model without matches.
     """
-    a_side = counts.select(F.col("name_a").alias("model"), F.col("a_wins").alias("wins"), "ties",
-                           F.col("b_wins").alias("losses"))
-    b_side = counts.select(F.col("name_b").alias("model"), F.col("b_wins").alias("wins"), "ties",
-                           F.col("a_wins").alias("losses"))
-    sides = a_side.unionByName(b_side).groupBy("model").agg(
+    def side(name, won, lost):
+        return F.struct(
+            F.col(name).alias("model"), F.col(won).alias("wins"), F.col(lost).alias("losses"), "ties"
+        )
+
+    both = F.inline(F.array(side("name_a", "a_wins", "b_wins"), side("name_b", "b_wins", "a_wins")))
+    sides = counts.select(both).groupBy("model").agg(
         F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.sum("ties").alias("ties")
     )
     board = roster.select("model").join(sides, "model", "left").na.fill(0)

@@ -9,8 +9,8 @@ small table that is aggregated before it is shuffled.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 16
-KEY_BITS = 48
+BLOCK_BITS = 20
+KEY_BITS = 40
 TOP_K_ROWS = 10_000
 BROADCAST_ROWS = 100_000
 
@@ -36,11 +36,10 @@ def running_aggregates(df, order, aggregates, by=(), inclusive=True, bits=BLOCK_
     by = list(by)
     end = Window.currentRow if inclusive else -1
     top = span <= bits
-    block = [] if top else ["_block"]
-    blocked = df if top else df.withColumn("_block", F.shiftright(F.col(order), bits))
-    window = (
-        Window.partitionBy(*by, *block).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
-    )
+    block = f"_block_{order}"
+    blocked = df if top else df.withColumn(block, F.shiftright(F.col(order), bits))
+    cells = by if top else [*by, block]
+    window = Window.partitionBy(*cells).orderBy(order).rowsBetween(Window.unboundedPreceding, end)
     running = {
         name: _AGGREGATES[how][0](column).over(window) for name, (how, column) in aggregates.items()
     }
@@ -53,25 +52,25 @@ def running_aggregates(df, order, aggregates, by=(), inclusive=True, bits=BLOCK_
             }
         )
 
-    totals = blocked.groupBy(*by, "_block").agg(
+    totals = blocked.groupBy(*cells).agg(
         *[_AGGREGATES[how][0](column).alias(f"_total_{name}") for name, (how, column) in aggregates.items()]
     )
     carried = running_aggregates(
         totals,
-        "_block",
+        block,
         {f"_before_{name}": (how, F.col(f"_total_{name}")) for name, (how, _) in aggregates.items()},
         by=by,
         inclusive=False,
         bits=bits,
         span=span - bits,
-    ).select(*by, "_block", *[f"_before_{name}" for name in aggregates])
+    ).select(*cells, *[f"_before_{name}" for name in aggregates])
 
     within = blocked.withColumns({f"_within_{name}": column for name, column in running.items()})
     combined = [
         _AGGREGATES[how][1](F.col(f"_within_{name}"), F.col(f"_before_{name}")).alias(name)
         for name, (how, _) in aggregates.items()
     ]
-    return within.join(carried, [*by, "_block"], "left").select(*df.columns, *combined)
+    return within.join(carried, cells, "left").select(*df.columns, *combined)
 
 
 def with_position(df, key, name="position", bits=BLOCK_BITS, span=KEY_BITS):

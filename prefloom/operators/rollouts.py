@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import metrics as M
 from prefloom.functions.text import reward_input_of
-from prefloom.operators.ordering import running_aggregates
+from prefloom.operators.ordering import running_aggregates, with_position
 
 SLOT_KEYS = ["run_id", "step", "slot"]
 
@@ -38,10 +38,11 @@ def cursor_positions(slots, n_prompts, batch_size=M.BATCH_SIZE):
     )
 
 
-def batch_cursor(slots, positioned_prompts, batch_size=M.BATCH_SIZE):
-    """The prompt of every slot. Prompts bring `position`; their count is a subquery."""
-    count = positioned_prompts.agg(F.count("*")).scalar()
-    return cursor_positions(slots, count, batch_size).join(positioned_prompts, "position")
+def batch_cursor(slots, prompts, key="prompt_id", batch_size=M.BATCH_SIZE):
+    """The prompt of every slot, prompts standing in key order."""
+    count = prompts.agg(F.count("*")).scalar()
+    placed = cursor_positions(slots, count, batch_size)
+    return placed.join(with_position(prompts, key), "position")
 
 
 def zip_rollout(*parts, keys=SLOT_KEYS):

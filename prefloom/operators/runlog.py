@@ -46,22 +46,24 @@ def nan_steps(metrics):
     return metrics.where(M.is_nan_step())
 
 
-def rollback_targets(metrics):
+def rollback_targets(metrics, order="step"):
     """For each failed step the newest snapshot before it; null is the state at run start.
 
-    A snapshot is taken at every tenth step that is not itself failed. The newest one before a
-    step is the running maximum of snapshot steps, which is carried across blocks of steps.
+    A snapshot is taken at every tenth step that is not itself failed. The newest one is the
+    running maximum of snapshot steps, which is carried across blocks of steps. A run that was
+    resumed may log a step twice: order it by its line number instead.
     """
     step = F.col("step")
-    flagged = metrics.select("run_id", "step", M.is_nan_step().alias("_nan"))
-    snapshot = F.when(~F.col("_nan") & M.is_snapshot_step(step), step)
-    return (
-        running_aggregates(
-            flagged, "step", {"restore_step": ("max", snapshot)}, by=["run_id"], inclusive=False
-        )
-        .where("_nan")
-        .drop("_nan")
-    )
+    keys = ["run_id", "step"] if order == "step" else ["run_id", "step", order]
+    flagged = metrics.select(*keys, M.is_nan_step().alias("_nan"))
+    taken = step if order == "step" else F.struct(order, "step")
+    snapshot = F.when(~F.col("_nan") & M.is_snapshot_step(step), taken)
+    newest = running_aggregates(
+        flagged, order, {"restore_step": ("max", snapshot)}, by=["run_id"], inclusive=False
+    ).where("_nan")
+    if order != "step":
+        newest = newest.withColumn("restore_step", F.col("restore_step.step"))
+    return newest.drop("_nan")
 
 
 def saved_steps(metrics):

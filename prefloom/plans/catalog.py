@@ -203,12 +203,8 @@ def eval_report(spark, folder):
 # --- rollouts --------------------------------------------------------------------------------
 
 
-def _positioned_prompts(spark, folder):
-    return ordering.with_position(inputs.prompt_ids(spark, folder), "prompt_id")
-
-
 def positions(spark, folder):
-    return _positioned_prompts(spark, folder)
+    return ordering.with_position(inputs.prompt_ids(spark, folder), "prompt_id")
 
 
 def first_prompts(spark, folder):
@@ -221,7 +217,7 @@ def batch_cursor(spark, folder):
     """The prompt of every slot, for as many steps as the longest run logged."""
     last = inputs.rollouts(spark, folder).agg(F.max("step")).first()[0]
     slots = rollouts.batch_slots(spark, 0, last + 1)
-    return rollouts.batch_cursor(slots, _positioned_prompts(spark, folder))
+    return rollouts.batch_cursor(slots, inputs.prompt_ids(spark, folder))
 
 
 def rollout_rows(spark, folder):
@@ -231,7 +227,7 @@ def rollout_rows(spark, folder):
     asked = inputs.candidates(spark, folder).select(
         F.col("cand_id").alias("prompt_id"), "prompt", "response_a", "response_b"
     )
-    cursor = rollouts.batch_cursor(slots, _positioned_prompts(spark, folder))
+    cursor = rollouts.batch_cursor(slots, inputs.prompt_ids(spark, folder))
     sampled = cursor.join(asked, "prompt_id")
     answer = F.when(F.col("step") % 2 == 0, F.col("response_a")).otherwise(F.col("response_b"))
     sampled = sampled.select(*rollouts.SLOT_KEYS, "prompt_id", "prompt", answer.alias("response"))

@@ -12,7 +12,6 @@ from prefloom.operators.matchups import match_items
 from prefloom.operators.transcripts import split_transcripts
 
 SEED = "s"
-MODELS = ["dpo", "ppo", "sft"]
 REPLIES = ["A", "B", "TIE", " a\n", "Answer: B", "both", "I think B", "equal"]
 RUNS = 4
 STEPS_REQUESTED = 500
@@ -98,9 +97,7 @@ def label_attempts(spark, folder):
 
 def roster(spark):
     """The compared checkpoints, as a folder listing would give them."""
-    return spark.range(1).select(
-        F.explode(F.array(*[F.lit(name) for name in MODELS])).alias("model")
-    )
+    return spark.sql("SELECT model FROM VALUES ('dpo'), ('ppo'), ('sft') AS models(model)")
 
 
 def generations(spark, folder):

@@ -1,0 +1,121 @@
+import pytest
+from pyspark.sql import functions as F
+
+from prefloom.operators import ordering, runlog
+
+NAN, INF = float("nan"), float("inf")
+METRIC = "run_id BIGINT, step BIGINT, mean_reward DOUBLE, kl DOUBLE, val_var_explained DOUBLE, policy_loss DOUBLE"
+
+LINES = [
+    "loading weights",
+    "/x/trainer.py:1237: UserWarning: The average ratio of batch (573.82) exceeds threshold 10.00. Skipping batch.",
+    "  warnings.warn(",
+    "/x/trainer.py:1304: UserWarning: KL divergence is starting to become negative: -685.57 - this might be a precursor",
+    "step 200/500  mean_reward=-2.766  kl=-0.4009  val_var_explained=0.897  policy_loss=0.0428",
+    "  [checkpoint saved at step 200 -> /w/results/ppo_checkpoint]",
+    "step 201/500  NaN detected (kl=nan policy_loss=0.11061) -- rolling back to last known-good weights and continuing",
+    "step 202/500  mean_reward=inf  kl=0.2994  val_var_explained=-inf  policy_loss=3.1e-05",
+    "torch.OutOfMemoryError: CUDA out of memory. Tried to allocate 2.61 GiB. GPU 0 has a total capacity of 44.42 GiB",
+]
+
+
+def parsed(spark, lines=LINES):
+    rows = [(1, i, line) for i, line in enumerate(lines)]
+    return runlog.parse_log(spark.createDataFrame(rows, "run_id BIGINT, line_no BIGINT, value STRING"))
+
+
+def test_parse_log(spark):
+    rows = parsed(spark).orderBy("line_no").collect()
+    assert [r.kind for r in rows] == [
+        "ratio_skip", "negative_kl", "step", "checkpoint", "nan_rollback", "step", "out_of_memory",
+    ]
+    ratio, negative, step, checkpoint, failed, odd, memory = rows
+    assert (ratio.ratio, ratio.ratio_threshold, negative.negative_kl) == (573.82, 10.0, -685.57)
+    assert (step.step, step.steps_requested, step.mean_reward, step.kl) == (200, 500, -2.766, -0.4009)
+    assert (step.val_var_explained, step.policy_loss) == (0.897, 0.0428)
+    assert (checkpoint.step, checkpoint.path) == (200, "/w/results/ppo_checkpoint")
+    assert failed.step == 201 and failed.kl != failed.kl and failed.policy_loss == 0.11061
+    assert failed.mean_reward is None
+    assert (odd.mean_reward, odd.val_var_explained, odd.policy_loss) == (INF, -INF, 3.1e-05)
+    assert memory.memory_wanted == 2.61
+
+
+def test_run_summary(spark):
+    row = runlog.run_summary(parsed(spark)).first().asDict()
+    assert row == {
+        "run_id": 1, "steps_logged": 2, "steps_requested": 500, "last_step": 202, "nan_rollbacks": 1,
+        "ratio_skips": 1, "max_ratio": 573.82, "negative_kl_warnings": 1, "checkpoints": 1,
+        "out_of_memory": True,
+    }
+
+
+def test_unstable_batches(spark):
+    assert [r.ratio for r in runlog.unstable_batches(parsed(spark)).collect()] == [573.82]
+    assert runlog.unstable_batches(parsed(spark), limit=1000).count() == 0
+
+
+def metrics(spark, rows):
+    return spark.createDataFrame(rows, METRIC)
+
+
+def run(spark, bad, steps):
+    return metrics(spark, [(0, s, 1.0, NAN if s in bad else 0.5, 0.1, 0.2) for s in steps])
+
+
+@pytest.mark.parametrize("bits", [2, 20])
+def test_rollback_targets(spark, monkeypatch, bits):
+    monkeypatch.setattr(
+        runlog, "running_aggregates",
+        lambda *args, **kw: ordering.running_aggregates(*args, bits=bits, span=2 * bits + 1, **kw),
+    )
+    frame = run(spark, {9, 15, 20, 21, 31}, range(32))
+    got = {r.step: r.restore_step for r in runlog.rollback_targets(frame).collect()}
+    assert got == {9: 0, 15: 10, 20: 10, 21: 10, 31: 30}
+    first = run(spark, {0, 3}, range(5))
+    assert {r.step: r.restore_step for r in runlog.rollback_targets(first).collect()} == {0: None, 3: None}
+
+
+def test_rollback_in_a_resumed_run_follows_the_log(spark):
+    order = [10, 11, 20, 21, 10, 11, 12]
+    rows = [(0, s, 1.0, NAN if i in (3, 6) else 0.5, 0.1, 0.2, i) for i, s in enumerate(order)]
+    frame = spark.createDataFrame(rows, METRIC + ", line_no BIGINT")
+    got = runlog.rollback_targets(frame, order="line_no").collect()
+    assert {r.line_no: (r.step, r.restore_step) for r in got} == {3: (21, 20), 6: (12, 10)}
+
+
+def test_nan_steps(spark):
+    rows = [
+        (0, 0, 1.0, 0.1, 0.1, 0.1), (0, 1, 1.0, NAN, 0.1, 0.1), (0, 2, 1.0, 0.1, None, 0.1),
+        (0, 3, 1.0, 0.1, 0.1, NAN), (0, 4, NAN, 0.1, 0.1, 0.1), (0, 5, 1.0, INF, 0.1, -INF),
+    ]
+    assert sorted(r.step for r in runlog.nan_steps(metrics(spark, rows)).collect()) == [1, 2, 3]
+
+
+def test_saved_steps(spark):
+    frame = run(spark, {100, 110}, range(0, 201, 5))
+    got = {r.step: (r.snapshot, r.checkpoint) for r in runlog.saved_steps(frame).collect()}
+    assert got[0] == (True, False) and got[100] == (False, True) and got[200] == (True, True)
+    assert 110 not in got and 5 not in got
+
+
+def test_unstable_steps(spark):
+    rows = [(0, s, 1.0, kl, 0.1, 0.1) for s, kl in enumerate([9.0, 9.01, NAN, INF, -50.0, None])]
+    assert sorted(r.step for r in runlog.unstable_steps(metrics(spark, rows)).collect()) == [1, 3]
+
+
+def test_run_trend(spark):
+    rows = [(r, s, -1.0 - r * s, NAN if s == 4 else float(s % 2), 0.1, 0.1) for r in (1, 2) for s in range(10)]
+    got = {r.run_id: r for r in runlog.run_trend(metrics(spark, rows)).collect()}
+    assert got[1].reward_slope == pytest.approx(-1.0) and got[2].reward_slope == pytest.approx(-2.0)
+    kls = [s % 2 for s in range(10) if s != 4]
+    mean = sum(kls) / 9
+    assert got[1].kl_spread == pytest.approx((sum((k - mean) ** 2 for k in kls) / 9) ** 0.5)
+    assert got[1].steps == 10 and got[1].nan_steps == 1
+
+
+def test_parsing_never_shuffles(spark):
+    lines = spark.range(1).select(
+        F.col("id").alias("run_id"), F.col("id").alias("line_no"), F.lit("x").alias("value")
+    )
+    plan = runlog.parse_log(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan

@@ -1,0 +1,99 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from prefloom.functions import text as T
+from prefloom.operators import transcripts
+
+MARK = "\n\nAssistant:"
+
+
+def split(spark, *texts):
+    frame = spark.createDataFrame(list(enumerate(texts)), "i INT, transcript STRING")
+    rows = transcripts.split_transcripts(frame).orderBy("i").collect()
+    return [(row.prompt, row.response, row.has_marker) for row in rows]
+
+
+def test_split_edge_rows(spark):
+    many = f"\n\nHuman: a{MARK} b\n\nHuman: c{MARK}  d "
+    unicode_edges = f"\n\nHuman: é{MARK}\u00a0\u3000x y\u001c\u2029"
+    assert split(spark, many, MARK, "no marker at all here 12345", "short", unicode_edges) == [
+        (f"\n\nHuman: a{MARK} b\n\nHuman: c{MARK}", "d", True),
+        (MARK, "", True),
+        ("no marker a", "t all here 12345", False),
+        ("short", "", False),
+        (f"\n\nHuman: é{MARK}", "x y", True),
+    ]
+
+
+def test_null_transcript_stays_null(spark):
+    assert split(spark, None) == [(None, None, None)]
+
+
+def test_strip_list_is_pythons():
+    assert len(T.STRIP_CHARS) == 29
+    assert all(not c.strip() for c in T.STRIP_CHARS)
+
+
+PIECES = st.sampled_from(["a", "é", "🙂", " ", "\n", "\n\n", "Assistant:", MARK, "\u00a0", "\x1c", "%", "{}"])
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=8).map("".join), min_size=20, max_size=20))
+def test_split_matches_python(spark, texts):
+    for text, (prompt, response, marked) in zip(texts, split(spark, *texts)):
+        head, mark, tail = text.rpartition(MARK)
+        assert marked == bool(mark)
+        if marked:
+            assert (prompt, response) == (head + mark, tail.strip())
+        else:
+            assert (prompt, response) == (text[:11], text[11:].strip())
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.lists(PIECES, max_size=6).map("".join), min_size=20, max_size=20))
+def test_joined_text_splits_back(spark, responses):
+    usable = [r for r in responses if MARK not in " " + r]
+    joined = [f"\n\nHuman: q{MARK} {r}" for r in usable]
+    assert [row[1] for row in split(spark, *joined)] == [r.strip() for r in usable]
+
+
+def test_training_rows(spark):
+    pairs = spark.createDataFrame(
+        [(1, f"\n\nHuman: q{MARK}  yes ", f"\n\nHuman: other{MARK} no", "human")],
+        "pair_id BIGINT, chosen STRING, rejected STRING, labeler STRING",
+    )
+    assert transcripts.sft_rows(pairs).collect() == [(1, f"\n\nHuman: q{MARK} yes")]
+    triples = transcripts.dpo_triples(pairs)
+    assert triples.columns == ["pair_id", "prompt", "chosen", "rejected"]
+    assert triples.collect() == [(1, f"\n\nHuman: q{MARK}", "yes", "no")]
+    assert transcripts.prompts_only(pairs, "chosen").collect() == [(1, f"\n\nHuman: q{MARK}")]
+
+
+def test_reward_input_has_no_space(spark):
+    rows = spark.createDataFrame([("p", "r")], "prompt STRING, response STRING")
+    assert transcripts.reward_inputs(rows).first().reward_input == "pr"
+    padded = spark.createDataFrame([(" r\x1c", " s ")], "a STRING, b STRING")
+    assert transcripts.strip_columns(padded, "a", "b").collect() == [("r", "s")]
+
+
+def test_token_budgets(spark):
+    rows = spark.createDataFrame([(1, " a  b\nc d "), (2, ""), (3, "é")], "id INT, text STRING")
+    head = transcripts.token_budget(rows, "id", "text", 3).orderBy("id").collect()
+    assert head == [(1, 4, True, "a b c"), (2, 0, False, ""), (3, 1, False, "é")]
+    tail = transcripts.token_budget(rows, "id", "text", 3, "tail").orderBy("id").collect()
+    assert [row.kept for row in tail] == ["b c d", "", "é"]
+    pairs = spark.createDataFrame([(7, "x y z", "x")], "pair_id BIGINT, chosen STRING, rejected STRING")
+    assert transcripts.reward_model_rows(pairs, 2).first().asDict() == {
+        "pair_id": 7,
+        "tokens_chosen": ["x", "y"], "n_tokens_chosen": 3, "truncated_chosen": True,
+        "tokens_rejected": ["x"], "n_tokens_rejected": 1, "truncated_rejected": False,
+    }
+
+
+def test_expressions_run_in_codegen(spark):
+    frame = spark.createDataFrame([("x",)], "transcript STRING")
+    plan = transcripts.split_transcripts(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+    assert "*(1) Project" in plan
+    assert frame.select(T.prompt_of(F.col("transcript"))).first()[0] == "x"
