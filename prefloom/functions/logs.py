@@ -15,6 +15,9 @@ RATIO_LINE = (
 NEGATIVE_KL_LINE = r"KL divergence is starting to become negative: (-?[0-9.]+)"
 OUT_OF_MEMORY_LINE = r"OutOfMemoryError: CUDA out of memory\. Tried to allocate ([0-9.]+) ([A-Za-z]+)"
 
+# What separates the words of a step or rollback line.
+WORD_BREAK = r"[ /=()]+"
+
 # Kind, a fragment every line of that kind holds, and its pattern.
 KINDS = [
     ("step", "mean_reward=", STEP_LINE),

@@ -87,7 +87,9 @@ def decide(items, attempts, keys, reading, seed):
     An item without an answer gets side A as shown, which after the un-swap is a coin flip;
     `defaulted` marks those.
     """
-    resolved = resolve_attempts(attempts, keys, reading)
+    # Verdicts are a few bytes per item and unique: hashing them lets items, which may carry
+    # whole texts, stream past unsorted.
+    resolved = resolve_attempts(attempts, keys, reading).hint("shuffle_hash")
     joined = with_swap(items, keys, seed).join(resolved, keys, "left")
     shown = F.coalesce(F.col("sign"), F.lit(V.A))
     return joined.withColumn("defaulted", F.col("sign").isNull()).withColumn(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 BLOCK_BITS = 20
 KEY_BITS = 40
-TOP_K_ROWS = 10_000
 BROADCAST_ROWS = 100_000
 
 
@@ -79,18 +78,35 @@ def with_position(df, key, name="position", bits=BLOCK_BITS, span=KEY_BITS):
     return ranked.withColumn(name, F.col(name).cast("bigint"))
 
 
+def nth_key(df, n, key, bits=BLOCK_BITS, span=KEY_BITS):
+    """The n-th smallest of a unique integer key as a scalar subquery; null when there are fewer.
+
+    Only keys are read. Counts per block are combined before their shuffle, and only the one
+    block that holds the answer is ranked.
+    """
+    keys = df.select(key, F.shiftright(F.col(key), bits).alias("_block"))
+    counts = keys.groupBy("_block").agg(F.count("*").alias("_n"))
+    running = running_aggregates(
+        counts, "_block", {"_before": ("sum", F.col("_n"))}, inclusive=False, bits=bits, span=span - bits
+    )
+    holder = running.where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(key))
+    # At most one block qualifies, so the broadcast is one row.
+    inside = keys.join(F.broadcast(holder), "_block").withColumn("_rank", rank + F.col("_before"))
+    return inside.where(F.col("_rank") == n).select(key).scalar()
+
+
 def first_n(df, n, key):
-    """The first n rows by a unique integer key. None and 0 mean no cap.
+    """The first n rows by a unique integer key, in no particular order. None and 0 mean no cap.
 
-    A small n is a top-k; a large one filters by position, so no task holds n rows.
+    Rows are kept by comparing their key with the n-th one: a filter, however large n is, where
+    a sorted limit would send n whole rows of every partition to one task.
     """
     if n is None or n == 0:
         return df
     if n < 0:
         raise ValueError("n must not be negative")
-    if n <= TOP_K_ROWS:
-        return df.orderBy(key).limit(n)
-    return with_position(df, key, "_position").where(F.col("_position") < n).drop("_position")
+    return df.where(F.col(key) <= F.coalesce(nth_key(df, n, key), F.col(key)))
 
 
 def fan_out(df, numbered, number, count):

@@ -8,37 +8,41 @@ from prefloom.operators.ordering import running_aggregates
 
 
 def parse_log(lines):
-    """One row per metric or event line; other lines carry nothing and are left out."""
-    line = F.col("value")
-    kind = F.col("kind")
+    """One row per metric or event line; other lines carry nothing and are left out.
+
+    Step and rollback lines are most of what is kept. Their kind has already checked their
+    format, so they are split into words once instead of being matched again for every field.
+    """
+    line, kind, words = F.col("value"), F.col("kind"), F.col("_words")
+    is_step, is_failed = kind == "step", kind == "nan_rollback"
     tagged = lines.withColumn("kind", L.line_kind(line)).where(kind.isNotNull())
+    split = tagged.withColumn("_words", F.when(is_step | is_failed, F.split(line, L.WORD_BREAK)))
+
+    def word(cast, step=None, failed=None):
+        pick = F.lit(None)
+        if failed is not None:
+            pick = F.when(is_failed, F.get(words, F.lit(failed)))
+        return F.when(is_step, F.get(words, F.lit(step))).otherwise(pick).try_cast(cast)
 
-    def by_kind(cast, **patterns):
-        pick = F.lit(None).cast(cast)
-        for name, (pattern, group) in patterns.items():
-            pick = F.when(kind == name, L.field(line, pattern, group, cast)).otherwise(pick)
-        return pick
+    def match(name, pattern, group, cast):
+        return F.when(kind == name, L.field(line, pattern, group, cast))
 
-    return tagged.select(
+    saved_step = match("checkpoint", L.CHECKPOINT_LINE, 1, "bigint")
+    return split.select(
         "run_id",
         "line_no",
         "kind",
-        by_kind(
-            "bigint",
-            step=(L.STEP_LINE, 1),
-            nan_rollback=(L.NAN_LINE, 1),
-            checkpoint=(L.CHECKPOINT_LINE, 1),
-        ).alias("step"),
-        by_kind("bigint", step=(L.STEP_LINE, 2), nan_rollback=(L.NAN_LINE, 2)).alias("steps_requested"),
-        by_kind("double", step=(L.STEP_LINE, 3)).alias("mean_reward"),
-        by_kind("double", step=(L.STEP_LINE, 4), nan_rollback=(L.NAN_LINE, 3)).alias("kl"),
-        by_kind("double", step=(L.STEP_LINE, 5)).alias("val_var_explained"),
-        by_kind("double", step=(L.STEP_LINE, 6), nan_rollback=(L.NAN_LINE, 4)).alias("policy_loss"),
-        by_kind("double", ratio_skip=(L.RATIO_LINE, 1)).alias("ratio"),
-        by_kind("double", ratio_skip=(L.RATIO_LINE, 2)).alias("ratio_threshold"),
-        by_kind("double", negative_kl=(L.NEGATIVE_KL_LINE, 1)).alias("negative_kl"),
-        F.when(kind == "checkpoint", F.regexp_extract(line, L.CHECKPOINT_LINE, 2)).alias("path"),
-        by_kind("double", out_of_memory=(L.OUT_OF_MEMORY_LINE, 1)).alias("memory_wanted"),
+        F.coalesce(word("bigint", 1, 1), saved_step).alias("step"),
+        word("bigint", 2, 2).alias("steps_requested"),
+        word("double", 4).alias("mean_reward"),
+        word("double", 6, 6).alias("kl"),
+        word("double", 8).alias("val_var_explained"),
+        word("double", 10, 8).alias("policy_loss"),
+        match("ratio_skip", L.RATIO_LINE, 1, "double").alias("ratio"),
+        match("ratio_skip", L.RATIO_LINE, 2, "double").alias("ratio_threshold"),
+        match("negative_kl", L.NEGATIVE_KL_LINE, 1, "double").alias("negative_kl"),
+        match("checkpoint", L.CHECKPOINT_LINE, 2, "string").alias("path"),
+        match("out_of_memory", L.OUT_OF_MEMORY_LINE, 1, "double").alias("memory_wanted"),
     )
 
 

@@ -14,11 +14,16 @@ def request_labels(spark, candidates_path, out_path, seed, max_samples=None):
 
 
 def label_candidates(spark, candidates_path, verdicts_path, out_path, seed, max_samples=None):
-    """Write labelled pairs for a candidate file and its recorded replies; returns their audit."""
+    """Label a candidate file with its recorded replies; returns the audit of the labels.
+
+    The labels are stored once, as parquet in `out_path`/labelled, and both the JSON lines in
+    `out_path`/pairs and the audit are taken from there.
+    """
     candidates = files.read_candidates(spark, candidates_path, max_samples)
     attempts = files.read_verdicts(spark, verdicts_path)
-    labelled = judging.label_pairs(candidates, attempts, seed)
-    sinks.write_labelled_pairs(judging.pair_transcripts(labelled, "ai"), out_path)
+    judging.label_pairs(candidates, attempts, seed).write.mode("overwrite").parquet(f"{out_path}/labelled")
+    labelled = spark.read.parquet(f"{out_path}/labelled")
+    sinks.write_labelled_pairs(judging.pair_transcripts(labelled, "ai"), f"{out_path}/pairs")
     return audit.label_audit(labelled)
 
 
@@ -36,11 +41,7 @@ def evaluate_models(
     items = matchups.match_items(prompts, roster)
     judged = matchups.judge_matches(items, files.read_verdicts(spark, verdicts_path, "match"), seed)
     counts = matchups.match_counts(judged, roster)
-    board = matchups.leaderboard(counts, roster)
-    sinks.write_eval_raw(prompts, generations, counts, board, f"{results}/eval_raw")
-    stored = {
-        name: spark.read.parquet(f"{results}/eval_raw/{name}") for name in ("matchups", "wins", "prompts")
-    }
+    stored = sinks.write_eval_raw(prompts, generations, counts, roster, f"{results}/eval_raw")
     lines = sinks.report_lines(
         stored["matchups"],
         stored["wins"],

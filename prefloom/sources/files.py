@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from prefloom import schemas
 from prefloom.functions.text import strip
-from prefloom.operators.ordering import BROADCAST_ROWS, first_n, small_side
+from prefloom.operators.ordering import small_side
 
 # Fixed value: the subset of human pairs that is read.
 HUMAN_SUBSET = "helpful-base"
@@ -50,8 +50,11 @@ def _json_lines(spark, schema, path):
 
 
 def _numbered(lines, id_name, max_samples):
-    rows = with_file_order(lines, id_name)
-    return first_n(rows.select(id_name, *lines.columns), max_samples, id_name)
+    """Lines with their position as id, the first `max_samples` of them; None and 0 mean all."""
+    rows = with_file_order(lines, id_name).select(id_name, *lines.columns)
+    if max_samples is not None and max_samples < 0:
+        raise ValueError("max_samples must not be negative")
+    return rows.where(F.col(id_name) < max_samples) if max_samples else rows
 
 
 def read_human_pairs(spark, root, split="train", max_samples=None, subset=HUMAN_SUBSET):
@@ -126,17 +129,3 @@ def _table(spark, path, schema):
         return _json_lines(spark, schema, path)
     return spark.read.schema(schema).parquet(path)
 
-
-__all__ = [
-    "BROADCAST_ROWS",
-    "read_candidates",
-    "read_generations",
-    "read_human_pairs",
-    "read_labelled_pairs",
-    "read_log",
-    "read_preference_pairs",
-    "read_registry",
-    "read_rollouts",
-    "read_verdicts",
-    "with_file_order",
-]

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from prefloom.operators.matchups import leaderboard
+
 DOCUMENT_CELLS = 100_000
 
 
@@ -56,27 +58,33 @@ def _map_of(key, value):
     return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
 
 
-def write_eval_raw(prompts, generations, counts, board, path):
-    """The evaluation's raw results.
+def write_eval_raw(prompts, generations, counts, roster, path):
+    """The evaluation's raw results; returns the stored tables by name.
 
-    The four tables are always written, as parquet. The single JSON document puts every text in
-    one row, so it is added only when the counted cells are few enough; nothing is left out of
-    the tables. Returns whether the document was written.
+    Four parquet tables are always written: prompts, generations, matchups and wins, the last
+    from the stored match-ups, so judging runs once. The single JSON document puts every text in
+    one row, so it is added only when the counted cells are few enough; the tables leave nothing
+    out either way.
     """
-    tables = {"prompts": prompts, "generations": generations, "matchups": counts, "wins": board}
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
     spark = prompts.sparkSession
-    stored = {name: spark.read.parquet(f"{path}/{name}") for name in tables}
-    cells = sum(stored[name].limit(DOCUMENT_CELLS + 1).count() for name in tables)
-    fits = cells <= DOCUMENT_CELLS
-    if fits:
+
+    def store(name, table):
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    stored = {
+        "prompts": store("prompts", prompts),
+        "generations": store("generations", generations),
+        "matchups": store("matchups", counts),
+    }
+    stored["wins"] = store("wins", leaderboard(stored["matchups"], roster))
+    if sum(table.count() for table in stored.values()) <= DOCUMENT_CELLS:
         document = eval_document(
             stored["prompts"], stored["generations"], stored["matchups"], stored["wins"]
         )
         line = document.select(F.to_json(F.struct("*")).alias("value"))
         line.write.mode("overwrite").text(f"{path}/document")
-    return fits
+    return stored
 
 
 def report_lines(counts, board, totals, judge, n_prompts, title="Evaluation report"):

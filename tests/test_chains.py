@@ -33,7 +33,7 @@ def test_label_candidates(spark, tmp_path):
         spark, str(tmp_path / "candidates.jsonl"), str(tmp_path / "verdicts"), out, "s"
     ).first()
     assert (audit.n_pairs, audit.defaulted) == (30, 1)
-    rows = files.read_preference_pairs(spark, data_file=out).orderBy("pair_id").collect()
+    rows = files.read_preference_pairs(spark, data_file=f"{out}/pairs").orderBy("pair_id").collect()
     assert [r.pair_id for r in rows] == list(range(30))
     for i, row in enumerate(rows):
         if i != 7:

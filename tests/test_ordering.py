@@ -56,20 +56,23 @@ def test_a_hot_group_is_split_into_blocks(spark):
     assert got.where("n != step + 1").count() == 0
 
 
-@pytest.mark.parametrize("n,want", [(None, 30), (0, 30), (7, 7), (99, 30)])
-def test_first_n(spark, conf, monkeypatch, n, want):
-    frame = spark.range(100, 130).repartition(4)
-    for top_k in (ordering.TOP_K_ROWS, 5):
-        monkeypatch.setattr(ordering, "TOP_K_ROWS", top_k)
-        ids = sorted(row.id for row in ordering.first_n(frame, n, "id").collect())
-        assert ids == list(range(100, 100 + want))
-
-
-def test_first_n_rejects_negatives_and_spreads_large_caps(spark):
+@pytest.mark.parametrize("bits,span", [(20, 40), (2, 6)])
+def test_first_n(spark, bits, span):
+    keys = sorted((i * 7919) % 1009 - 300 for i in range(30))
+    frame = spark.createDataFrame([(k, str(k)) for k in keys], "key BIGINT, text STRING").repartition(4)
+    for n in (1, 7, 30):
+        assert frame.select(ordering.nth_key(frame, n, "key", bits, span).alias("k")).first().k == keys[n - 1]
+    for n, want in ((None, 30), (0, 30), (7, 7), (30, 30), (99, 30)):
+        rows = ordering.first_n(frame, n, "key").collect()
+        assert sorted(r.key for r in rows) == keys[:want]
+
+
+def test_first_n_rejects_negatives_and_moves_no_rows(spark):
     with pytest.raises(ValueError):
         ordering.first_n(spark.range(3), -1, "id")
-    assert "TakeOrdered" in plan_of(ordering.first_n(spark.range(100), 5, "id"))
-    assert "TakeOrdered" not in plan_of(ordering.first_n(spark.range(100), 20_000, "id"))
+    frame = spark.range(100).select("id", F.repeat(F.lit("x"), 10).alias("text"))
+    main = plan_of(ordering.first_n(frame, 5, "id")).split("Subquery")[0]
+    assert "TakeOrdered" not in main and "Exchange" not in main
 
 
 def test_fan_out_needs_no_cross_join(spark):

@@ -16,7 +16,7 @@ def evaluation(spark):
         "name_a STRING, name_b STRING, a_wins BIGINT, b_wins BIGINT, ties BIGINT",
     )
     roster = spark.createDataFrame([(m,) for m in ("dpo", "ppo", "sft")], "model STRING")
-    return prompts, generations, counts, matchups.leaderboard(counts, roster)
+    return prompts, generations, counts, roster
 
 
 WANT = {
@@ -33,7 +33,8 @@ WANT = {
 
 def test_eval_raw_tables_and_document(spark, tmp_path):
     path = str(tmp_path / "raw")
-    assert sinks.write_eval_raw(*evaluation(spark), path)
+    stored = sinks.write_eval_raw(*evaluation(spark), path)
+    assert set(stored) == {"prompts", "generations", "matchups", "wins"}
     line = spark.read.text(f"{path}/document").first().value
     assert json.loads(line) == WANT
     typed = spark.read.schema(schemas.EVAL_RAW).json(f"{path}/document").first()
@@ -44,13 +45,14 @@ def test_eval_raw_tables_and_document(spark, tmp_path):
 def test_large_evaluations_keep_every_row_in_tables(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sinks, "DOCUMENT_CELLS", 5)
     path = str(tmp_path / "raw")
-    assert not sinks.write_eval_raw(*evaluation(spark), path)
+    sinks.write_eval_raw(*evaluation(spark), path)
     assert not (tmp_path / "raw" / "document").exists()
     assert spark.read.parquet(f"{path}/prompts").count() == 3
 
 
 def test_report(spark, tmp_path):
-    _, _, counts, board = evaluation(spark)
+    _, _, counts, roster = evaluation(spark)
+    board = matchups.leaderboard(counts, roster)
     lines = sinks.report_lines(counts, board, matchups.match_totals(counts), "recorded", 3)
     path = str(tmp_path / "report")
     sinks.write_eval_report(lines, path)
