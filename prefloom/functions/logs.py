@@ -15,9 +15,6 @@ RATIO_LINE = (
 NEGATIVE_KL_LINE = r"KL divergence is starting to become negative: (-?[0-9.]+)"
 OUT_OF_MEMORY_LINE = r"OutOfMemoryError: CUDA out of memory\. Tried to allocate ([0-9.]+) ([A-Za-z]+)"
 
-# What separates the words of a step or rollback line.
-WORD_BREAK = r"[ /=()]+"
-
 # Kind, a fragment every line of that kind holds, and its pattern.
 KINDS = [
     ("step", "mean_reward=", STEP_LINE),
@@ -43,3 +40,13 @@ def line_kind(line):
 
 def field(line, pattern, group, cast):
     return F.regexp_extract(line, pattern, group).try_cast(cast)
+
+
+def before(text, mark):
+    """Up to the first mark, or everything."""
+    return F.substring_index(text, mark, 1)
+
+
+def after(text, mark):
+    """The word that follows the last mark."""
+    return before(F.substring_index(text, mark, -1), " ")

@@ -22,25 +22,34 @@ def strip(text):
     return F.btrim(text, F.lit(STRIP_CHARS))
 
 
-def has_marker(transcript):
-    return F.contains(transcript, F.lit(ASSISTANT_MARKER))
+def _tail(transcript):
+    """What follows the last marker; the whole transcript when there is none."""
+    return F.substring_index(transcript, ASSISTANT_MARKER, -1)
+
+
+def _head_bytes(transcript):
+    """Length up to the end of the last marker, 0 without one.
 
+    Byte lengths are stored with a string, character lengths have to be counted: cutting by
+    bytes spares several passes over each transcript.
+    """
+    return F.octet_length(transcript) - F.octet_length(_tail(transcript))
 
-def _cut(transcript):
-    tail = F.substring_index(transcript, ASSISTANT_MARKER, -1)
-    return F.when(has_marker(transcript), F.length(transcript) - F.length(tail)).otherwise(
-        F.lit(NO_MARKER_CUT)
-    )
+
+def has_marker(transcript):
+    return _head_bytes(transcript) > 0
 
 
 def prompt_of(transcript):
     """Everything up to and including the last marker."""
-    return F.left(transcript, _cut(transcript))
+    head = F.substring(transcript.cast("binary"), F.lit(1), _head_bytes(transcript)).cast("string")
+    return F.when(has_marker(transcript), head).otherwise(F.left(transcript, F.lit(NO_MARKER_CUT)))
 
 
 def response_of(transcript):
     """Everything after the last marker, stripped."""
-    return strip(F.substring(transcript, _cut(transcript) + 1, F.length(transcript)))
+    rest = F.substring(transcript, F.lit(NO_MARKER_CUT + 1), F.length(transcript))
+    return strip(F.when(has_marker(transcript), _tail(transcript)).otherwise(rest))
 
 
 def transcript_of(prompt, response):

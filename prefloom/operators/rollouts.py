@@ -5,7 +5,6 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from prefloom.functions import metrics as M
-from prefloom.functions.text import reward_input_of
 from prefloom.operators.ordering import running_aggregates, with_position
 
 SLOT_KEYS = ["run_id", "step", "slot"]
@@ -46,9 +45,12 @@ def batch_cursor(slots, prompts, key="prompt_id", batch_size=M.BATCH_SIZE):
 
 
 def zip_rollout(*parts, keys=SLOT_KEYS):
-    """Prompts, responses and rewards of the same slots, plus the reward model's input."""
-    zipped = reduce(lambda left, right: left.join(right, list(keys)), parts)
-    return zipped.withColumn("reward_input", reward_input_of(F.col("prompt"), F.col("response")))
+    """Join tables of the same slots: prompt ids, rewards, responses.
+
+    Put narrow tables first, and attach prompt texts by prompt id afterwards: a prompt is read
+    by many slots, so its text should not travel through these joins.
+    """
+    return reduce(lambda left, right: left.join(right, list(keys)), parts)
 
 
 def clean_rewards(rollouts):

@@ -11,33 +11,28 @@ def parse_log(lines):
     """One row per metric or event line; other lines carry nothing and are left out.
 
     Step and rollback lines are most of what is kept. Their kind has already checked their
-    format, so they are split into words once instead of being matched again for every field.
+    format, so their fields are cut out between fixed separators, at a fraction of the cost of
+    matching the pattern again for every field.
     """
-    line, kind, words = F.col("value"), F.col("kind"), F.col("_words")
-    is_step, is_failed = kind == "step", kind == "nan_rollback"
+    line, kind = F.col("value"), F.col("kind")
     tagged = lines.withColumn("kind", L.line_kind(line)).where(kind.isNotNull())
-    split = tagged.withColumn("_words", F.when(is_step | is_failed, F.split(line, L.WORD_BREAK)))
-
-    def word(cast, step=None, failed=None):
-        pick = F.lit(None)
-        if failed is not None:
-            pick = F.when(is_failed, F.get(words, F.lit(failed)))
-        return F.when(is_step, F.get(words, F.lit(step))).otherwise(pick).try_cast(cast)
+    is_step, is_failed = kind == "step", kind == "nan_rollback"
+    is_metric = is_step | is_failed
 
     def match(name, pattern, group, cast):
         return F.when(kind == name, L.field(line, pattern, group, cast))
 
-    saved_step = match("checkpoint", L.CHECKPOINT_LINE, 1, "bigint")
-    return split.select(
+    step = F.when(is_metric, F.substring_index(L.before(line, "/"), " ", -1).try_cast("bigint"))
+    return tagged.select(
         "run_id",
         "line_no",
         "kind",
-        F.coalesce(word("bigint", 1, 1), saved_step).alias("step"),
-        word("bigint", 2, 2).alias("steps_requested"),
-        word("double", 4).alias("mean_reward"),
-        word("double", 6, 6).alias("kl"),
-        word("double", 8).alias("val_var_explained"),
-        word("double", 10, 8).alias("policy_loss"),
+        F.coalesce(step, match("checkpoint", L.CHECKPOINT_LINE, 1, "bigint")).alias("step"),
+        F.when(is_metric, L.after(line, "/").try_cast("bigint")).alias("steps_requested"),
+        F.when(is_step, L.after(line, "mean_reward=").try_cast("double")).alias("mean_reward"),
+        F.when(is_metric, L.after(line, "kl=").try_cast("double")).alias("kl"),
+        F.when(is_step, L.after(line, "val_var_explained=").try_cast("double")).alias("val_var_explained"),
+        F.when(is_metric, L.before(L.after(line, "policy_loss="), ")").try_cast("double")).alias("policy_loss"),
         match("ratio_skip", L.RATIO_LINE, 1, "double").alias("ratio"),
         match("ratio_skip", L.RATIO_LINE, 2, "double").alias("ratio_threshold"),
         match("negative_kl", L.NEGATIVE_KL_LINE, 1, "double").alias("negative_kl"),

@@ -62,9 +62,13 @@ def document_budget(spark, folder):
     ).select("doc_id", "n_tokens", "truncated", F.md5("kept").alias("kept_md5"))
 
 
+def _asked(spark, folder):
+    return inputs.candidates(spark, folder).withColumnRenamed("cand_id", "prompt_id")
+
+
 def reward_inputs(spark, folder):
     generations = inputs.generations(spark, folder)
-    asked = inputs.candidates(spark, folder).select(F.col("cand_id").alias("prompt_id"), "prompt")
+    asked = _asked(spark, folder).select("prompt_id", "prompt")
     return transcripts.reward_inputs(generations.join(asked, "prompt_id")).select(
         "prompt_id", "model", "reward_input"
     )
@@ -151,7 +155,7 @@ def match_items(spark, folder):
 
 def match_requests(spark, folder):
     texts = matchups.match_texts(inputs.generations(spark, folder), inputs.roster(spark))
-    asked = inputs.candidates(spark, folder).select(F.col("cand_id").alias("prompt_id"), "prompt")
+    asked = _asked(spark, folder).select("prompt_id", "prompt")
     return judging.judge_requests(
         texts.join(asked, "prompt_id"), matchups.MATCH_KEYS, judging.TIE_RUBRIC, SEED
     )
@@ -224,15 +228,13 @@ def rollout_rows(spark, folder):
     """Prompt, response, cleaned reward and reward input of every slot."""
     rewards = rollouts.clean_rewards(inputs.rollouts(spark, folder))
     slots = rewards.select(*rollouts.SLOT_KEYS)
-    asked = inputs.candidates(spark, folder).select(
-        F.col("cand_id").alias("prompt_id"), "prompt", "response_a", "response_b"
-    )
-    cursor = rollouts.batch_cursor(slots, inputs.prompt_ids(spark, folder))
-    sampled = cursor.join(asked, "prompt_id")
+    cursor = rollouts.batch_cursor(slots, inputs.prompt_ids(spark, folder)).drop("position")
+    zipped = rollouts.zip_rollout(cursor, rewards)
     answer = F.when(F.col("step") % 2 == 0, F.col("response_a")).otherwise(F.col("response_b"))
-    sampled = sampled.select(*rollouts.SLOT_KEYS, "prompt_id", "prompt", answer.alias("response"))
-    zipped = rollouts.zip_rollout(sampled, rewards)
-    return zipped.select(*rollouts.SLOT_KEYS, "prompt_id", "reward", F.md5("reward_input").alias("input_md5"))
+    texts = zipped.join(_asked(spark, folder), "prompt_id").withColumn("response", answer)
+    return transcripts.reward_inputs(texts).select(
+        *rollouts.SLOT_KEYS, "prompt_id", "reward", F.md5("reward_input").alias("input_md5")
+    )
 
 
 def reward_clean(spark, folder):

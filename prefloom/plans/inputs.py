@@ -150,25 +150,35 @@ def log_lines(spark, folder):
     """The lines a run would print for each step."""
     event, value = F.col("event_id"), F.col("value")
     step = F.floor(event / RUNS)
-    ratio = F.format_string(
-        "UserWarning: The average ratio of batch (%.2f) exceeds threshold 10.00. Skipping batch.", value
+
+    def fixed(number, digits):
+        return number.cast(f"decimal(20, {digits})").cast("string")
+
+    ratio = F.concat(
+        F.lit("UserWarning: The average ratio of batch ("),
+        fixed(value, 2),
+        F.lit(") exceeds threshold 10.00. Skipping batch."),
     )
-    negative = F.format_string(
-        "UserWarning: KL divergence is starting to become negative: -%.2f - this might be a "
-        "precursor for failed training.",
-        value,
+    negative = F.concat(
+        F.lit("UserWarning: KL divergence is starting to become negative: -"),
+        fixed(value, 2),
+        F.lit(" - this might be a precursor for failed training."),
     )
     head = F.concat(F.lit("step "), step.cast("string"), F.lit(f"/{STEPS_REQUESTED}  "))
-    metrics = F.format_string(
-        "mean_reward=%.3f  kl=%.4f  val_var_explained=%.3f  policy_loss=%.4f",
-        value / 50,
-        value / 10,
-        F.floor(value) / 1000,
-        value / 100,
-    )
-    failed = F.format_string(
-        "NaN detected (kl=nan policy_loss=%.4f) -- rolling back to last known-good weights and continuing",
-        value / 100,
+    metrics = F.concat(
+        F.lit("mean_reward="),
+        fixed(value / 50, 3),
+        F.lit("  kl="),
+        fixed(value / 10, 4),
+        F.lit("  val_var_explained="),
+        fixed(F.floor(value) / 1000, 3),
+        F.lit("  policy_loss="),
+        fixed(value / 100, 4),
+    )
+    failed = F.concat(
+        F.lit("NaN detected (kl=nan policy_loss="),
+        fixed(value / 100, 4),
+        F.lit(") -- rolling back to last known-good weights and continuing"),
     )
     saved = F.concat(
         F.lit("  [checkpoint saved at step "), step.cast("string"), F.lit(" -> results/ppo_checkpoint]")

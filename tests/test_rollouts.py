@@ -92,8 +92,8 @@ def test_null_rewards_stay_null(spark):
 
 def test_zip(spark):
     keys = "run_id BIGINT, step BIGINT, slot BIGINT"
-    prompts = spark.createDataFrame([(0, 0, 0, "p"), (0, 0, 1, "q")], f"{keys}, prompt STRING")
-    responses = spark.createDataFrame([(0, 0, 1, "s"), (0, 0, 0, "r")], f"{keys}, response STRING")
+    cursor = spark.createDataFrame([(0, 0, 0, 5), (0, 0, 1, 6)], f"{keys}, prompt_id BIGINT")
     scores = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 2.0)], f"{keys}, reward DOUBLE")
-    got = rollouts.zip_rollout(prompts, responses, scores).orderBy("slot").collect()
-    assert [(r.reward_input, r.reward) for r in got] == [("pr", 1.0), ("qs", 2.0)]
+    responses = spark.createDataFrame([(0, 0, 1, "s"), (0, 0, 0, "r")], f"{keys}, response STRING")
+    got = rollouts.zip_rollout(cursor, scores, responses).orderBy("slot").collect()
+    assert [(r.prompt_id, r.reward, r.response) for r in got] == [(5, 1.0, "r"), (6, 2.0, "s")]
