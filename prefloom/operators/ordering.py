@@ -121,10 +121,10 @@ def fan_out(df, numbered, number, count):
     return numbers.join(small_side(numbered, count), number).drop(number)
 
 
-def small_side(df, rows):
-    """Broadcast `df` when its counted rows are few, else leave the join to a shuffle.
+def small_side(df, rows, limit=BROADCAST_ROWS):
+    """Broadcast `df` when its counted rows are within the limit, else leave the join to a shuffle.
 
-    Used for tables of short names only. Past the bound every join key holds at most one in
-    BROADCAST_ROWS of the other side's rows, so the shuffle that replaces it is even.
+    Used for tables of short names only. Past the limit every join key holds at most one in
+    `limit` of the other side's rows, so the shuffle that replaces it is even.
     """
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if rows <= limit else df

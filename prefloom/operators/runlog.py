@@ -86,34 +86,51 @@ def unstable_batches(parsed, limit=M.RATIO_LIMIT):
     return parsed.where((F.col("kind") == "ratio_skip") & (F.col("ratio") > limit))
 
 
-def run_trend(metrics):
-    """Reward slope over steps and spread of KL per run; NaN readings are left out."""
+def _trend(counted):
+    """Reward slope over steps and spread of KL; NaN readings are left out."""
 
     def usable(name):
         return F.when(~F.isnan(F.col(name)), F.col(name))
 
-    return metrics.groupBy("run_id").agg(
-        F.count("*").alias("steps"),
+    return [
+        F.count_if(counted).alias("steps"),
         F.regr_slope(usable("mean_reward"), F.col("step").cast("double")).alias("reward_slope"),
         F.stddev_pop(usable("kl")).alias("kl_spread"),
-        F.count_if(M.is_nan_step()).alias("nan_steps"),
-    )
-
+        F.count_if(counted & M.is_nan_step()).alias("nan_steps"),
+    ]
 
-def run_summary(parsed):
-    """What a run's log says about it, one row per run."""
 
+def _summary():
     def kinds(name):
         return F.count_if(F.col("kind") == name)
 
-    return parsed.groupBy("run_id").agg(
+    return [
         kinds("step").alias("steps_logged"),
         F.max("steps_requested").alias("steps_requested"),
-        F.max(F.when(F.col("kind").isin("step", "nan_rollback"), F.col("step"))).alias("last_step"),
+        F.max(F.when(_is_metric(), F.col("step"))).alias("last_step"),
         kinds("nan_rollback").alias("nan_rollbacks"),
         kinds("ratio_skip").alias("ratio_skips"),
         F.max("ratio").alias("max_ratio"),
         kinds("negative_kl").alias("negative_kl_warnings"),
         kinds("checkpoint").alias("checkpoints"),
         (kinds("out_of_memory") > 0).alias("out_of_memory"),
-    )
+    ]
+
+
+def _is_metric():
+    return F.col("kind").isin("step", "nan_rollback")
+
+
+def run_trend(metrics):
+    """Trend of each run from its step metrics."""
+    return metrics.groupBy("run_id").agg(*_trend(F.lit(True)))
+
+
+def run_summary(parsed):
+    """What a run's log says about it, one row per run."""
+    return parsed.groupBy("run_id").agg(*_summary())
+
+
+def run_health(parsed):
+    """Summary and trend of each run in one pass over its parsed log."""
+    return parsed.groupBy("run_id").agg(*_summary(), *_trend(_is_metric()))

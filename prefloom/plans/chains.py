@@ -55,6 +55,5 @@ def evaluate_models(
 
 def run_health(spark, log_path, runs=None):
     """Summary and trend of each run from its log."""
-    parsed = runlog.parse_log(files.read_log(spark, log_path, runs))
-    metrics = parsed.where(F.col("kind").isin("step", "nan_rollback"))
-    return runlog.run_summary(parsed).join(runlog.run_trend(metrics), "run_id", "left")
+    lines = files.read_log(spark, log_path, runs, numbered=False)
+    return runlog.run_health(runlog.parse_log(lines))

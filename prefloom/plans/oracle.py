@@ -413,7 +413,7 @@ FROM board ORDER BY wins DESC, model""",
     "eval_report": _with(
         _JUDGED_MATCHES,
         """SELECT CAST(section AS INT) AS section, value FROM (
-  SELECT section, value FROM (VALUES (0, '# Evaluation report'), (1, ''), (3, ''), (4, '## Overall win counts'),
+  SELECT section, value FROM (VALUES (0, '# PPO vs DPO vs SFT — Eval Report'), (1, ''), (3, ''), (4, '## Overall win counts'),
     (5, ''), (6, '| Model | Wins |'), (7, '|---|---|'), (9, ''), (11, ''), (12, '## Head-to-head'), (13, ''),
     (14, '| Matchup | A wins | B wins | Ties |'), (15, '|---|---|---|---|')) v(section, value)
   UNION ALL SELECT 2, 'Judge: recorded | Prompts: ' || (SELECT count(*) FROM prompt_ids)

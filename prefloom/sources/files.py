@@ -10,6 +10,9 @@ from prefloom.operators.ordering import small_side
 # Fixed value: the subset of human pairs that is read.
 HUMAN_SUBSET = "helpful-base"
 
+# A split is a path and three numbers, and 128 MB of text: two million of them index 256 TB.
+BROADCAST_SPLITS = 2_000_000
+
 
 def with_file_order(lines, name="position", per_file=False):
     """Add a 0-based position in file order to a freshly read line source, without sorting it.
@@ -38,7 +41,7 @@ def with_file_order(lines, name="position", per_file=False):
     offsets = offsets.select(*split, "_first", "_before")
     # Known from scan planning alone: every split ends a partition or a file.
     splits = lines.rdd.getNumPartitions() + len(lines.inputFiles())
-    numbered = rows.join(small_side(offsets, splits), split).withColumn(
+    numbered = rows.join(small_side(offsets, splits, BROADCAST_SPLITS), split).withColumn(
         name, F.col("_before") + F.col("_row") - F.col("_first")
     )
     return numbered.drop("_start", "_row", "_first", "_before", *([] if per_file else ["_file"]))
@@ -95,13 +98,20 @@ def read_registry(spark, results):
     )
 
 
-def read_log(spark, path, runs=None):
+def read_log(spark, path, runs=None, numbered=True):
     """Log lines with the line number within their file.
 
     `runs` is a table (file, run_id) by file name; without it a run's id is a hash of its path,
-    which stays the same however many files are read.
+    which stays the same however many files are read. `numbered=False` leaves line numbers null
+    and spares the pass that counts lines.
     """
-    lines = with_file_order(spark.read.text(path), "line_no", per_file=True)
+    lines = spark.read.text(path)
+    if numbered:
+        lines = with_file_order(lines, "line_no", per_file=True)
+    else:
+        lines = lines.select(
+            "value", F.col("_metadata.file_path").alias("_file"), F.lit(None).cast("bigint").alias("line_no")
+        )
     if runs is None:
         return lines.select(F.xxhash64("_file").alias("run_id"), "line_no", "value")
     named = lines.withColumn("file", F.element_at(F.split("_file", "/"), -1))

@@ -6,6 +6,9 @@ from prefloom.operators.matchups import leaderboard
 
 DOCUMENT_CELLS = 100_000
 
+# Fixed value: the report's title.
+REPORT_TITLE = "PPO vs DPO vs SFT — Eval Report"
+
 
 def _write_lines(df, path, columns, order):
     rows = df.orderBy(order) if order else df
@@ -87,7 +90,7 @@ def write_eval_raw(prompts, generations, counts, roster, path):
     return stored
 
 
-def report_lines(counts, board, totals, judge, n_prompts, title="Evaluation report"):
+def report_lines(counts, board, totals, judge, n_prompts, title=REPORT_TITLE):
     """The report as numbered Markdown lines. Its input has one row per model or pair."""
     fixed = [
         (0, f"# {title}"),

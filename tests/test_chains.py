@@ -91,7 +91,7 @@ def test_run_health(spark, tmp_path):
     write(tmp_path / "logs" / "run.log", lines)
     row = chains.run_health(spark, str(tmp_path / "logs")).first()
     assert (row.steps_logged, row.last_step, row.steps_requested) == (50, 49, 100)
-    assert row.reward_slope == pytest.approx(-0.1)
+    assert row.reward_slope == pytest.approx(-0.1) and (row.steps, row.nan_steps) == (50, 0)
 
 
 def drain(stream, name):

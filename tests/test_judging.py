@@ -120,3 +120,16 @@ def test_compare_readings(spark):
     rows = attempts(spark, [(0, 0, "A"), (0, 1, "both"), (1, 0, "both"), (1, 1, None)])
     got = {(r.tie_aware, r.forced, r.strict): r.replies for r in judging.compare_readings(rows).collect()}
     assert got == {("A", "A", "A"): 1, ("B", "B", "none"): 2}
+
+
+def test_a_third_of_all_replies_on_one_item(spark):
+    """Map tasks combine an item's replies, so a hot item sends one row per task."""
+    hot = spark.range(30_000).select(
+        F.when(F.col("id") < 10_000, 5).otherwise(F.col("id")).alias("cand_id"),
+        F.when(F.col("id") < 10_000, F.col("id") % 3).otherwise(0).cast("int").alias("attempt"),
+        F.when((F.col("id") < 10_000) & (F.col("id") % 3 == 0), None).otherwise("B").alias("raw"),
+    )
+    resolved = judging.resolve_attempts(hot, ["cand_id"], "forced")
+    assert "partial_min_by" in resolved._jdf.queryExecution().executedPlan().toString()
+    rows = {row.cand_id: row.sign for row in resolved.collect()}
+    assert len(rows) == 20_001 and set(rows.values()) == {V.B}

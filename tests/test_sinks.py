@@ -58,7 +58,7 @@ def test_report(spark, tmp_path):
     sinks.write_eval_report(lines, path)
     (part,) = (tmp_path / "report").glob("part-*")
     assert part.read_text().splitlines() == [
-        "# Evaluation report", "", "Judge: recorded | Prompts: 3", "", "## Overall win counts", "",
+        "# PPO vs DPO vs SFT — Eval Report", "", "Judge: recorded | Prompts: 3", "", "## Overall win counts", "",
         "| Model | Wins |", "|---|---|", "| ppo | 3 |", "| sft | 3 |", "| dpo | 1 |", "",
         "Ties: 2 / 9 matchups", "", "## Head-to-head", "", "| Matchup | A wins | B wins | Ties |",
         "|---|---|---|---|", "| dpo vs ppo | 1 | 1 | 1 |", "| dpo vs sft | 0 | 3 | 0 |",
