@@ -17,8 +17,16 @@ RUNS = 4
 STEPS_REQUESTED = 500
 
 
+# The columns read of each table. Declared, so that no job looks into files to infer them.
+TABLES = {
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "documents": "doc_id BIGINT, text STRING",
+    "events": "event_id BIGINT, value DOUBLE",
+}
+
+
 def table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def transcripts(spark, folder):
