@@ -37,45 +37,44 @@ def check_borders(model):
             raise ValueError(f"vocabulary string {piece!r} spans a pre-token border")
 
 
-def alone(model, pre_tokens):
+class Alone:
     """Token counts of single pre-tokens, by the library.
 
-    The library puts a space mark before every text; a line break keeps it away from them.
+    The library puts a space mark before every text; a line break keeps it away from the pre-token.
     """
-    head = len(model.encode("\n"))
-    return [len(ids) - head for ids in model.encode(["\n" + p for p in pre_tokens], num_threads=1)]
+
+    def __init__(self, model):
+        self.encode, self.head = model.encode, len(model.encode("\n"))
+
+    def __call__(self, pre_tokens):
+        return [len(ids) - self.head for ids in self.encode(["\n" + p for p in pre_tokens], num_threads=1)]
 
 
 def whole_tokens(model):
     """The vocabulary strings that encode alone as exactly one token."""
     strings = _strings(model)
-    return [piece for piece, count in zip(strings, alone(model, strings)) if count == 1]
+    return [piece for piece, count in zip(strings, Alone(model)(strings)) if count == 1]
 
 
-class Counts(dict):
-    """Token counts by pre-token: proved ones, and a bounded memory of merged ones."""
+class Counts:
+    """Token counts of texts: proved pre-tokens, and a bounded memory of merged ones."""
 
     def __init__(self, model, remembered=REMEMBERED):
         check_borders(model)
-        self.model, self.remembered = model, remembered
+        self.alone, self.remembered = Alone(model), remembered
         self.proved = dict.fromkeys(whole_tokens(model), 1)
-        self.clear_merged()
-
-    def clear_merged(self):
-        self.clear()
-        self.update(self.proved)
-
-    def __missing__(self, pre_token):
-        if len(self) > self.remembered:
-            self.clear_merged()
-        count = self[pre_token] = alone(self.model, [pre_token])[0]
-        return count
+        self.known = dict(self.proved)
 
-    def count(self, text):
-        if not text:
-            return 0
-        marked = SPACE_MARK + text.replace(" ", SPACE_MARK)
-        return sum(map(self.__getitem__, _PRE_TOKEN.findall(marked)))
+    def count(self, texts):
+        split = [
+            _PRE_TOKEN.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else [] for text in texts
+        ]
+        if len(self.known) > self.remembered:
+            self.known = dict(self.proved)
+        unknown = list(set().union(*split).difference(self.known))
+        if unknown:
+            self.known.update(zip(unknown, self.alone(unknown)))
+        return [sum(map(self.known.__getitem__, pre_tokens)) for pre_tokens in split]
 
 
 def count_tokens(frame, path=None, limit=LIMIT, id_column="doc_id", text_column="text"):
@@ -92,7 +91,7 @@ def count_tokens(frame, path=None, limit=LIMIT, id_column="doc_id", text_column=
         counts = Counts(model)
         for batch in steps(batches):
             texts = texts_of(batch).to_numpy(zero_copy_only=False)
-            tokens = [counts.count(text) for text in texts]
+            tokens = counts.count(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
