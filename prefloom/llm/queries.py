@@ -1,11 +1,17 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
+from prefloom.llm.chat import op3_chat_formatting
+from prefloom.llm.fingerprints import op1_fingerprints
 from prefloom.llm.packing import op2_packing
+from prefloom.llm.simhash import op5_simhash
 from prefloom.llm.tokens import op4_token_counts
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
+    "op3_chat_formatting": op3_chat_formatting,
     "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
 }
 
 ORACLE_SQL = {}
