@@ -2,7 +2,9 @@
 
 from prefloom.llm.chat import op3_chat_formatting
 from prefloom.llm.fingerprints import op1_fingerprints
+from prefloom.llm.mixing import op10_mixing
 from prefloom.llm.packing import op2_packing
+from prefloom.llm.quality import op6_quality_rules
 from prefloom.llm.simhash import op5_simhash
 from prefloom.llm.tokens import op4_token_counts
 
@@ -12,6 +14,8 @@ QUERIES = {
     "op3_chat_formatting": op3_chat_formatting,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {}
