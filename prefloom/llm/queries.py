@@ -5,6 +5,7 @@ from prefloom.llm.fingerprints import op1_fingerprints
 from prefloom.llm.mixing import op10_mixing
 from prefloom.llm.packing import op2_packing
 from prefloom.llm.quality import op6_quality_rules
+from prefloom.llm.recompress import op7_substring_dedup
 from prefloom.llm.simhash import op5_simhash
 from prefloom.llm.tokens import op4_token_counts
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
     "op10_mixing": op10_mixing,
 }
 
