@@ -2,6 +2,7 @@
 
 from prefloom.llm.chat import op3_chat_formatting
 from prefloom.llm.fingerprints import op1_fingerprints
+from prefloom.llm.lines import op8_line_dedup
 from prefloom.llm.mixing import op10_mixing
 from prefloom.llm.packing import op2_packing
 from prefloom.llm.quality import op6_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
