@@ -65,17 +65,18 @@ def measures(frame, id_column="doc_id", text_column="text", stratum_column="lang
                 pc.count_substring_regex(texts, "[A-Z]").to_numpy(zero_copy_only=False),
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("stratum"), *[pa.array(c.astype(np.int64)) for c in columns]],
-                ["doc_id", "stratum", *kinds],
+                [*[batch.column(c) for c in ("doc_id", "tie", "stratum")], *[pa.array(c.astype(np.int64)) for c in columns]],
+                ["doc_id", "tie", "stratum", *kinds],
             )
 
     rows = frame.selectExpr(
         f"CAST(`{id_column}` AS BIGINT) AS doc_id",
-        f"CAST(`{text_column}` AS STRING) AS text",
+        f"coalesce(CAST(`{text_column}` AS STRING), '') AS text",
+        f"xxhash64(coalesce(CAST(`{text_column}` AS STRING), '')) AS tie",
         f"coalesce(CAST(`{stratum_column}` AS STRING), '') AS stratum",
     )
     return rows.mapInArrow(
-        run, "doc_id BIGINT, stratum STRING, " + ", ".join(f"{kind} BIGINT" for kind in kinds)
+        run, "doc_id BIGINT, tie BIGINT, stratum STRING, " + ", ".join(f"{kind} BIGINT" for kind in kinds)
     )
 
 
@@ -166,7 +167,7 @@ def cutoffs(measured, good_ids, risk=RISK, error=ERROR, grid=GRID):
 
 
 def judge(frame, labels, id_column="doc_id", text_column="text", stratum_column="lang", **options):
-    """Counts of every row, base_failed, and whether the document is kept.
+    """Id, a hash of the text, counts, base_failed, and whether the document is kept, of every row.
 
     Labels are (doc_id, quality); quality 1 is good, null labels and ids are left out. Equal rows
     each give a row and are judged alike. Documents are read once; their counts are stored.
@@ -186,10 +187,19 @@ def judge(frame, labels, id_column="doc_id", text_column="text", stratum_column=
         kept = kept & rule
     # Adaptive execution sends the few rows of cutoffs to the documents.
     return measured.join(stored(spark, found), "stratum", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), kept.alias("kept"),
     )
 
 
 def op6_quality_rules(spark, folder):
-    return judge(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+    return judge(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")).drop("tie")
+
+
+def without_rejected(frame, labels):
+    """The table without rejected documents; all of its columns and kept rows stay as they are."""
+    judged = judge(frame, labels).where("kept").select(F.col("doc_id").alias("doc"), "tie").distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = frame.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_tie": F.xxhash64(text)})
+    same = F.expr("d._doc <=> j.doc AND d._tie = j.tie")
+    return keyed.alias("d").join(judged.alias("j"), same, "left_semi").select(*[f"`{name}`" for name in frame.columns])

@@ -9,6 +9,7 @@ group can be large. A group gives the links that connect it, never all of its pa
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefloom.llm.common import documents, steps, stored, texts_of
@@ -39,19 +40,28 @@ def majority(hashes):
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(frame, words=WORDS, id_column="doc_id", text_column="text"):
-    """doc_id and fingerprint (a signed bigint) per row; null and word-less texts have 0."""
+def fingerprints(frame, widths=(WORDS,), id_column="doc_id", text_column="text"):
+    """doc_id, a hash of the text and a fingerprint (a signed bigint) for each shingle width, per row.
+
+    Null and word-less texts have fingerprint 0. Columns mark, mark1, ... in the order of the widths.
+    """
+    names = ["mark", *[f"mark{n}" for n in range(1, len(widths))]]
 
     def run(batches):
         for batch in steps(batches):
             texts = texts_of(batch).cast(pa.large_binary()).to_pylist()
-            marks = np.array([simhash(text, words) for text in texts], dtype=np.uint64)
+            marks = [np.array([simhash(text, width) for text in texts], dtype=np.uint64) for width in widths]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(marks.view(np.int64), pa.int64())], ["doc_id", "mark"]
+                [batch.column("doc_id"), batch.column("tie"), *[pa.array(m.view(np.int64), pa.int64()) for m in marks]],
+                ["doc_id", "tie", *names],
             )
 
-    rows = frame.selectExpr(f"CAST(`{id_column}` AS BIGINT) AS doc_id", f"CAST(`{text_column}` AS STRING) AS text")
-    return rows.mapInArrow(run, "doc_id BIGINT, mark BIGINT")
+    rows = frame.selectExpr(
+        f"CAST(`{id_column}` AS BIGINT) AS doc_id",
+        f"coalesce(CAST(`{text_column}` AS STRING), '') AS text",
+        f"xxhash64(coalesce(CAST(`{text_column}` AS STRING), '')) AS tie",
+    )
+    return rows.mapInArrow(run, "doc_id BIGINT, tie BIGINT, " + ", ".join(f"{name} BIGINT" for name in names))
 
 
 def _signed(number):
@@ -65,27 +75,38 @@ def split_bits(mask, parts):
     return [sum(1 << bit for bit in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def linked(marks, groups, distance=DISTANCE):
-    """Links that connect what is linked inside each group; marks are sorted by group."""
+def linked(marks, checks, groups, distance=DISTANCE, check_distance=0):
+    """Places (a, b) that connect all that is linked inside each group; rows are sorted by group.
+
+    Linked are rows whose marks and whose checks are both within their distance.
+    """
     n = len(marks)
     label = np.arange(n)
     bounds = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1)) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(bounds, n))
+
+    def near(a, b):
+        close = np.flatnonzero(np.bitwise_count(marks[a] ^ marks[b]) <= distance)
+        a, b = a[close], b[close]
+        close = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
+        return a[close], b[close]
+
     small = np.repeat(sizes <= 64, sizes)
     for step in range(1, int(sizes[sizes <= 64].max(initial=1))):
-        near = np.flatnonzero(small[:-step] & (groups[step:] == groups[:-step]))
-        if not len(near):
+        a = np.flatnonzero(small[:-step] & (groups[step:] == groups[:-step]))
+        if not len(a):
             break
-        near = near[np.bitwise_count(marks[near] ^ marks[near + step]) <= distance]
-        label = merge(label, near, near + step)
+        label = merge(label, *near(a, a + step))
     for start, size in zip(bounds[sizes > 64], sizes[sizes > 64]):
         own = marks[start : start + size]
         rows = max(1, (1 << 20) // size)
         for at in range(0, size, rows):
-            a, b = np.nonzero(np.bitwise_count(own[at : at + rows, None] ^ own[None, :]) <= distance)
-            label = merge(label, start + at + a, start + b)
+            a, b = np.nonzero(np.bitwise_count(own[at : at + rows, None] ^ own[None, at:]) <= distance)
+            a, b = start + at + a, start + at + b
+            close = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
+            label = merge(label, a[close], b[close])
     moved = np.flatnonzero(label != np.arange(n))
-    return marks[moved], marks[label[moved]]
+    return moved, label[moved]
 
 
 def merge(label, a, b):
@@ -106,11 +127,15 @@ def merge(label, a, b):
     return label
 
 
-def links(spark, marks, distance=DISTANCE, group=GROUP, free_bits=FREE_BITS):
-    """Links (u, v) among distinct fingerprints, enough to connect all within the distance."""
+def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_bits=FREE_BITS):
+    """Links (u, v) among nodes, enough to connect all that are linked.
+
+    `marks` has a row per node: node, its fingerprint `mark` that blocks are cut from, and `check`,
+    a second fingerprint that has to be within `check_distance` too.
+    """
     blocks, whole = distance + 1, (1 << BITS) - 1
     masks = {0: [(m, whole & ~m) for m in split_bits(whole, blocks)]}
-    level = marks.select("mark").withColumn("fixed", F.lit(0).cast("bigint"))
+    level = marks.select("node", "mark", "check").withColumn("fixed", F.lit(0).cast("bigint"))
     found = []
     while True:
         # `fixed` is the mask of bits on which a group agrees; its members are split by each block
@@ -125,22 +150,22 @@ def links(spark, marks, distance=DISTANCE, group=GROUP, free_bits=FREE_BITS):
                 )
             ]
         )
-        keyed = level.select("mark", F.explode(finer[F.col("fixed")]).alias("fixed")).withColumn(
+        keyed = level.select("node", "mark", "check", F.explode(finer[F.col("fixed")]).alias("fixed")).withColumn(
             "value", F.col("mark").bitwiseAND(F.col("fixed"))
         )
         keyed = keyed.distinct() if found else keyed
         reached = sorted({fixed | block for fixed, blocked in masks.items() for block, _ in blocked})
         if all(BITS - fixed.bit_count() <= free_bits for fixed in reached):
-            found.append(_compare(keyed, distance))
+            found.append(_compare(keyed, distance, check_distance))
             break
         keyed = stored(spark, keyed)
         sizes = keyed.groupBy("fixed", "value").agg(F.count("*").alias("size"))
         hot = stored(spark, sizes.where(F.col("size") > group).select("fixed", "value"))
         if hot.isEmpty():
-            found.append(_compare(keyed, distance))
+            found.append(_compare(keyed, distance, check_distance))
             break
-        found.append(_compare(keyed.join(hot, ["fixed", "value"], "left_anti"), distance))
-        level = keyed.join(hot, ["fixed", "value"], "left_semi").select("mark", "fixed")
+        found.append(_compare(keyed.join(hot, ["fixed", "value"], "left_anti"), distance, check_distance))
+        level = keyed.join(hot, ["fixed", "value"], "left_semi").select("node", "mark", "check", "fixed")
         masks = {fixed: [(m, 0) for m in split_bits(whole & ~fixed, blocks)] for fixed in reached}
     united = found[0]
     for more in found[1:]:
@@ -148,14 +173,13 @@ def links(spark, marks, distance=DISTANCE, group=GROUP, free_bits=FREE_BITS):
     return united
 
 
-def _compare(keyed, distance):
+def _compare(keyed, distance, check_distance):
     """Links inside every group. A task holds one batch and the group it ends in."""
 
     def run(batches):
         rest = None
         for batch in batches:
-            fixed, value, mark = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            rows = np.stack([fixed, value, mark])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
             rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
             last = (rows[:2] == rows[:2, -1:]).all(axis=0)
             cut = int(np.argmax(last)) if rows.shape[1] else 0
@@ -167,11 +191,12 @@ def _compare(keyed, distance):
     def emit(rows):
         change = (np.diff(rows[:2], axis=1) != 0).any(axis=0)
         groups = np.concatenate([[0], np.cumsum(change)]) if rows.shape[1] else np.zeros(0, np.int64)
-        u, v = linked(rows[2].astype(np.int64).view(np.uint64), groups, distance)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64), pa.int64()) for x in (u, v)], ["u", "v"])
+        marks, checks = (np.ascontiguousarray(rows[i]).astype(np.int64).view(np.uint64) for i in (3, 4))
+        a, b = linked(marks, checks, groups, distance, check_distance)
+        return pa.RecordBatch.from_arrays([pa.array(rows[2][x], pa.int64()) for x in (a, b)], ["u", "v"])
 
-    ordered = keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value", "mark")
-    return ordered.select("fixed", "value", "mark").mapInArrow(run, "u BIGINT, v BIGINT")
+    ordered = keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value", "node")
+    return ordered.select("fixed", "value", "node", "mark", "check").mapInArrow(run, "u BIGINT, v BIGINT")
 
 
 def near_duplicates(frame, words=WORDS, distance=DISTANCE, id_column="doc_id", text_column="text"):
@@ -182,9 +207,10 @@ def near_duplicates(frame, words=WORDS, distance=DISTANCE, id_column="doc_id", t
     like any other. Equal rows each give a row. Other columns are left out.
     """
     spark = frame.sparkSession
-    marked = stored(spark, fingerprints(frame, words, id_column, text_column))
+    marked = stored(spark, fingerprints(frame, (words,), id_column, text_column))
     marks = stored(spark, marked.groupBy("mark").agg(F.min("doc_id").alias("low")))
-    reached = components(spark, links(spark, marks, distance))
+    nodes = marks.select(F.col("mark").alias("node"), "mark", F.lit(0).cast("bigint").alias("check"))
+    reached = components(spark, links(spark, nodes, distance))
     named = marks.join(reached, F.col("mark") == F.col("node"), "left").select(
         "mark", "low", F.coalesce("component", "mark").alias("component")
     )
@@ -197,3 +223,34 @@ def near_duplicates(frame, words=WORDS, distance=DISTANCE, id_column="doc_id", t
 
 def op5_simhash(spark, folder):
     return near_duplicates(documents(spark, folder))
+
+
+# Texts of which four in five five-word shingles are shared differ in few bits of the fingerprint of
+# their single words, and in about a fifth of those of their shingles.
+SEARCHED, VERIFIED = (1, 7), (5, 14)
+
+
+def one_of_each(frame, searched=SEARCHED, verified=VERIFIED):
+    """The table with one document of each group of near copies.
+
+    Near copies are found by the fingerprint of one shingle width, within its bits, and verified by
+    that of another: (words, bits) each. A group is what is linked; its document of the smallest id
+    stays (null last), of equal ids that of the smallest hash of the text, and of equal rows one.
+    """
+    spark = frame.sparkSession
+    marked = stored(spark, fingerprints(frame, (searched[0], verified[0])))
+    node = F.xxhash64("mark", "mark1").alias("node")
+    nodes = stored(spark, marked.select(node, "mark", F.col("mark1").alias("check")).distinct())
+    reached = components(spark, links(spark, nodes, searched[1], verified[1]))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
+    grouped = marked.select(node, order.alias("order")).join(reached, "node", "left")
+    kept = (
+        grouped.groupBy(F.coalesce("component", "node").alias("component"))
+        .agg(F.min("order").alias("order"))
+        .select(F.col("order.doc_id").alias("doc"), F.col("order.tie").alias("tie"))
+    )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = frame.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_tie": F.xxhash64(text)})
+    one = F.row_number().over(Window.partitionBy("_doc", "_tie").orderBy("_tie"))
+    stays = keyed.alias("d").join(kept.alias("k"), F.expr("d._doc <=> k.doc AND d._tie = k.tie"), "left_semi")
+    return stays.withColumn("_one", one).where("_one = 1").select(*[f"`{name}`" for name in frame.columns])

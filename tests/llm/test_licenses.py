@@ -1,0 +1,77 @@
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from prefloom.llm import licenses
+from tests.llm.helpers import SMALL, by_id, no_documents, odd_documents, small_documents
+
+WORDS = st.lists(st.integers(0, 6), max_size=14)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORDS)
+def test_longest_increasing_run(values):
+    values = list(dict.fromkeys(values))
+    places = licenses.increasing(values)
+    picked = [values[i] for i in places]
+    assert picked == sorted(picked) and places == sorted(places)
+    best = [1] * len(values)
+    for i in range(len(values)):
+        best[i] = 1 + max((best[j] for j in range(i) if values[j] < values[i]), default=0)
+    assert len(picked) == max(best, default=0)
+
+
+@settings(max_examples=300, deadline=None)
+@given(WORDS, WORDS)
+def test_alignments_rise_and_agree(a, b):
+    pairs = licenses.align(a, b)
+    assert all(a[i] == b[j] for i, j in pairs)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+    assert len(licenses.align(a, a)) == len(a)
+
+
+def edited(dice, words, share):
+    out = []
+    for word in words:
+        if dice.random() < share:
+            out += [] if dice.random() < 0.5 else ["changed"]
+        else:
+            out.append(word)
+    return out
+
+
+def test_edited_templates_are_found_in_long_texts():
+    dice = np.random.default_rng(2)
+    scanner = licenses.Scanner()
+    for name in ("mit", "apache-2.0", "gpl-3.0", "isc"):
+        for share in (0, 0.05, 0.1):
+            body = edited(dice, licenses.TEMPLATES[name].split(), share)
+            around = [f"w{n}" for n in dice.integers(0, 9999, 3000)]
+            found = scanner.scan(" ".join(around[:1500] + body + around[1500:] + body))
+            own = [m for m in found if m[0] == name]
+            assert len(own) == 2 and all(m[1] >= 0.8 for m in own)
+            assert abs(own[0][2] - 1500) <= 0.2 * len(body) + 1
+
+
+def test_repeated_notices_and_mixed_words():
+    scanner = licenses.Scanner()
+    notice = licenses.TEMPLATES["apache-2.0-notice"]
+    assert [m[0] for m in scanner.scan("\n".join([notice] * 3))] == ["apache-2.0-notice"] * 3
+    assert scanner.scan("the license of this work is under a version of the public") == []
+    assert scanner.scan("MIT released 3.0 GNU Apache") == []
+
+
+def test_query_9_finds_exactly_the_notices(spark):
+    rows = by_id(licenses.op9_license_scan(spark, SMALL))
+    for doc_id, text in small_documents():
+        want = [name for name, notice in licenses.TEMPLATES.items() if notice in text]
+        assert sorted({m.license for m in rows[doc_id].matches if m.coverage == 1}) == sorted(want)
+        assert (rows[doc_id].best is not None) == bool(want)
+
+
+def test_odd_rows(spark):
+    frame = odd_documents(spark)
+    rows = licenses.scan_licenses(frame).collect()
+    assert len(rows) == frame.count() and all(r.best is None and r.matches == [] for r in rows)
+    assert licenses.scan_licenses(no_documents(spark)).count() == 0
+    assert licenses.scan_licenses(frame, templates={"empty": " "}).count() == frame.count()

@@ -18,7 +18,8 @@ def brute(text):
 
 
 def check(rows, documents):
-    got = sorted((tuple(r)[:7] for r in rows), key=repr)
+    names = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = sorted((tuple(r[name] for name in names) for r in rows), key=repr)
     assert got == sorted(((i, *brute(t)) for i, t in documents), key=repr)
     assert not any(r.kept and r.base_failed for r in rows)
 
@@ -80,3 +81,11 @@ def test_without_labels_only_base_rules_reject(spark):
         check(rows, pairs_of(frame))
         assert all(r.kept == (not r.base_failed) for r in rows)
     assert quality.judge(no_documents(spark), spark.createDataFrame([], "doc_id BIGINT, quality INT")).count() == 0
+
+
+def test_rejected_documents_go(spark):
+    frame = odd_documents(spark)
+    labels = spark.createDataFrame([], "doc_id BIGINT, quality INT")
+    kept = {r.doc_id for r in quality.judge(frame, labels).collect() if r.kept}
+    got = quality.without_rejected(frame, labels)
+    assert got.columns == frame.columns and {r.doc_id for r in got.collect()} == kept

@@ -66,7 +66,7 @@ def test_split_groups_lose_no_link(spark, group, free_bits):
             for _ in range(dice.randrange(1, 5)):
                 mark ^= 1 << dice.randrange(64)
     numbers = np.array(sorted(marks), dtype=np.uint64).view(np.int64).tolist()
-    frame = spark.createDataFrame([(n,) for n in numbers], "mark BIGINT")
+    frame = spark.createDataFrame([(n, n, 0) for n in numbers], "node BIGINT, mark BIGINT, check BIGINT")
     found = simhash.links(spark, frame, group=group, free_bits=free_bits)
     got = {r.node: r.component for r in components.components(spark, found).collect()}
     want = brute_components([(m, m) for m in sorted(marks)])
@@ -80,3 +80,23 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(300)] + [(5, 5), (None, 3)]
     found = components.components(spark, spark.createDataFrame(links, "u BIGINT, v BIGINT")).collect()
     assert sorted((r.node, r.component) for r in found) == [(i, 0) for i in range(201)] + [(1000 + i, 1000) for i in range(300)]
+
+
+def test_one_of_each_group_stays(spark):
+    dice = random.Random(8)
+    rows, groups = [], {}
+    for group in range(40):
+        words = [f"w{dice.randrange(5000)}" for _ in range(400)]
+        for copy in range(dice.randrange(1, 5)):
+            edited = list(words)
+            if copy:
+                for edit in range(4):
+                    edited[dice.randrange(400)] = f"changed{group}x{copy}x{edit}"
+            groups[len(rows)] = group
+            rows.append((len(rows), " ".join(edited), "x", "y"))
+    rows += [(0, rows[0][1], "x", "y"), (None, rows[0][1], "x", "y"), (900, None, "x", "y"), (901, "", "x", "y")]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, tie STRING, mark STRING")
+    got = simhash.one_of_each(frame)
+    firsts = {min(i for i, g in groups.items() if g == group) for group in set(groups.values())}
+    assert sorted(r.doc_id for r in got.collect()) == sorted(firsts) + [900] and got.columns == frame.columns
+    assert simhash.one_of_each(no_documents(spark)).count() == 0
