@@ -234,7 +234,8 @@ class Mix:
         cut = cut.select(
             "source_no", "block", "offset", (start - first).alias("start"), (end - start).alias("length")
         )
-        self.pieces = slots(spark, plan, seed, shard_slots).join(cut, ["source_no", "block"])
+        # Slots look few before they are expanded: without the hint they would be broadcast.
+        self.pieces = slots(spark, plan, seed, shard_slots).hint("merge").join(cut, ["source_no", "block"])
 
 
 def taken_words(frame, **options):
