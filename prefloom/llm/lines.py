@@ -21,55 +21,58 @@ WHITE = " \t\r\x0b\x0c"
 
 
 def document_lines(frame, id_column="doc_id", text_column="text"):
-    """(doc_id, tie, lines) of every row: lines in order, stripped; a null text has none."""
+    """(doc_id, tie, lines) of every row: its lines in order; a null text has one, the empty one."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
     return frame.select(
         F.col(id_column).cast("bigint").alias("doc_id"),
         F.xxhash64(text).alias("tie"),
-        F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WHITE))).alias("lines"),
+        F.split(text, "\n").alias("lines"),
     )
 
 
 def _lines(listed, min_chars):
-    """A row per line that is long enough: where it stands, its text and two hashes of it."""
+    """A row per line that, stripped, is long enough: its place, text, length and two hashes."""
     line = F.col("line")
     return (
         listed.select("doc_id", "tie", F.posexplode("lines").alias("at", "line"))
-        .where(F.char_length(line) >= min_chars)
-        .select("doc_id", "tie", "at", "line", F.xxhash64(line).alias("id"), F.hash(line).alias("check"))
+        .withColumn("line", F.btrim(line, F.lit(WHITE)))
+        .withColumn("n", F.char_length(line))
+        .where(F.col("n") >= min_chars)
+        .select("doc_id", "tie", "at", "line", "n", F.xxhash64(line).alias("id"), F.hash(line).alias("check"))
     )
 
 
-def _segment(length, number, edits):
-    """First place (from 0) and size of a segment of a line of some length; later ones are longer."""
-    parts = edits + 1
-    size, longer = F.floor(length / parts), length % parts
-    extra = F.greatest(F.lit(0), number - (parts - longer))
-    long_one = F.when(F.lit(number) >= parts - longer, 1).otherwise(0)
-    return size * number + extra, size + long_one
-
-
-def probes(line, edits, min_chars):
-    """Hashes under which a line stands for its own segments and looks for those of others.
+def probes(lines, edits, min_chars):
+    """(id, key, index, gap): hashes under which lines stand for their own segments (index) and look
+    for those of others.
 
     For an indexed line that is `gap` characters shorter, segment `number` can stand shifted only as
     far as the edits before it, and the edits that remain after it, allow.
     """
-    n = F.char_length(line)
-    found = []
-    for gap in range(edits + 1):
-        length = n - gap
-        for number in range(edits + 1):
-            low = max(-number, gap - (edits - number))
-            high = min(number, gap + (edits - number))
-            start, size = _segment(length, number, edits)
-            for shift in range(low, high + 1):
-                at = (start + shift + 1).cast("int")
-                key = F.xxhash64(F.substring(line, at, size.cast("int")), length, F.lit(number))
-                index = gap == 0 and shift == 0
-                fits = (length >= min_chars) & (start + shift >= 0) & (start + shift + size <= n)
-                found.append(F.when(fits, F.struct(key.alias("key"), F.lit(index).alias("index"), F.lit(gap).alias("gap"))))
-    return F.array_compact(F.array(*found))
+    places = [
+        (gap, number, shift)
+        for gap in range(edits + 1)
+        for number in range(edits + 1)
+        for shift in range(max(-number, gap - (edits - number)), min(number, gap + (edits - number)) + 1)
+    ]
+    # One short row expression after a constant list stays small enough to be compiled.
+    listed = F.array(
+        *[F.struct(*[F.lit(x).alias(name) for name, x in zip(("gap", "number", "shift"), place)]) for place in places]
+    )
+    length, number, at = F.col("n") - F.col("gap"), F.col("number"), F.col("start") + F.col("shift")
+    cut = F.substring("line", (at + 1).cast("int"), F.col("size").cast("int"))
+    return (
+        lines.select("id", "line", "n", F.inline(listed))
+        .withColumn("start", F.call_function("div", length * number, F.lit(edits + 1)))
+        .withColumn("size", F.call_function("div", length * (number + 1), F.lit(edits + 1)) - F.col("start"))
+        .where((length >= min_chars) & (at >= 0) & (at + F.col("size") <= F.col("n")))
+        .select(
+            "id",
+            F.xxhash64(cut, length, number).alias("key"),
+            ((F.col("gap") == 0) & (F.col("shift") == 0)).alias("index"),
+            "gap",
+        )
+    )
 
 
 def parities(line):
@@ -155,7 +158,7 @@ def links(spark, listed, edits=EDITS, min_chars=MIN_CHARS):
     one line here. Pairs of equal hash but different text are not linked.
     """
     lines = _lines(listed, min_chars)
-    keyed = lines.select("id", F.inline(probes(F.col("line"), edits, min_chars)))
+    keyed = probes(lines, edits, min_chars)
     # Copies of a line and their keys are combined before the shuffle.
     shared = stored(
         spark,
@@ -214,7 +217,7 @@ def line_classes(frame, edits=EDITS, min_chars=MIN_CHARS, **columns):
         spark,
         _lines(listed, min_chars)
         .groupBy("id", "check")
-        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first(F.char_length("line")).alias("n_chars")),
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n_chars")),
     )
     found = links(spark, listed, edits, min_chars)
     reached = components(spark, found).withColumnRenamed("component", "class_id")
@@ -259,7 +262,7 @@ def without_repeated_lines(frame, edits=EDITS, min_chars=MIN_CHARS):
     )
     placed = stored(spark, placed)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "at")
-    first = placed.groupBy("class", "check").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = placed.groupBy("class", "check").agg(F.min(order).alias("first"), F.count("*").alias("copies")).where("copies > 1")
     gone = (
         placed.join(first, ["class", "check"])
         .where(order != F.col("first"))
