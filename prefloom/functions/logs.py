@@ -12,7 +12,7 @@ CHECKPOINT_LINE = r"\[checkpoint saved at step ([0-9]+) -> (.*)\]"
 RATIO_LINE = (
     r"The average ratio of batch \(([^)]+)\) exceeds threshold ([0-9.]+)\. Skipping batch"
 )
-NEGATIVE_KL_LINE = r"KL divergence is starting to become negative: (-?[0-9.]+)"
+NEGATIVE_KL_LINE = r"KL divergence is starting to become negative: ([^ ]+)"
 OUT_OF_MEMORY_LINE = r"OutOfMemoryError: CUDA out of memory\. Tried to allocate ([0-9.]+) ([A-Za-z]+)"
 
 # Kind, a fragment every line of that kind holds, and its pattern.

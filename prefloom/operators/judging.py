@@ -6,6 +6,8 @@ from prefloom.functions import text as T
 from prefloom.functions import verdicts as V
 
 MAX_ATTEMPTS = 3
+# The code of an answer that cannot be read; signs -1, 0 and 1 have the codes below it.
+_UNREADABLE = 3
 
 # The two rubrics a judge is asked with. {prompt}, {response_a} and {response_b}
 # mark where the texts go.
@@ -69,37 +71,45 @@ def judge_requests(items, keys, rubric, seed):
 
 
 def resolve_attempts(attempts, keys, reading, max_attempts=MAX_ATTEMPTS):
-    """The first attempt with a text decides: one row (keys, sign) per answered item.
+    """The first attempt with a text decides: one row (keys, sign, answered) per attempted item.
 
-    An empty text is an answer. Replies are read before the shuffle, so each map task sends at
-    most one fixed-width row per item however many attempts or copies an item has.
+    An empty text is an answer. `sign` is null for an item without an answer and for an answer that
+    the reading cannot read; `answered` tells them apart. Should an attempt number repeat, the
+    reply of the smaller code decides. Replies are read before the shuffle and packed with their
+    attempt into one number, so each map task sends at most one fixed-width row per item however
+    many attempts or copies an item has.
     """
-    answered = attempts.where(
-        (F.col("attempt") >= 0) & (F.col("attempt") < max_attempts) & F.col("raw").isNotNull()
+    tried = attempts.where((F.col("attempt") >= 0) & (F.col("attempt") < max_attempts))
+    code = F.coalesce(V.READINGS[reading](F.col("raw")) + 1, F.lit(_UNREADABLE))
+    packed = F.when(F.col("raw").isNotNull(), F.col("attempt") * (_UNREADABLE + 1) + code)
+    first = tried.select(*keys, packed.alias("_first")).groupBy(*keys).agg(F.min("_first").alias("_first"))
+    code = F.col("_first") % (_UNREADABLE + 1)
+    return first.select(
+        *keys,
+        F.when(code < _UNREADABLE, code - 1).cast("int").alias("sign"),
+        F.col("_first").isNotNull().alias("answered"),
     )
-    read = answered.select(*keys, "attempt", V.READINGS[reading](F.col("raw")).alias("sign"))
-    return read.groupBy(*keys).agg(F.min_by("sign", "attempt").alias("sign"))
 
 
 def decide(items, attempts, keys, reading, seed):
     """Add the position-free verdict of each item: `swapped`, `defaulted` and `sign`.
 
-    An item without an answer gets side A as shown, which after the un-swap is a coin flip;
-    `defaulted` marks those.
+    An item whose attempts all lack a text gets side A as shown, which after the un-swap is a coin
+    flip; `defaulted` marks those. An item that was never attempted, or whose answer cannot be
+    read, has a null sign: it is unjudged.
     """
-    # Verdicts are a few bytes per item and unique: hashing them lets items, which may carry
-    # whole texts, stream past unsorted.
-    resolved = resolve_attempts(attempts, keys, reading).hint("shuffle_hash")
+    resolved = resolve_attempts(attempts, keys, reading)
     joined = with_swap(items, keys, seed).join(resolved, keys, "left")
-    shown = F.coalesce(F.col("sign"), F.lit(V.A))
-    return joined.withColumn("defaulted", F.col("sign").isNull()).withColumn(
-        "sign", V.unswap(shown, F.col("swapped"))
-    )
+    defaulted = F.coalesce(~F.col("answered"), F.lit(False))
+    shown = F.when(defaulted, F.lit(V.A)).otherwise(F.col("sign"))
+    return joined.withColumns(
+        {"defaulted": defaulted, "sign": V.unswap(shown, F.col("swapped"))}
+    ).drop("answered")
 
 
 def label_pairs(candidates, attempts, seed):
-    """Judged candidates as preference pairs."""
-    judged = decide(candidates, attempts, ["cand_id"], "forced", seed)
+    """Judged candidates as preference pairs; unjudged ones have no label and are left out."""
+    judged = decide(candidates, attempts, ["cand_id"], "forced", seed).where(F.col("sign").isNotNull())
     a, b, a_wins = F.col("response_a"), F.col("response_b"), F.col("sign") > 0
     return judged.select(
         "cand_id",

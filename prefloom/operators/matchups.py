@@ -4,16 +4,13 @@ A win table depends only on verdicts, which are keyed by ids, so texts never tak
 The roster is the listing of one results folder; prompts are the table that grows.
 """
 
-from itertools import combinations
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefloom.operators.judging import decide
-from prefloom.operators.ordering import fan_out, small_side
+from prefloom.operators.ordering import fan_out
 
 MATCH_KEYS = ["prompt_id", "name_a", "name_b"]
-INLINE_MODELS = 64
 
 
 def comparable_models(registry, exclude=()):
@@ -32,23 +29,6 @@ def require_models(roster, minimum=2):
     return count
 
 
-def inline_names(roster, minimum=2):
-    """Names in order when the roster is small enough to be written into a plan, else None."""
-    names = sorted(row.model for row in roster.select("model").limit(INLINE_MODELS + 1).collect())
-    if len(names) < minimum:
-        raise ValueError(f"need at least {minimum} models to compare, found {len(names)}")
-    return names if len(names) <= INLINE_MODELS else None
-
-
-def _pair_literals(names):
-    return F.array(
-        *[
-            F.struct(F.lit(a).alias("name_a"), F.lit(b).alias("name_b"))
-            for a, b in combinations(names, 2)
-        ]
-    )
-
-
 def numbered_models(roster):
     """Models numbered by name. The roster is a folder listing, never the data."""
     position = F.row_number().over(Window.orderBy("model")) - 1
@@ -69,38 +49,27 @@ def numbered_pairs(roster, count):
     second = numbered.select(F.col("model").alias("name_b"), F.col("model_no").alias("partner_no"))
     model = F.col("model_no").cast("bigint")
     before = F.floor(model * (2 * count - model - 1) / 2)
-    return first.join(small_side(second, count), "partner_no").select(
+    return first.join(second, "partner_no").select(
         (before + F.col("partner_no") - model - 1).cast("int").alias("pair_no"), "name_a", "name_b"
     )
 
 
 def model_pairs(roster):
-    """Every unordered pair of models in name order, and how many there are."""
-    names = inline_names(roster)
-    if names is None:
-        count = require_models(roster)
-        return numbered_pairs(roster, count).drop("pair_no"), count * (count - 1) // 2
-    pairs = roster.sparkSession.range(1).select(F.inline(_pair_literals(names)))
-    return pairs, len(names) * (len(names) - 1) // 2
+    """Every unordered pair of models in name order."""
+    return numbered_pairs(roster, require_models(roster)).drop("pair_no")
 
 
 def match_items(prompts, roster):
     """One item per prompt and pair: what a judge has to decide."""
-    ids = prompts.select("prompt_id")
-    names = inline_names(roster)
-    if names is not None:
-        return ids.select("prompt_id", F.inline(_pair_literals(names)))
     count = require_models(roster)
-    return fan_out(ids, numbered_pairs(roster, count), "pair_no", count * (count - 1) // 2)
+    return fan_out(
+        prompts.select("prompt_id"), numbered_pairs(roster, count), "pair_no", count * (count - 1) // 2
+    )
 
 
 def expected_generations(prompts, roster):
     """One row per prompt and model: every response a comparison needs."""
-    ids = prompts.select("prompt_id")
-    names = inline_names(roster, 1)
-    if names is not None:
-        return ids.withColumn("model", F.explode(F.array(*[F.lit(name) for name in names])))
-    return fan_out(ids, numbered_models(roster), "model_no", require_models(roster, 1))
+    return fan_out(prompts.select("prompt_id"), numbered_models(roster), "model_no", require_models(roster, 1))
 
 
 def generation_gaps(prompts, roster, generations):
@@ -109,22 +78,18 @@ def generation_gaps(prompts, roster, generations):
     return expected_generations(prompts, roster).join(made, ["prompt_id", "model"], "left_anti")
 
 
-def match_texts(generations, roster):
-    """Both responses for every prompt and pair.
+def match_texts(prompts, generations, roster):
+    """Both responses for every prompt and pair; one that was never made is null, `missing` says so.
 
-    A response of model A meets A's later partners through the small pair list, then the
-    partner's response in one shuffled join; no third pass over the texts is needed.
+    A prompt's responses meet in one row, as long as the roster, and every pair of the prompt looks
+    its two up there: texts are shuffled once, by prompt, and never by a model's name.
     """
-    pairs, n_pairs = model_pairs(roster)
-    first = generations.select(
-        "prompt_id", F.col("model").alias("name_a"), F.col("response").alias("response_a")
-    )
-    second = generations.select(
-        "prompt_id", F.col("model").alias("name_b"), F.col("response").alias("response_b")
+    by_model = generations.groupBy("prompt_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("model", "response"))).alias("_responses")
     )
-    sided = first.join(small_side(pairs, n_pairs), "name_a")
-    return sided.join(second, ["prompt_id", "name_b"]).select(
-        *MATCH_KEYS, "response_a", "response_b"
+    a, b = F.col("_responses")[F.col("name_a")], F.col("_responses")[F.col("name_b")]
+    return match_items(prompts, roster).join(by_model, "prompt_id", "left").select(
+        *MATCH_KEYS, a.alias("response_a"), b.alias("response_b"), (a.isNull() | b.isNull()).alias("missing")
     )
 
 
@@ -133,21 +98,29 @@ def judge_matches(items, attempts, seed):
 
 
 def match_counts(judged, roster):
-    """Wins and ties per pair; a pair nobody judged keeps a row of zeros."""
+    """Wins and ties per pair; a pair nobody judged keeps a row of zeros.
+
+    `defaulted` says how many of these verdicts are defaults. `unjudged` items have no verdict and
+    are in none of the other counts.
+    """
     counts = judged.groupBy("name_a", "name_b").agg(
         F.count_if(F.col("sign") > 0).alias("a_wins"),
         F.count_if(F.col("sign") < 0).alias("b_wins"),
         F.count_if(F.col("sign") == 0).alias("ties"),
+        F.count_if("defaulted").alias("defaulted"),
+        F.count_if(F.col("sign").isNull()).alias("unjudged"),
     )
-    pairs, _ = model_pairs(roster)
-    return pairs.join(counts, ["name_a", "name_b"], "left").na.fill(0, ["a_wins", "b_wins", "ties"])
+    filled = ["a_wins", "b_wins", "ties", "defaulted", "unjudged"]
+    return model_pairs(roster).join(counts, ["name_a", "name_b"], "left").na.fill(0, filled)
 
 
 def match_totals(counts):
-    """Ties and matches over all pairs, from the already aggregated pair table."""
+    """Ties, matches, defaults and unjudged items over all pairs, from the aggregated pair table."""
     return counts.agg(
         F.sum("ties").alias("ties"),
         F.sum(F.col("a_wins") + F.col("b_wins") + F.col("ties")).alias("total"),
+        F.sum("defaulted").alias("defaulted"),
+        F.sum("unjudged").alias("unjudged"),
     )
 
 
@@ -159,12 +132,17 @@ def leaderboard(counts, roster):
     """
     def side(name, won, lost):
         return F.struct(
-            F.col(name).alias("model"), F.col(won).alias("wins"), F.col(lost).alias("losses"), "ties"
+            F.col(name).alias("model"),
+            F.col(won).alias("wins"),
+            F.col(lost).alias("losses"),
+            "ties",
+            "defaulted",
+            "unjudged",
         )
 
     both = F.inline(F.array(side("name_a", "a_wins", "b_wins"), side("name_b", "b_wins", "a_wins")))
     sides = counts.select(both).groupBy("model").agg(
-        F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.sum("ties").alias("ties")
+        *[F.sum(name).alias(name) for name in ("wins", "losses", "ties", "defaulted", "unjudged")]
     )
     board = roster.select("model").join(sides, "model", "left").na.fill(0)
     decided = F.col("wins") + F.col("losses")
@@ -175,4 +153,6 @@ def leaderboard(counts, roster):
         played.alias("played"),
         F.try_divide("wins", played).alias("win_rate"),
         F.try_divide("wins", decided).alias("decided_rate"),
+        "defaulted",
+        "unjudged",
     ).orderBy(F.desc("wins"), "model")

@@ -10,8 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 BLOCK_BITS = 20
-KEY_BITS = 40
-BROADCAST_ROWS = 100_000
+KEY_BITS = 64
 
 
 def _running_sum(within, carried):
@@ -29,8 +28,8 @@ def running_aggregates(df, order, aggregates, by=(), inclusive=True, bits=BLOCK_
 
     The rows are shuffled once, on (`by`, block); a block holds at most 2**bits rows whatever
     the group size. The carried totals go through the same function one level up, so no level
-    has a larger window as long as keys stay below 2**span. A larger span only adds a level:
-    give 64 for sparse keys such as hashes. The result is the same for every choice.
+    has a larger window as long as keys stay below 2**span, which the default grants for every
+    key. A span known to be smaller spares levels; the result is the same for every choice.
     """
     by = list(by)
     end = Window.currentRow if inclusive else -1
@@ -118,13 +117,4 @@ def fan_out(df, numbered, number, count):
     if count < 1:
         raise ValueError("nothing to fan out to")
     numbers = df.withColumn(number, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-    return numbers.join(small_side(numbered, count), number).drop(number)
-
-
-def small_side(df, rows, limit=BROADCAST_ROWS):
-    """Broadcast `df` when its counted rows are within the limit, else leave the join to a shuffle.
-
-    Used for tables of short names only. Past the limit every join key holds at most one in
-    `limit` of the other side's rows, so the shuffle that replaces it is even.
-    """
-    return F.broadcast(df) if rows <= limit else df
+    return numbers.join(numbered, number).drop(number)

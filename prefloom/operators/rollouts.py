@@ -67,23 +67,31 @@ def reward_by_step(rollouts):
 def scale_rewards(rollouts, clip=M.SCORE_CLIP):
     """Each reward normalised by the statistics of its run up to its step, then clipped.
 
-    Rows are summed per step first; the running statistics walk over steps, not rows, and in
-    blocks, so a run that holds most of the data is still spread out.
+    Rows become a count, a mean and a squared deviation per step first; the running statistics walk
+    over steps, not rows, and in blocks, so a run that holds most of the data is still spread out.
+    Step means are taken relative to their run's mean, so large rewards of a small spread lose no
+    digits. The deviation is zero only where all rewards so far are equal.
     """
     cleaned = clean_rewards(rollouts)
     reward = F.col("reward")
     per_step = cleaned.groupBy("run_id", "step").agg(
         F.count("reward").alias("_n"),
-        F.sum("reward").alias("_s"),
-        F.sum(reward * reward).alias("_q"),
+        F.avg("reward").alias("_mean"),
+        F.var_pop("reward").alias("_spread"),
+        F.max("reward").alias("_high"),
+        F.max(-reward).alias("_low"),
     )
+    centre = per_step.groupBy("run_id").agg(F.avg("_mean").alias("_centre"))
+    shift = F.col("_mean") - F.col("_centre")
     running = running_aggregates(
-        per_step,
+        per_step.join(centre, "run_id"),
         "step",
         {
             "n": ("sum", F.col("_n")),
-            "s": ("sum", F.col("_s")),
-            "q": ("sum", F.col("_q")),
+            "s": ("sum", F.col("_n") * shift),
+            "q": ("sum", F.col("_n") * (F.col("_spread") + shift * shift)),
+            "high": ("max", F.col("_high")),
+            "low": ("max", F.col("_low")),
         },
         by=["run_id"],
     )
@@ -92,9 +100,10 @@ def scale_rewards(rollouts, clip=M.SCORE_CLIP):
     moments = running.select(
         "run_id",
         "step",
-        mean.alias("running_mean"),
-        # Rounding can leave a constant reward with a variance just off zero.
-        F.when(variance > 1e-12, F.sqrt(variance)).otherwise(F.lit(0.0)).alias("running_std"),
+        (F.col("_centre") + mean).alias("running_mean"),
+        F.when(F.col("high") == -F.col("low"), F.lit(0.0))
+        .otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
+        .alias("running_std"),
     )
     centred = (reward - F.col("running_mean")) / F.col("running_std")
     scaled = F.when(F.col("running_std") == 0, F.lit(0.0) * reward).otherwise(centred)

@@ -87,16 +87,20 @@ def unstable_batches(parsed, limit=M.RATIO_LIMIT):
 
 
 def _trend(counted):
-    """Reward slope over steps and spread of KL; NaN readings are left out."""
+    """Reward slope over steps and spread of KL; readings that are not finite are left out, counted."""
+
+    def finite(name):
+        return ~F.isnan(F.col(name)) & (F.abs(F.col(name)) != float("inf"))
 
     def usable(name):
-        return F.when(~F.isnan(F.col(name)), F.col(name))
+        return F.when(finite(name), F.col(name))
 
     return [
         F.count_if(counted).alias("steps"),
         F.regr_slope(usable("mean_reward"), F.col("step").cast("double")).alias("reward_slope"),
         F.stddev_pop(usable("kl")).alias("kl_spread"),
         F.count_if(counted & M.is_nan_step()).alias("nan_steps"),
+        F.count_if(counted & ~(finite("mean_reward") & finite("kl"))).alias("not_finite"),
     ]
 
 

@@ -13,6 +13,13 @@ SEQUENCE_BUDGET = 1024
 PROMPT_BUDGET = 512
 
 
+def stored(spark, table):
+    """A models-sized table that several outputs are built from, written once."""
+    path = scratch_folder(spark)
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
 def _rounded(df, *columns, digits=6):
     return df.withColumns({name: F.round(F.col(name), digits) for name in columns})
 
@@ -114,6 +121,15 @@ def verdict_readings(spark, folder):
 AUDIT_MEANS = ["avg_chosen_chars", "avg_rejected_chars", "chosen_longer_share"]
 
 
+def transcript_audit(spark, folder):
+    """What becomes of every turn: conversations without an answer, and turns after the last one."""
+    return inputs.transcripts(spark, folder).agg(
+        F.count("*").alias("conversations"),
+        F.count_if(F.col("first_response").isNull()).alias("unanswered"),
+        F.sum("trailing").alias("trailing_turns"),
+    )
+
+
 def pair_audit(spark, folder):
     return _rounded(audit.label_audit(_labelled(spark, folder)), *AUDIT_MEANS, "defaulted_share")
 
@@ -135,17 +151,80 @@ def reward_profile(spark, folder):
 def candidate_file(spark, folder):
     """Candidates written as JSON lines and read back with ids from file order."""
     path = scratch_folder(spark)
-    sinks.write_candidates(inputs.candidates(spark, folder), path)
-    return files.read_candidates(spark, path)
+    sinks.write_candidates(inputs.candidates(spark, folder), path, order="cand_id")
+    return files.read_candidates(spark, path, stored_ids=False)
 
 
 def labelled_file(spark, folder):
-    """Labelled pairs written as JSON lines and read back as a preference source."""
+    """Labelled pairs written as JSON lines and read back, with their ids, as a preference source."""
     path = scratch_folder(spark)
     sinks.write_labelled_pairs(_ai_pairs(spark, folder), path)
     return files.read_preference_pairs(spark, data_file=path)
 
 
+def human_pair_file(spark, folder):
+    """The train split of human pairs, beside another split of a longer name."""
+    root = scratch_folder(spark)
+    pairs = inputs.human_pairs(spark, folder).withColumn("line", F.to_json(F.struct("chosen", "rejected")))
+    for split, rest in (("train", 0), ("train_old", 1)):
+        part = pairs.where(F.pmod("pair_id", F.lit(2)) == rest).orderBy("pair_id")
+        part.select("line").write.text(f"{root}/{files.HUMAN_SUBSET}/{split}.jsonl", lineSep="\n\n")
+    return files.read_preference_pairs(spark, root=root, split="train")
+
+
+def verdict_file(spark, folder):
+    """Recorded replies of both kinds, written as JSON lines and as parquet and read back."""
+    path = scratch_folder(spark)
+    inputs.label_attempts(spark, folder).write.json(f"{path}/labels")
+    inputs.match_attempts(spark, folder).write.parquet(f"{path}/matches")
+    labels = files.read_verdicts(spark, f"{path}/labels", form="json")
+    matches = files.read_verdicts(spark, f"{path}/matches", "match")
+    none = F.lit(None).cast("string")
+    return labels.select(
+        F.col("cand_id").alias("item_id"), none.alias("name_a"), none.alias("name_b"), "attempt", "raw"
+    ).unionAll(matches.select("prompt_id", "name_a", "name_b", "attempt", "raw"))
+
+
+def generation_file(spark, folder):
+    """Responses with white space around them, written as JSON lines and read back stripped."""
+    path = scratch_folder(spark)
+    padded = F.concat(F.lit(" \n"), "response", F.lit("\u00a0\t"))
+    inputs.generations(spark, folder).withColumn("response", padded).write.json(path)
+    return files.read_generations(spark, path, form="json")
+
+
+def registry(spark, folder):
+    """Models of a results folder: a folder per nation, every second one with a config file.
+
+    Names of reward models are left out, and the order is by name.
+    """
+    path = scratch_folder(spark)
+    prefix = F.when(F.col("n_nationkey") % 5 == 0, "reward_model_").otherwise("")
+    nation = F.concat(prefix, F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))))
+    nations = spark.read.parquet(f"{folder}/nation.parquet")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in nations.select(nation.alias("model"), "n_nationkey").collect():  # a folder listing
+        name = "config.json" if row.n_nationkey % 2 == 0 else "weights.txt"
+        file = hadoop.Path(f"{path}/{row.model}/{name}")
+        out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file)
+        out.writeBytes("{}")
+        out.close()
+    return matchups.comparable_models(files.read_registry(spark, path)).select("model")
+
+
+def log_file(spark, folder):
+    """A log file per run, read back with the line numbers of each file."""
+    path = scratch_folder(spark)
+    lines = inputs.log_lines(spark, folder)
+    ordered = lines.repartition("run_id").sortWithinPartitions("run_id", "line_no")
+    ordered.select("run_id", "value").write.partitionBy("run_id").text(path)
+    read = files.read_log(spark, f"{path}/run_id=*")
+    # Runs are known by the first lines that only they print.
+    return runlog.parse_log(read).groupBy("kind").agg(
+        F.count("*").alias("lines"), F.count_distinct("run_id").alias("runs"), F.sum("line_no").alias("line_numbers")
+    )
+
+
 # --- evaluation ------------------------------------------------------------------------------
 
 
@@ -154,10 +233,12 @@ def match_items(spark, folder):
 
 
 def match_requests(spark, folder):
-    texts = matchups.match_texts(inputs.generations(spark, folder), inputs.roster(spark))
     asked = _asked(spark, folder).select("prompt_id", "prompt")
+    # A response of no text was never made.
+    made = inputs.generations(spark, folder).where("response <> ''")
+    texts = matchups.match_texts(asked, made, inputs.roster(spark))
     return judging.judge_requests(
-        texts.join(asked, "prompt_id"), matchups.MATCH_KEYS, judging.TIE_RUBRIC, SEED
+        texts.where("NOT missing").join(asked, "prompt_id"), matchups.MATCH_KEYS, judging.TIE_RUBRIC, SEED
     )
 
 
@@ -193,8 +274,31 @@ def leaderboard(spark, folder):
     return _rounded(board, "win_rate", "decided_rate")
 
 
+def eval_raw(spark, folder):
+    """The stored evaluation read back: a row per prompt, response, match-up and model."""
+    asked = _asked(spark, folder).join(inputs.prompt_ids(spark, folder), "prompt_id", "left_semi")
+    stored = sinks.write_eval_raw(
+        asked.select("prompt_id", "prompt"),
+        inputs.generations(spark, folder),
+        _counts(spark, folder),
+        inputs.roster(spark),
+        scratch_folder(spark),
+    )
+
+    def rows(part, key, *values):
+        value = F.concat_ws("|", *[F.col(name).cast("string") for name in values])
+        return stored[part].select(F.lit(part).alias("part"), key.cast("string").alias("key"), value.alias("value"))
+
+    return (
+        rows("prompts", F.col("prompt_id"), "prompt")
+        .unionAll(rows("generations", F.concat_ws("|", "model", F.col("prompt_id").cast("string")), "response"))
+        .unionAll(rows("matchups", F.concat("name_a", F.lit("_vs_"), "name_b"), "a_wins", "b_wins", "ties"))
+        .unionAll(rows("wins", F.col("model"), "wins"))
+    )
+
+
 def eval_report(spark, folder):
-    counts = _counts(spark, folder)
+    counts = stored(spark, _counts(spark, folder))
     return sinks.report_lines(
         counts,
         matchups.leaderboard(counts, inputs.roster(spark)),
@@ -227,9 +331,7 @@ def batch_cursor(spark, folder):
 def rollout_rows(spark, folder):
     """Prompt, response, cleaned reward and reward input of every slot."""
     rewards = rollouts.clean_rewards(inputs.rollouts(spark, folder))
-    slots = rewards.select(*rollouts.SLOT_KEYS)
-    cursor = rollouts.batch_cursor(slots, inputs.prompt_ids(spark, folder)).drop("position")
-    zipped = rollouts.zip_rollout(cursor, rewards)
+    zipped = rollouts.batch_cursor(rewards, inputs.prompt_ids(spark, folder)).drop("position")
     answer = F.when(F.col("step") % 2 == 0, F.col("response_a")).otherwise(F.col("response_b"))
     texts = zipped.join(_asked(spark, folder), "prompt_id").withColumn("response", answer)
     return transcripts.reward_inputs(texts).select(
@@ -248,8 +350,9 @@ def reward_by_step(spark, folder):
 def reward_scaled(spark, folder):
     scaled = rollouts.scale_rewards(inputs.rollouts(spark, folder))
     # The running mean is often an exact half in the seventh place, where the order of additions
-    # decides the rounding; the scaled value, which uses it, is compared instead.
-    return _rounded(scaled.drop("running_mean"), "running_std", "scaled")
+    # would decide the rounding: it is moved off the half.
+    moved = scaled.withColumn("running_mean", F.col("running_mean") + F.lit(1e-8))
+    return _rounded(moved, "running_mean", "running_std", "scaled")
 
 
 # --- run logs --------------------------------------------------------------------------------
@@ -306,11 +409,18 @@ QUERIES = {
         labelled_transcripts,
         usable_pairs,
         verdict_readings,
+        transcript_audit,
         pair_audit,
         pair_audit_by_labeler,
         reward_profile,
         candidate_file,
         labelled_file,
+        human_pair_file,
+        verdict_file,
+        generation_file,
+        registry,
+        log_file,
+        eval_raw,
         match_items,
         match_requests,
         generation_gaps,

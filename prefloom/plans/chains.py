@@ -1,8 +1,8 @@
-"""The three chains a user runs on files: label candidates, evaluate models, check a run."""
+"""The chains a user runs on files: label candidates, evaluate models, training tables, runs."""
 
 from pyspark.sql import functions as F
 
-from prefloom.operators import audit, judging, matchups, runlog, transcripts
+from prefloom.operators import audit, judging, matchups, rollouts, runlog, transcripts
 from prefloom.sources import files, sinks
 
 
@@ -27,17 +27,68 @@ def label_candidates(spark, candidates_path, verdicts_path, out_path, seed, max_
     return audit.label_audit(labelled)
 
 
+def _test_prompts(spark, pairs_root, n_prompts, path):
+    """The prompts of the test split, stored: every use of them would number the files anew."""
+    pairs = files.read_human_pairs(spark, pairs_root, "test", n_prompts)
+    prompts = transcripts.prompts_only(pairs, "chosen").withColumnRenamed("pair_id", "prompt_id")
+    prompts.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def request_matches(spark, results, pairs_root, generations_path, out_path, seed, n_prompts=None, exclude=()):
+    """Write the judge requests of a model comparison; returns the responses that are missing."""
+    roster = matchups.comparable_models(files.read_registry(spark, results), exclude)
+    matchups.require_models(roster)
+    prompts = _test_prompts(spark, pairs_root, n_prompts, f"{out_path}/prompts")
+    texts = matchups.match_texts(prompts, files.read_generations(spark, generations_path), roster)
+    texts.write.mode("overwrite").parquet(f"{out_path}/texts")
+    texts = spark.read.parquet(f"{out_path}/texts")
+    asked = texts.where("NOT missing").join(prompts, "prompt_id")
+    requests = judging.judge_requests(asked, matchups.MATCH_KEYS, judging.TIE_RUBRIC, seed)
+    requests.write.mode("overwrite").parquet(f"{out_path}/requests")
+    return texts.where("missing").select(*matchups.MATCH_KEYS)
+
+
+def training_tables(spark, pairs_path, out_path, budget=1024, max_samples=None, stored_ids=None):
+    """Write the supervised, preference and reward-model tables of a file of labelled pairs."""
+    pairs = files.read_preference_pairs(spark, data_file=pairs_path, max_samples=max_samples, stored_ids=stored_ids)
+    pairs.write.mode("overwrite").parquet(f"{out_path}/pairs")
+    pairs = spark.read.parquet(f"{out_path}/pairs")
+    for name, table in (
+        ("sft", transcripts.sft_rows(pairs)),
+        ("dpo", transcripts.dpo_triples(pairs)),
+        ("reward_model", transcripts.reward_model_rows(pairs, budget)),
+    ):
+        table.write.mode("overwrite").parquet(f"{out_path}/{name}")
+
+
+def rollout_tables(spark, rollouts_path, prompts, out_path):
+    """Write a run's rewards with their prompts and scaled values; returns the mean of each step.
+
+    `prompts` has a prompt_id per row, standing in its order.
+    """
+    rewards = rollouts.scale_rewards(files.read_rollouts(spark, rollouts_path))
+    placed = rollouts.batch_cursor(rewards, prompts.select("prompt_id")).drop("position")
+    placed.write.mode("overwrite").parquet(f"{out_path}/rewards")
+    return rollouts.reward_by_step(spark.read.parquet(f"{out_path}/rewards"))
+
+
 def evaluate_models(
-    spark, results, pairs_root, generations_path, verdicts_path, seed, judge, n_prompts=50, exclude=()
+    spark, results, pairs_root, generations_path, verdicts_path, seed, judge, n_prompts=None, exclude=()
 ):
-    """Write the raw evaluation and its report below `results`; returns the leaderboard."""
+    """Write the raw evaluation and its report below `results`; returns the leaderboard.
+
+    `n_prompts` caps the test prompts; None takes all. Responses that were never made are written to
+    `results`/eval_raw/gaps.
+    """
     roster = matchups.comparable_models(files.read_registry(spark, results), exclude)
     matchups.require_models(roster)
-    pairs = files.read_human_pairs(spark, pairs_root, "test", n_prompts)
-    prompts = transcripts.prompts_only(pairs, "chosen").withColumnRenamed("pair_id", "prompt_id")
+    prompts = _test_prompts(spark, pairs_root, n_prompts, f"{results}/eval_prompts")
     generations = files.read_generations(spark, generations_path).join(
         prompts.select("prompt_id"), "prompt_id", "left_semi"
     )
+    gaps = matchups.generation_gaps(prompts, roster, generations)
+    gaps.write.mode("overwrite").parquet(f"{results}/eval_raw/gaps")
     items = matchups.match_items(prompts, roster)
     judged = matchups.judge_matches(items, files.read_verdicts(spark, verdicts_path, "match"), seed)
     counts = matchups.match_counts(judged, roster)

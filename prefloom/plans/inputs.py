@@ -30,10 +30,10 @@ def table(spark, folder, name):
 
 
 def transcripts(spark, folder):
-    """One transcript per conversation with an assistant turn, up to the last such turn.
+    """One transcript per conversation: the turns up to its last assistant turn, or all without one.
 
     A transcript is one string, so its turns have to meet in one row; that row is the only thing
-    a group builds.
+    a group builds. `trailing` counts the turns after the last assistant turn.
     """
     turn = F.struct("turn", "role", "text")
     assistant_turn = F.when(F.col("role") == "assistant", F.col("turn"))
@@ -47,21 +47,31 @@ def transcripts(spark, folder):
     def line(t):
         return F.concat(F.lit("\n\n"), speaker[t["role"]], F.lit(": "), t["text"])
 
-    kept = F.filter("turns", lambda t: t["turn"] <= F.col("last_turn"))
+    kept = F.filter("turns", lambda t: t["turn"] <= F.coalesce("last_turn", t["turn"]))
     opening = F.filter("turns", lambda t: t["turn"] == F.col("first_turn"))
-    return grouped.where(F.col("last_turn").isNotNull()).select(
+    return grouped.select(
         "conv_id",
         F.array_join(F.transform(kept, line), "").alias("transcript"),
-        opening[0]["text"].alias("first_response"),
-        (F.col("first_turn") < F.col("last_turn")).alias("several"),
+        F.get(opening, F.lit(0))["text"].alias("first_response"),
+        F.coalesce(F.col("first_turn") < F.col("last_turn"), F.lit(False)).alias("several"),
+        (F.size("turns") - F.size(kept)).alias("trailing"),
     )
 
 
 def candidates(spark, folder):
-    """Two responses per prompt: the last assistant turn, and the first one or half the last."""
-    a = F.col("response")
+    """Two responses per prompt: the last assistant turn, and the first one or half the last.
+
+    Some second responses are empty, equal to the first or hold a turn marker, as broken ones do.
+    """
+    a, conv = F.col("response"), F.col("conv_id")
     half = F.left(a, F.floor(F.length(a) / 2).cast("int"))
     other = F.when(F.col("several"), F.col("first_response")).otherwise(half)
+    other = (
+        F.when(conv % 17 == 3, "")
+        .when(conv % 19 == 5, a)
+        .when(conv % 23 == 7, F.concat(other, F.lit(T.ASSISTANT_MARKER), F.lit(" again")))
+        .otherwise(other)
+    )
     return split_transcripts(transcripts(spark, folder)).select(
         F.col("conv_id").alias("cand_id"),
         "prompt",
@@ -99,19 +109,20 @@ def _with_replies(items, tag, keys):
 
 
 def label_attempts(spark, folder):
-    ids = prompt_ids(spark, folder).withColumnRenamed("prompt_id", "cand_id")
+    """Replies to every eleventh candidate were never asked for."""
+    ids = prompt_ids(spark, folder).withColumnRenamed("prompt_id", "cand_id").where("cand_id % 11 <> 5")
     return _with_replies(ids, "v", ["cand_id"])
 
 
 def roster(spark):
     """The compared checkpoints, as a folder listing would give them."""
-    return spark.sql("SELECT model FROM VALUES ('dpo'), ('ppo'), ('sft') AS models(model)")
+    return spark.sql("SELECT model FROM VALUES ('dpo'), ('ppo'), ('sft'), ('zero') AS models(model)")
 
 
 def generations(spark, folder):
     """Each model's response per prompt."""
     a, b = F.col("response_a"), F.col("response_b")
-    texts = {"sft": a, "dpo": b, "ppo": T.strip(F.left(a, F.lit(80)))}
+    texts = {"sft": a, "dpo": b, "ppo": T.strip(F.left(a, F.lit(80))), "zero": F.left(a, F.lit(1))}
     rows = [
         F.struct(F.lit(name).alias("model"), text.alias("response")) for name, text in texts.items()
     ]
@@ -121,7 +132,9 @@ def generations(spark, folder):
 
 
 def match_attempts(spark, folder):
+    """Replies for the pairs that were judged: none with `zero`, and some prompts are missing."""
     items = match_items(prompt_ids(spark, folder), roster(spark))
+    items = items.where("name_b <> 'zero' AND NOT (prompt_id % 13 = 4 AND name_a = 'dpo')")
     return _with_replies(items, "e", ["prompt_id", "name_a", "name_b"])
 
 
@@ -149,8 +162,8 @@ def step_metrics(spark, folder):
         (value / 50).alias("mean_reward"),
         F.when(event % 37 == 0, M.NAN).otherwise(value / 10).alias("kl"),
         # Whole thousandths: engines disagree on how to print a half in the fourth place.
-        (F.floor(value) / 1000).alias("val_var_explained"),
-        (value / 100).alias("policy_loss"),
+        F.when(event % 41 == 0, M.NAN).otherwise(F.floor(value) / 1000).alias("val_var_explained"),
+        F.when(event % 43 == 0, M.NAN).otherwise(value / 100).alias("policy_loss"),
     )
 
 
@@ -169,7 +182,7 @@ def log_lines(spark, folder):
     )
     negative = F.concat(
         F.lit("UserWarning: KL divergence is starting to become negative: -"),
-        fixed(value, 2),
+        F.when(event % 120 == 0, "inf").otherwise(fixed(value, 2)),
         F.lit(" - this might be a precursor for failed training."),
     )
     head = F.concat(F.lit("step "), step.cast("string"), F.lit(f"/{STEPS_REQUESTED}  "))
@@ -191,11 +204,15 @@ def log_lines(spark, folder):
     saved = F.concat(
         F.lit("  [checkpoint saved at step "), step.cast("string"), F.lit(" -> results/ppo_checkpoint]")
     )
+    memory = F.concat(
+        F.lit("torch.OutOfMemoryError: CUDA out of memory. Tried to allocate "), fixed(value, 2), F.lit(" GiB.")
+    )
     lines = F.array(
         F.when(event % 50 == 0, ratio),
         F.when(event % 60 == 0, negative),
         F.concat(head, F.when(event % 37 == 0, failed).otherwise(metrics)),
         F.when(M.is_checkpoint_step(step), saved),
+        F.when(event % 500 == 2, memory),
     )
     return (
         table(spark, folder, "events")
@@ -203,7 +220,7 @@ def log_lines(spark, folder):
         .where(F.col("value").isNotNull())
         .select(
             (F.col("event_id") % RUNS).alias("run_id"),
-            (F.col("event_id") * 4 + F.col("k")).alias("line_no"),
+            (F.col("event_id") * 8 + F.col("k")).alias("line_no"),
             "value",
         )
     )

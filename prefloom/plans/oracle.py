@@ -51,9 +51,9 @@ transcripts AS (
          string_agg(chr(10)||chr(10)||CASE role WHEN 'user' THEN 'Human' WHEN 'assistant' THEN 'Assistant'
                     WHEN 'system' THEN 'System' END||': '||text, '' ORDER BY turn) AS transcript,
          max(text) FILTER (turn = first_turn) AS first_response,
-         max(first_turn) < max(last_turn) AS several
+         coalesce(max(first_turn) < max(last_turn), false) AS several
   FROM conversations c JOIN edges e ON c.conv_id = e.conv_id
-  WHERE turn <= last_turn GROUP BY c.conv_id),
+  WHERE turn <= coalesce(last_turn, turn) GROUP BY c.conv_id),
 split AS (
   SELECT conv_id, {_prompt('transcript')} AS prompt, {_response('transcript')} AS response,
          contains(transcript, {_MARK}) AS has_marker, first_response, several
@@ -62,8 +62,9 @@ split AS (
 _CANDIDATES = _TRANSCRIPTS + f""",
 candidates AS (
   SELECT conv_id AS cand_id, prompt, response AS response_a,
-         {_strip("CASE WHEN several THEN first_response ELSE left(response, length(response) // 2) END")}
-           AS response_b
+         {_strip("CASE WHEN conv_id % 17 = 3 THEN '' WHEN conv_id % 19 = 5 THEN response ELSE "
+                 "CASE WHEN several THEN first_response ELSE left(response, length(response) // 2) END || "
+                 f"CASE WHEN conv_id % 23 = 7 THEN {_MARK}||' again' ELSE '' END END")} AS response_b
   FROM split),
 human AS (
   SELECT cand_id AS pair_id, prompt||' '||response_a AS chosen, prompt||' '||response_b AS rejected,
@@ -73,17 +74,17 @@ human AS (
 _ATTEMPTS = f"""
 label_attempts AS (
   SELECT cand_id, attempt, {_REPLY.format(h=_hex4("'v|'||cand_id||'|'||attempt"))} AS raw
-  FROM (SELECT DISTINCT conv_id AS cand_id FROM conversations WHERE role = 'assistant'),
+  FROM (SELECT DISTINCT conv_id AS cand_id FROM conversations WHERE role = 'assistant' AND conv_id % 11 <> 5),
        range(0, 3) r(attempt))"""
 
 _LABELLED = _CANDIDATES + "," + _ATTEMPTS + f""",
 answered AS (
-  SELECT cand_id, arg_min({_FORCED}, attempt) AS shown
-  FROM label_attempts WHERE raw IS NOT NULL GROUP BY cand_id),
+  SELECT cand_id, arg_min({_FORCED}, attempt) FILTER (raw IS NOT NULL) AS shown
+  FROM label_attempts GROUP BY cand_id),
 judged AS (
   SELECT c.*, substr(md5('s|'||c.cand_id), 1, 1) < '8' AS swapped, shown IS NULL AS defaulted,
          coalesce(shown, 'A') AS shown
-  FROM candidates c LEFT JOIN answered a ON c.cand_id = a.cand_id),
+  FROM candidates c JOIN answered a ON c.cand_id = a.cand_id),
 unswapped AS (
   SELECT *, CASE WHEN NOT swapped THEN shown WHEN shown = 'A' THEN 'B' ELSE 'A' END AS verdict FROM judged),
 labelled AS (
@@ -100,10 +101,11 @@ _GENERATIONS = _CANDIDATES + f""",
 generations AS (
   SELECT cand_id AS prompt_id, 'sft' AS model, response_a AS response FROM candidates
   UNION ALL SELECT cand_id, 'dpo', response_b FROM candidates
-  UNION ALL SELECT cand_id, 'ppo', {_strip("left(response_a, 80)")} FROM candidates)"""
+  UNION ALL SELECT cand_id, 'ppo', {_strip("left(response_a, 80)")} FROM candidates
+  UNION ALL SELECT cand_id, 'zero', left(response_a, 1) FROM candidates)"""
 
 _MATCHES = f"""
-models AS (SELECT * FROM (VALUES ('dpo'), ('ppo'), ('sft')) v(model)),
+models AS (SELECT * FROM (VALUES ('dpo'), ('ppo'), ('sft'), ('zero')) v(model)),
 pairs AS (SELECT a.model AS name_a, b.model AS name_b FROM models a JOIN models b ON a.model < b.model),
 prompt_ids AS (SELECT DISTINCT conv_id AS prompt_id FROM conversations WHERE role = 'assistant'),
 items AS (SELECT prompt_id, name_a, name_b FROM prompt_ids, pairs)"""
@@ -112,31 +114,37 @@ _JUDGED_MATCHES = _MATCHES + f""",
 match_attempts AS (
   SELECT prompt_id, name_a, name_b, attempt,
          {_REPLY.format(h=_hex4("'e|'||prompt_id||'|'||name_a||'|'||name_b||'|'||attempt"))} AS raw
-  FROM items, range(0, 3) r(attempt)),
+  FROM items, range(0, 3) r(attempt)
+  WHERE name_b <> 'zero' AND NOT (prompt_id % 13 = 4 AND name_a = 'dpo')),
 match_answers AS (
-  SELECT prompt_id, name_a, name_b, arg_min({_TIE_AWARE}, attempt) AS shown
-  FROM match_attempts WHERE raw IS NOT NULL GROUP BY ALL),
+  SELECT prompt_id, name_a, name_b, true AS asked, arg_min({_TIE_AWARE}, attempt) FILTER (raw IS NOT NULL) AS shown
+  FROM match_attempts GROUP BY ALL),
 match_judged AS (
   SELECT i.*, substr(md5('s|'||i.prompt_id||'|'||i.name_a||'|'||i.name_b), 1, 1) < '8' AS swapped,
-         shown IS NULL AS defaulted, coalesce(shown, 'A') AS shown
+         asked IS NOT NULL AND shown IS NULL AS defaulted, CASE WHEN asked THEN coalesce(shown, 'A') END AS shown
   FROM items i LEFT JOIN match_answers USING (prompt_id, name_a, name_b)),
 match_verdicts AS (
   SELECT prompt_id, name_a, name_b, swapped, defaulted,
-         CASE WHEN shown = 'TIE' THEN 'TIE' WHEN NOT swapped THEN shown
+         CASE WHEN shown IS NULL THEN NULL WHEN shown = 'TIE' THEN 'TIE' WHEN NOT swapped THEN shown
               WHEN shown = 'A' THEN 'B' ELSE 'A' END AS verdict
   FROM match_judged),
 counts AS (
   SELECT name_a, name_b, CAST(count(*) FILTER (verdict = 'A') AS BIGINT) AS a_wins,
          CAST(count(*) FILTER (verdict = 'B') AS BIGINT) AS b_wins,
-         CAST(count(*) FILTER (verdict = 'TIE') AS BIGINT) AS ties
+         CAST(count(*) FILTER (verdict = 'TIE') AS BIGINT) AS ties,
+         CAST(count(*) FILTER (defaulted) AS BIGINT) AS defaulted,
+         CAST(count(*) FILTER (verdict IS NULL) AS BIGINT) AS unjudged
   FROM match_verdicts GROUP BY ALL),
 totals AS (
-  SELECT CAST(sum(ties) AS BIGINT) AS ties, CAST(sum(a_wins + b_wins + ties) AS BIGINT) AS total FROM counts),
+  SELECT CAST(sum(ties) AS BIGINT) AS ties, CAST(sum(a_wins + b_wins + ties) AS BIGINT) AS total,
+         CAST(sum(defaulted) AS BIGINT) AS defaulted, CAST(sum(unjudged) AS BIGINT) AS unjudged FROM counts),
 board AS (
-  SELECT model, CAST(sum(CASE WHEN verdict = 'TIE' THEN 0 WHEN (verdict = 'A') = (model = name_a) THEN 1
+  SELECT model, CAST(sum(CASE WHEN verdict = 'TIE' OR verdict IS NULL THEN 0 WHEN (verdict = 'A') = (model = name_a) THEN 1
                      ELSE 0 END) AS BIGINT) AS wins,
-         CAST(count(*) AS BIGINT) AS played,
-         CAST(count(*) FILTER (verdict <> 'TIE') AS BIGINT) AS decided
+         CAST(count(verdict) AS BIGINT) AS played,
+         CAST(count(*) FILTER (verdict <> 'TIE') AS BIGINT) AS decided,
+         CAST(count(*) FILTER (defaulted) AS BIGINT) AS defaulted,
+         CAST(count(*) FILTER (verdict IS NULL) AS BIGINT) AS unjudged
   FROM models JOIN match_verdicts ON model IN (name_a, name_b) GROUP BY model)"""
 
 _ROLLOUTS = """
@@ -155,23 +163,25 @@ _METRICS = """
 metrics AS (
   SELECT event_id % 4 AS run_id, event_id // 4 AS step, value / 50 AS mean_reward,
          CASE WHEN event_id % 37 = 0 THEN 'nan'::DOUBLE ELSE value / 10 END AS kl,
-         floor(value) / 1000 AS val_var_explained, value / 100 AS policy_loss
+         CASE WHEN event_id % 41 = 0 THEN 'nan'::DOUBLE ELSE floor(value) / 1000 END AS val_var_explained,
+         CASE WHEN event_id % 43 = 0 THEN 'nan'::DOUBLE ELSE value / 100 END AS policy_loss
   FROM events),
 flagged AS (SELECT *, isnan(kl) OR isnan(val_var_explained) OR isnan(policy_loss) AS bad FROM metrics)"""
 
 _LOG = """
 lines AS (
-  SELECT event_id % 4 AS run_id, 4 * event_id AS line_no,
+  SELECT event_id % 4 AS run_id, 8 * event_id AS line_no,
          'UserWarning: The average ratio of batch (' || printf('%.2f', value)
            || ') exceeds threshold 10.00. Skipping batch.' AS line
   FROM events WHERE event_id % 50 = 0
   UNION ALL
-  SELECT event_id % 4, 4 * event_id + 1,
-         'UserWarning: KL divergence is starting to become negative: -' || printf('%.2f', value)
+  SELECT event_id % 4, 8 * event_id + 1,
+         'UserWarning: KL divergence is starting to become negative: -'
+           || CASE WHEN event_id % 120 = 0 THEN 'inf' ELSE printf('%.2f', value) END
            || ' - this might be a precursor for failed training.'
   FROM events WHERE event_id % 60 = 0
   UNION ALL
-  SELECT event_id % 4, 4 * event_id + 2,
+  SELECT event_id % 4, 8 * event_id + 2,
          'step ' || (event_id // 4) || '/500  ' ||
          CASE WHEN event_id % 37 = 0
               THEN 'NaN detected (kl=nan policy_loss=' || printf('%.4f', value / 100)
@@ -181,14 +191,19 @@ lines AS (
                    || '  policy_loss=' || printf('%.4f', value / 100) END
   FROM events
   UNION ALL
-  SELECT event_id % 4, 4 * event_id + 3,
+  SELECT event_id % 4, 8 * event_id + 4, 'torch.OutOfMemoryError: CUDA out of memory. Tried to allocate '
+         || printf('%.2f', value) || ' GiB.'
+  FROM events WHERE event_id % 500 = 2
+  UNION ALL
+  SELECT event_id % 4, 8 * event_id + 3,
          '  [checkpoint saved at step ' || (event_id // 4) || ' -> results/ppo_checkpoint]'
   FROM events WHERE event_id // 4 > 0 AND (event_id // 4) % 100 = 0),
 kinds AS (
   SELECT *, CASE WHEN line LIKE 'step %mean_reward=%' THEN 'step' WHEN line LIKE 'step %NaN detected%' THEN 'nan_rollback'
                  WHEN line LIKE '%[checkpoint saved%' THEN 'checkpoint'
                  WHEN line LIKE '%average ratio of batch%' THEN 'ratio_skip'
-                 WHEN line LIKE '%starting to become negative%' THEN 'negative_kl' END AS kind
+                 WHEN line LIKE '%starting to become negative%' THEN 'negative_kl'
+                 WHEN line LIKE '%out of memory%' THEN 'out_of_memory' END AS kind
   FROM lines),
 parsed AS (
   SELECT run_id, line_no, kind,
@@ -202,9 +217,9 @@ parsed AS (
          TRY_CAST(regexp_extract(line, 'policy_loss=([^ )]+)', 1) AS DOUBLE) AS policy_loss,
          TRY_CAST(regexp_extract(line, 'ratio of batch .([^)]+)', 1) AS DOUBLE) AS ratio,
          TRY_CAST(regexp_extract(line, 'exceeds threshold ([0-9]+[.][0-9]+)', 1) AS DOUBLE) AS ratio_threshold,
-         TRY_CAST(regexp_extract(line, 'become negative: ([-0-9.]+)', 1) AS DOUBLE) AS negative_kl,
+         TRY_CAST(regexp_extract(line, 'become negative: ([^ ]+)', 1) AS DOUBLE) AS negative_kl,
          CASE WHEN kind = 'checkpoint' THEN regexp_extract(line, '-> ([^]]*)', 1) END AS path,
-         CAST(NULL AS DOUBLE) AS memory_wanted
+         TRY_CAST(regexp_extract(line, 'Tried to allocate ([0-9.]+)', 1) AS DOUBLE) AS memory_wanted
   FROM kinds)"""
 
 _POSITIONS = """
@@ -249,6 +264,7 @@ def _side_audit(extra=""):
     AS chosen_longer_share{extra}"""
 
 
+# The two rubrics here, and the title, headings and row forms of the report below.
 _FORCED_REQUEST = """'You are labeling which of two AI assistant responses is more helpful,
 honest, and harmless, for training data purposes. Pick the better one.
 
@@ -363,8 +379,9 @@ WHERE chosen_response <> '' AND rejected_response <> '' AND chosen_response <> r
     ),
     "reward_profile": _with(
         _LABELLED
+        + _SIDES
         + """,
-scored AS (SELECT length(chosen_response) AS c, length(rejected_response) AS r FROM labelled),
+scored AS (SELECT length(chosen_response) AS c, length(rejected_response) AS r FROM sides WHERE labeler = 'ai'),
 long AS (SELECT c AS score FROM scored UNION ALL SELECT r FROM scored)""",
         """SELECT CAST(count(*) AS BIGINT) AS n_pairs, round((SELECT avg(score) FROM long), 6) AS mean_score,
   round((SELECT stddev_pop(score) FROM long), 6) AS std_score,
@@ -377,9 +394,42 @@ long AS (SELECT c AS score FROM scored UNION ALL SELECT r FROM scored)""",
 FROM candidates""",
     ),
     "labelled_file": _with(
-        _LABELLED,
-        """SELECT CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS pair_id, chosen, rejected, labeler
-FROM ai""",
+        _LABELLED, "SELECT pair_id, chosen, rejected, labeler FROM ai"
+    ),
+    "human_pair_file": _with(
+        _CANDIDATES,
+        """SELECT CAST(row_number() OVER (ORDER BY pair_id) - 1 AS BIGINT) AS pair_id, chosen, rejected, 'human' AS labeler
+FROM human WHERE pair_id % 2 = 0""",
+    ),
+    "verdict_file": _with(
+        _JUDGED_MATCHES + "," + _ATTEMPTS,
+        """SELECT cand_id AS item_id, NULL::VARCHAR AS name_a, NULL::VARCHAR AS name_b, CAST(attempt AS INT) AS attempt, raw
+FROM label_attempts UNION ALL SELECT prompt_id, name_a, name_b, CAST(attempt AS INT), raw FROM match_attempts""",
+    ),
+    "generation_file": _with(_GENERATIONS, "SELECT prompt_id, model, response FROM generations"),
+    "registry": """SELECT lower(replace(n_name, ' ', '_')) AS model FROM nation
+WHERE n_nationkey % 2 = 0 AND n_nationkey % 5 <> 0""",
+    "log_file": _with(
+        _LOG
+        + """,
+numbered AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY line_no) - 1 AS place FROM parsed)""",
+        """SELECT kind, CAST(count(*) AS BIGINT) AS lines, CAST(count(DISTINCT run_id) AS BIGINT) AS runs,
+  CAST(sum(place) AS BIGINT) AS line_numbers FROM numbered WHERE kind IS NOT NULL GROUP BY kind""",
+    ),
+    "eval_raw": _with(
+        _GENERATIONS + "," + _JUDGED_MATCHES,
+        """SELECT 'prompts' AS part, p.prompt_id::VARCHAR AS key, prompt AS value
+FROM prompt_ids p JOIN candidates c ON p.prompt_id = c.cand_id
+UNION ALL SELECT 'generations', model||'|'||prompt_id, response FROM generations
+UNION ALL SELECT 'matchups', name_a||'_vs_'||name_b, a_wins||'|'||b_wins||'|'||ties FROM counts
+UNION ALL SELECT 'wins', model, wins::VARCHAR FROM board""",
+    ),
+    "transcript_audit": _with(
+        _TRANSCRIPTS,
+        """SELECT CAST((SELECT count(*) FROM edges) AS BIGINT) AS conversations,
+  CAST((SELECT count(*) FROM edges WHERE last_turn IS NULL) AS BIGINT) AS unanswered,
+  CAST((SELECT count(*) FROM conversations c JOIN edges e ON c.conv_id = e.conv_id WHERE turn > last_turn) AS BIGINT)
+    AS trailing_turns""",
     ),
     "match_items": _with(_MATCHES, "SELECT prompt_id, name_a, name_b FROM items"),
     "match_requests": _with(
@@ -389,6 +439,7 @@ asked AS (
   SELECT a.prompt_id, a.model AS name_a, b.model AS name_b, a.response AS response_a, b.response AS response_b,
          c.prompt, substr(md5('s|'||a.prompt_id||'|'||a.model||'|'||b.model), 1, 1) < '8' AS swapped
   FROM generations a JOIN generations b ON a.prompt_id = b.prompt_id AND a.model < b.model
+    AND a.response <> '' AND b.response <> ''
   JOIN candidates c ON c.cand_id = a.prompt_id)""",
         f"SELECT prompt_id, name_a, name_b, swapped, {_TIE_REQUEST} AS request FROM asked",
     ),
@@ -401,13 +452,14 @@ WHERE NOT EXISTS (SELECT 1 FROM generations g WHERE g.prompt_id = prompt_ids.pro
     "match_verdicts": _with(
         _JUDGED_MATCHES,
         """SELECT prompt_id, name_a, name_b, swapped, defaulted,
-  CAST(CASE verdict WHEN 'A' THEN 1 WHEN 'B' THEN -1 ELSE 0 END AS INT) AS sign FROM match_verdicts""",
+  CAST(CASE verdict WHEN 'A' THEN 1 WHEN 'B' THEN -1 WHEN 'TIE' THEN 0 END AS INT) AS sign FROM match_verdicts""",
     ),
     "match_counts": _with(_JUDGED_MATCHES, "SELECT * FROM counts"),
     "match_totals": _with(_JUDGED_MATCHES, "SELECT * FROM totals"),
     "leaderboard": _with(
         _JUDGED_MATCHES,
-        """SELECT model, wins, played, round(wins / played, 6) AS win_rate, round(wins / decided, 6) AS decided_rate
+        """SELECT model, wins, played, round(wins / nullif(played, 0), 6) AS win_rate,
+  round(wins / nullif(decided, 0), 6) AS decided_rate, defaulted, unjudged
 FROM board ORDER BY wins DESC, model""",
     ),
     "eval_report": _with(
@@ -415,7 +467,8 @@ FROM board ORDER BY wins DESC, model""",
         """SELECT CAST(section AS INT) AS section, value FROM (
   SELECT section, value FROM (VALUES (0, '# PPO vs DPO vs SFT — Eval Report'), (1, ''), (3, ''), (4, '## Overall win counts'),
     (5, ''), (6, '| Model | Wins |'), (7, '|---|---|'), (9, ''), (11, ''), (12, '## Head-to-head'), (13, ''),
-    (14, '| Matchup | A wins | B wins | Ties |'), (15, '|---|---|---|---|')) v(section, value)
+    (14, '| Matchup | A wins | B wins | Ties |'), (15, '|---|---|---|---|'), (17, '')) v(section, value)
+  UNION ALL SELECT 18, 'Defaulted: ' || defaulted || ' | Unjudged: ' || unjudged FROM totals
   UNION ALL SELECT 2, 'Judge: recorded | Prompts: ' || (SELECT count(*) FROM prompt_ids)
   UNION ALL SELECT 8, '| ' || model || ' | ' || wins || ' |' FROM board
   UNION ALL SELECT 10, 'Ties: ' || ties || ' / ' || total || ' matchups' FROM totals
@@ -450,16 +503,10 @@ FROM cleaned GROUP BY run_id, step""",
     "reward_scaled": _with(
         _ROLLOUTS
         + """,
-steps AS (SELECT run_id, step, count(reward) AS n, sum(reward) AS s, sum(reward * reward) AS q
-          FROM cleaned GROUP BY run_id, step),
-running AS (
-  SELECT run_id, step, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM steps
-  WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS UNBOUNDED PRECEDING)),
 moments AS (
-  SELECT run_id, step, s / n AS mean,
-         CASE WHEN q / n - (s / n) * (s / n) > 1e-12 THEN sqrt(q / n - (s / n) * (s / n)) ELSE 0 END AS std
-  FROM running)""",
-        """SELECT run_id, step, slot, reward, round(std, 6) AS running_std,
+  SELECT DISTINCT run_id, step, avg(reward) OVER w AS mean, stddev_pop(reward) OVER w AS std FROM cleaned
+  WINDOW w AS (PARTITION BY run_id ORDER BY step RANGE UNBOUNDED PRECEDING))""",
+        """SELECT run_id, step, slot, reward, round(mean + 1e-8, 6) AS running_mean, round(std, 6) AS running_std,
   round(CASE WHEN std = 0 THEN 0.0 ELSE greatest(-3.0, least(3.0, (reward - mean) / std)) END, 6) AS scaled
 FROM cleaned JOIN moments USING (run_id, step)""",
     ),
@@ -489,7 +536,9 @@ restored AS (
         """SELECT run_id, CAST(count(*) AS BIGINT) AS steps,
   round(regr_slope(mean_reward, step) FILTER (NOT isnan(mean_reward)), 9) AS reward_slope,
   round(stddev_pop(kl) FILTER (NOT isnan(kl)), 6) AS kl_spread,
-  CAST(count(*) FILTER (bad) AS BIGINT) AS nan_steps FROM flagged GROUP BY run_id""",
+  CAST(count(*) FILTER (bad) AS BIGINT) AS nan_steps,
+  CAST(count(*) FILTER (NOT isfinite(kl) OR NOT isfinite(mean_reward)) AS BIGINT) AS not_finite
+FROM flagged GROUP BY run_id""",
     ),
     "log_metrics": _with(_LOG, "SELECT * FROM parsed WHERE kind IS NOT NULL"),
     "run_summary": _with(
@@ -500,7 +549,8 @@ restored AS (
   CAST(count(*) FILTER (kind = 'nan_rollback') AS BIGINT) AS nan_rollbacks,
   CAST(count(*) FILTER (kind = 'ratio_skip') AS BIGINT) AS ratio_skips, max(ratio) AS max_ratio,
   CAST(count(*) FILTER (kind = 'negative_kl') AS BIGINT) AS negative_kl_warnings,
-  CAST(count(*) FILTER (kind = 'checkpoint') AS BIGINT) AS checkpoints, false AS out_of_memory
+  CAST(count(*) FILTER (kind = 'checkpoint') AS BIGINT) AS checkpoints,
+  count(*) FILTER (kind = 'out_of_memory') > 0 AS out_of_memory
 FROM parsed GROUP BY run_id""",
     ),
 }

@@ -1,25 +1,30 @@
 """Readers. Files carry no ids, so readers give each line a position in file order."""
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefloom import schemas
 from prefloom.functions.text import strip
-from prefloom.operators.ordering import small_side
+from prefloom.operators.ordering import first_n
 
 # Fixed value: the subset of human pairs that is read.
 HUMAN_SUBSET = "helpful-base"
 
-# A split is a path and three numbers, and 128 MB of text: two million of them index 256 TB.
-BROADCAST_SPLITS = 2_000_000
+# A split is a path and three numbers: this many take some 30 MB. More meet the rows in a shuffle.
+BROADCAST_SPLITS = 200_000
 
 
 def with_file_order(lines, name="position", per_file=False):
     """Add a 0-based position in file order to a freshly read line source, without sorting it.
 
-    A scan numbers the rows of each file split in order. Counting rows per split and adding up
-    the counts gives each split's first position; rows then only need an addition. The table of
-    splits is as long as the scan's own list of splits, and only that table is ordered.
+    Files stand in the order of their folder, the number in their name and the name, so part
+    100000 follows part 99999. A scan numbers the rows of each file split in order. One pass counts
+    rows per split, a running sum over the splits gives each one's first position, and rows then only
+    need an addition. The table of splits is as long as the scan's own list of splits, and only
+    that table is ordered.
     """
     split = ["_file", "_start"]
     rows = lines.select(
@@ -29,19 +34,17 @@ def with_file_order(lines, name="position", per_file=False):
         F.monotonically_increasing_id().alias("_row"),
     )
     counts = rows.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
-    in_file = Window.partitionBy("_file").orderBy("_start")
-    before = F.sum("_n").over(in_file) - F.col("_n")
-    offsets = counts.select(*split, "_first", "_n", before.alias("_before"))
-    if not per_file:
-        files = counts.groupBy("_file").agg(F.sum("_n").alias("_file_n"))
-        ahead = F.sum("_file_n").over(Window.orderBy("_file")) - F.col("_file_n")
-        offsets = offsets.join(files.select("_file", ahead.alias("_ahead")), "_file").withColumn(
-            "_before", F.col("_before") + F.col("_ahead")
-        )
-    offsets = offsets.select(*split, "_first", "_before")
+    if per_file:
+        order = Window.partitionBy("_file").orderBy("_start")
+    else:
+        folder, base = F.regexp_extract("_file", r"^(.*)/[^/]*$", 1), F.regexp_extract("_file", r"([^/]*)$", 1)
+        number = F.regexp_extract(base, r"^[^0-9]*([0-9]+)", 1).try_cast("decimal(38,0)")
+        order = Window.orderBy(folder, number, base, "_start")
+    offsets = counts.select(*split, "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
     # Known from scan planning alone: every split ends a partition or a file.
     splits = lines.rdd.getNumPartitions() + len(lines.inputFiles())
-    numbered = rows.join(small_side(offsets, splits, BROADCAST_SPLITS), split).withColumn(
+    few = splits <= BROADCAST_SPLITS
+    numbered = rows.join(F.broadcast(offsets) if few else offsets, split).withColumn(
         name, F.col("_before") + F.col("_row") - F.col("_first")
     )
     return numbered.drop("_start", "_row", "_first", "_before", *([] if per_file else ["_file"]))
@@ -52,46 +55,66 @@ def _json_lines(spark, schema, path):
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
-def _numbered(lines, id_name, max_samples):
-    """Lines with their position as id, the first `max_samples` of them; None and 0 mean all."""
-    rows = with_file_order(lines, id_name).select(id_name, *lines.columns)
+def _identified(spark, schema, path, id_name, max_samples, stored_ids):
+    """Lines with an id, the first `max_samples` of them by id; None and 0 mean all.
+
+    Stored ids are read as they are, in one pass; otherwise lines are numbered in file order. With
+    `stored_ids=None` the first line decides which it is. A cap filters: it takes the lines whose
+    number is below it, or up to the stored id it falls on.
+    """
     if max_samples is not None and max_samples < 0:
         raise ValueError("max_samples must not be negative")
+    with_ids = _json_lines(spark, f"{id_name} BIGINT, {schema}", path)
+    if stored_ids is None:
+        first = with_ids.select(id_name).first()
+        stored_ids = first is not None and first[0] is not None
+    if stored_ids:
+        return first_n(with_ids, max_samples, id_name)
+    lines = _json_lines(spark, schema, path)
+    rows = with_file_order(lines, id_name).select(id_name, *lines.columns)
     return rows.where(F.col(id_name) < max_samples) if max_samples else rows
 
 
 def read_human_pairs(spark, root, split="train", max_samples=None, subset=HUMAN_SUBSET):
     """Human-labelled pairs from local files: `root/subset/split`, a folder or a JSONL file."""
-    lines = _json_lines(spark, schemas.PAIR_FILE, f"{root}/{subset}/{split}*")
-    return _numbered(lines, "pair_id", max_samples)
+    names = ",".join((split, f"{split}.jsonl", f"{split}.jsonl.gz"))
+    return _identified(spark, schemas.PAIR_FILE, f"{root}/{subset}/{{{names}}}", "pair_id", max_samples, False)
 
 
-def read_labelled_pairs(spark, path, max_samples=None):
-    """Pairs written by the labelling chain."""
-    return _numbered(_json_lines(spark, schemas.PAIR_FILE, path), "pair_id", max_samples)
+def read_labelled_pairs(spark, path, max_samples=None, stored_ids=None):
+    """Pairs written by the labelling chain, or by anyone else in file order."""
+    return _identified(spark, schemas.PAIR_FILE, path, "pair_id", max_samples, stored_ids)
 
 
-def read_preference_pairs(spark, root=None, data_file=None, split="train", max_samples=None, labeler=None):
+def read_preference_pairs(
+    spark, root=None, data_file=None, split="train", max_samples=None, labeler=None, stored_ids=None
+):
     """Human pairs, or a file of labelled pairs when one is given; the schema is the same."""
     if data_file is None:
         if root is None:
             raise ValueError("give a data file or the root of the human pairs")
         pairs, source = read_human_pairs(spark, root, split, max_samples), "human"
     else:
-        pairs, source = read_labelled_pairs(spark, data_file, max_samples), "ai"
+        pairs, source = read_labelled_pairs(spark, data_file, max_samples, stored_ids), "ai"
     return pairs.withColumn("labeler", F.lit(labeler or source))
 
 
-def read_candidates(spark, path, max_samples=None):
-    return _numbered(_json_lines(spark, schemas.CANDIDATE_FILE, path), "cand_id", max_samples)
+def read_candidates(spark, path, max_samples=None, stored_ids=None):
+    return _identified(spark, schemas.CANDIDATE_FILE, path, "cand_id", max_samples, stored_ids)
 
 
 def read_registry(spark, results):
     """Checkpoints below a results folder: subfolders that hold a config.json.
 
-    Only paths are read; the file contents are pruned from the scan.
+    Only paths are read; the file contents are pruned from the scan. A folder without any gives
+    an empty registry.
     """
-    listing = spark.read.format("binaryFile").load(f"{results}/*/config.json").select("path")
+    try:
+        listing = spark.read.format("binaryFile").load(f"{results}/*/config.json").select("path")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        listing = spark.createDataFrame([], "path STRING")
     folder = F.regexp_extract("path", r"^(.*)/config\.json$", 1)
     return listing.select(
         F.regexp_extract("path", r"([^/]+)/config\.json$", 1).alias("model"), folder.alias("path")
@@ -101,9 +124,9 @@ def read_registry(spark, results):
 def read_log(spark, path, runs=None, numbered=True):
     """Log lines with the line number within their file.
 
-    `runs` is a table (file, run_id) by file name; without it a run's id is a hash of its path,
-    which stays the same however many files are read. `numbered=False` leaves line numbers null
-    and spares the pass that counts lines.
+    `runs` is a table (file, run_id) by full path, with or without its scheme; a file that it does
+    not name gets a hash of its path as id, which stays the same however many files are read.
+    `numbered=False` leaves line numbers null and spares the pass that counts lines.
     """
     lines = spark.read.text(path)
     if numbered:
@@ -112,30 +135,43 @@ def read_log(spark, path, runs=None, numbered=True):
         lines = lines.select(
             "value", F.col("_metadata.file_path").alias("_file"), F.lit(None).cast("bigint").alias("line_no")
         )
+    own = F.xxhash64("_file")
     if runs is None:
-        return lines.select(F.xxhash64("_file").alias("run_id"), "line_no", "value")
-    named = lines.withColumn("file", F.element_at(F.split("_file", "/"), -1))
-    return named.join(runs, "file").select("run_id", "line_no", "value")
+        return lines.select(own.alias("run_id"), "line_no", "value")
+
+    def bare(path):
+        return F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/+", "/")
+
+    # One row per file.
+    known = runs.select(bare(F.col("file")).alias("_bare"), F.col("run_id").alias("_run"))
+    named = lines.withColumn("_bare", bare(F.col("_file"))).join(known, "_bare", "left")
+    return named.select(F.coalesce("_run", own).alias("run_id"), "line_no", "value")
 
 
-def read_verdicts(spark, path, keys="cand_id"):
-    """Recorded judge replies, parquet or JSON lines; `keys` is 'cand_id' or 'match'."""
+def read_verdicts(spark, path, keys="cand_id", form=None):
+    """Recorded judge replies; `keys` is 'cand_id' or 'match'.
+
+    `form` is "json" or "parquet". Without it names that end in .json or .jsonl, packed or not, are
+    JSON lines and everything else is parquet.
+    """
     schema = schemas.LABEL_VERDICT if keys == "cand_id" else schemas.MATCH_VERDICT
-    return _table(spark, path, schema)
+    return _table(spark, path, schema, form)
 
 
-def read_generations(spark, path):
+def read_generations(spark, path, form=None):
     """Sampled responses, stripped."""
-    rows = _table(spark, path, schemas.GENERATION)
+    rows = _table(spark, path, schemas.GENERATION, form)
     return rows.withColumn("response", strip(F.col("response")))
 
 
-def read_rollouts(spark, path):
-    return _table(spark, path, schemas.ROLLOUT)
+def read_rollouts(spark, path, form=None):
+    return _table(spark, path, schemas.ROLLOUT, form)
 
 
-def _table(spark, path, schema):
-    if path.rstrip("/").endswith((".json", ".jsonl")):
+def _table(spark, path, schema, form):
+    if form not in (None, "json", "parquet"):
+        raise ValueError("form is json or parquet")
+    if form == "json" or form is None and re.search(r"\.jsonl?(\.[a-z0-9]+)?/?$", path):
         return _json_lines(spark, schema, path)
     return spark.read.schema(schema).parquet(path)
 

@@ -4,9 +4,7 @@ from pyspark.sql import functions as F
 
 from prefloom.operators.matchups import leaderboard
 
-DOCUMENT_CELLS = 100_000
-
-# Fixed value: the report's title.
+# The report's title; its headings and row forms are in report_lines.
 REPORT_TITLE = "PPO vs DPO vs SFT — Eval Report"
 
 
@@ -15,14 +13,14 @@ def _write_lines(df, path, columns, order):
     rows.select(*columns).write.mode("overwrite").json(path)
 
 
-def write_candidates(candidates, path, order="cand_id"):
-    """Candidate JSON lines. `order=None` skips the sort when line order does not matter."""
-    _write_lines(candidates, path, ["prompt", "response_a", "response_b"], order)
+def write_candidates(candidates, path, order=None):
+    """Candidate JSON lines with their ids. `order` sorts all texts for readers that count lines."""
+    _write_lines(candidates, path, ["cand_id", "prompt", "response_a", "response_b"], order)
 
 
-def write_labelled_pairs(pairs, path, order="pair_id"):
-    """Labelled-pair JSON lines, which the pair reader takes back unchanged."""
-    _write_lines(pairs, path, ["chosen", "rejected"], order)
+def write_labelled_pairs(pairs, path, order=None):
+    """Labelled-pair JSON lines with their ids, which the pair reader takes back unchanged."""
+    _write_lines(pairs, path, ["pair_id", "chosen", "rejected"], order)
 
 
 def write_bucketed(df, table, key, buckets):
@@ -64,10 +62,9 @@ def _map_of(key, value):
 def write_eval_raw(prompts, generations, counts, roster, path):
     """The evaluation's raw results; returns the stored tables by name.
 
-    Four parquet tables are always written: prompts, generations, matchups and wins, the last
-    from the stored match-ups, so judging runs once. The single JSON document puts every text in
-    one row, so it is added only when the counted cells are few enough; the tables leave nothing
-    out either way.
+    Four parquet tables: prompts, generations, matchups and wins, the last from the stored
+    match-ups, so judging runs once. The layout is the same at every size; `write_eval_document`
+    makes the single JSON document of them.
     """
     spark = prompts.sparkSession
 
@@ -81,15 +78,15 @@ def write_eval_raw(prompts, generations, counts, roster, path):
         "matchups": store("matchups", counts),
     }
     stored["wins"] = store("wins", leaderboard(stored["matchups"], roster))
-    if sum(table.count() for table in stored.values()) <= DOCUMENT_CELLS:
-        document = eval_document(
-            stored["prompts"], stored["generations"], stored["matchups"], stored["wins"]
-        )
-        line = document.select(F.to_json(F.struct("*")).alias("value"))
-        line.write.mode("overwrite").text(f"{path}/document")
     return stored
 
 
+def write_eval_document(stored, path):
+    """The stored evaluation as one JSON document. All of its texts meet in one row."""
+    document = eval_document(stored["prompts"], stored["generations"], stored["matchups"], stored["wins"])
+    document.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+
+
 def report_lines(counts, board, totals, judge, n_prompts, title=REPORT_TITLE):
     """The report as numbered Markdown lines. Its input has one row per model or pair."""
     fixed = [
@@ -107,6 +104,7 @@ def report_lines(counts, board, totals, judge, n_prompts, title=REPORT_TITLE):
         (13, ""),
         (14, "| Matchup | A wins | B wins | Ties |"),
         (15, "|---|---|---|---|"),
+        (17, ""),
     ]
     rows = [
         F.struct(F.lit(n).alias("section"), F.lit("").alias("place"), F.lit(line).alias("value"))
@@ -128,13 +126,21 @@ def report_lines(counts, board, totals, judge, n_prompts, title=REPORT_TITLE):
             F.lit(" matchups"),
         ).alias("value"),
     )
+    judged = totals.select(
+        F.lit(18).alias("section"),
+        F.lit("").alias("place"),
+        F.concat(
+            F.lit("Defaulted: "), F.col("defaulted").cast("string"), F.lit(" | Unjudged: "),
+            F.col("unjudged").cast("string"),
+        ).alias("value"),
+    )
     numbers = [F.concat(F.lit(" | "), F.col(name).cast("string")) for name in ("a_wins", "b_wins", "ties")]
     matches = counts.select(
         F.lit(16).alias("section"),
         F.concat("name_a", F.lit("\n"), "name_b").alias("place"),
         F.concat(F.lit("| "), "name_a", F.lit(" vs "), "name_b", *numbers, F.lit(" |")).alias("value"),
     )
-    return header.unionByName(models).unionByName(ties).unionByName(matches)
+    return header.unionByName(models).unionByName(ties).unionByName(matches).unionByName(judged)
 
 
 def write_eval_report(lines, path):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from prefloom import schemas
 from prefloom.operators import judging
 from prefloom.plans import chains
-from prefloom.sources import files
+from prefloom.sources import files, sinks
 from prefloom.streaming import follow
 
 MARK = "\n\nAssistant:"
@@ -23,19 +23,22 @@ def test_label_candidates(spark, tmp_path):
     requests = str(tmp_path / "requests")
     chains.request_labels(spark, str(tmp_path / "candidates.jsonl"), requests, "s")
     asked = spark.read.parquet(requests)
-    # A judge that always picks side B's text, wherever it is shown; item 7 never gets a reply.
+    # A judge that always picks side B's text, wherever it is shown; item 7 gets an empty
+    # reply and item 8 was never asked.
     reply = F.when(F.col("swapped"), "A").otherwise("B")
-    asked.where("cand_id <> 7").select("cand_id", F.lit(1).alias("attempt"), reply.alias("raw")).write.parquet(
+    reply = F.when(F.col("cand_id") != 7, reply)
+    asked.where("cand_id <> 8").select("cand_id", F.lit(1).alias("attempt"), reply.alias("raw")).write.parquet(
         str(tmp_path / "verdicts")
     )
     out = str(tmp_path / "pairs")
     audit = chains.label_candidates(
         spark, str(tmp_path / "candidates.jsonl"), str(tmp_path / "verdicts"), out, "s"
     ).first()
-    assert (audit.n_pairs, audit.defaulted) == (30, 1)
+    assert (audit.n_pairs, audit.defaulted) == (29, 1)
     rows = files.read_preference_pairs(spark, data_file=f"{out}/pairs").orderBy("pair_id").collect()
-    assert [r.pair_id for r in rows] == list(range(30))
-    for i, row in enumerate(rows):
+    assert [r.pair_id for r in rows] == [i for i in range(30) if i != 8]
+    for row in rows:
+        i = row.pair_id
         if i != 7:
             assert row.chosen == f"\n\nHuman: q{i}{MARK} bb{i}" and row.rejected == f"\n\nHuman: q{i}{MARK} a{i}"
 
@@ -69,11 +72,44 @@ def test_evaluate_models(spark, tmp_path):
     (part,) = (results / "eval_report").glob("part-*")
     report = part.read_text()
     assert "Judge: recorded | Prompts: 10" in report and "Ties: 10 / 30 matchups" in report
-    document = json.loads(spark.read.text(str(results / "eval_raw" / "document")).first().value)
+    stored = {n: spark.read.parquet(str(results / "eval_raw" / n)) for n in ("prompts", "generations", "matchups", "wins")}
+    assert spark.read.parquet(str(results / "eval_raw" / "gaps")).count() == 0
+    sinks.write_eval_document(stored, str(results / "document"))
+    document = json.loads(spark.read.text(str(results / "document")).first().value)
     assert document["generations"]["ppo"] == [f"ppo {i}" for i in range(10)]
     assert document["wins"] == {"dpo": 0, "ppo": 0, "sft": 20}
 
 
+def test_request_matches_reports_missing_responses(spark, tmp_path):
+    results = evaluation_files(spark, tmp_path, ["dpo", "sft"])
+    spark.createDataFrame([(0, "dpo", "x"), (0, "sft", "y"), (1, "dpo", "x")], schemas.GENERATION).write.parquet(str(tmp_path / "some"))
+    missing = chains.request_matches(
+        spark, str(results), str(tmp_path / "human"), str(tmp_path / "some"), str(tmp_path / "asked"), "s"
+    )
+    assert sorted(r.prompt_id for r in missing.collect()) == list(range(1, 12))
+    (row,) = spark.read.parquet(str(tmp_path / "asked" / "requests")).collect()
+    assert row.prompt_id == 0 and "Human: q0" in row.request
+
+
+def test_training_and_rollout_tables(spark, tmp_path):
+    write(tmp_path / "pairs.jsonl", [json.dumps({"chosen": f"q{i}{MARK} y", "rejected": f"q{i}{MARK} n"}) for i in range(6)])
+    out = str(tmp_path / "tables")
+    chains.training_tables(spark, str(tmp_path / "pairs.jsonl"), out)
+    assert {n: spark.read.parquet(f"{out}/{n}").count() for n in ("sft", "dpo", "reward_model")} == dict.fromkeys(("sft", "dpo", "reward_model"), 6)
+    rows = [(1, step, slot, float(step + slot)) for step in range(4) for slot in range(16)]
+    spark.createDataFrame(rows, schemas.ROLLOUT).write.json(str(tmp_path / "r.jsonl"))
+    prompts = spark.range(40).select(F.col("id").alias("prompt_id"))
+    means = chains.rollout_tables(spark, str(tmp_path / "r.jsonl"), prompts, out).orderBy("step").collect()
+    assert [r.mean_reward for r in means] == [step + 7.5 for step in range(4)]
+    stored = spark.read.parquet(f"{out}/rewards").where("step = 2").orderBy("slot").collect()
+    assert [r.prompt_id for r in stored] == [*range(32, 40), *range(8)]
+
+
+def test_an_empty_results_folder_is_no_roster(spark, tmp_path):
+    with pytest.raises(ValueError, match="at least 2"):
+        chains.evaluate_models(spark, str(tmp_path), "none", "none", "none", "s", "recorded")
+
+
 def test_evaluation_needs_two_models(spark, tmp_path):
     results = evaluation_files(spark, tmp_path, ["sft"])
     with pytest.raises(ValueError, match="at least 2"):

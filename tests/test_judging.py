@@ -52,14 +52,17 @@ def test_first_attempt_with_text_wins(spark):
         (2, 0, None), (2, 1, None), (2, 2, None), (2, 3, "A"),
     ])
     resolved = judging.resolve_attempts(rows, ["cand_id"], "forced")
-    assert {row.cand_id: row.sign for row in resolved.collect()} == {0: V.B, 1: V.B}
+    assert {row.cand_id: (row.sign, row.answered) for row in resolved.collect()} == {
+        0: (V.B, True), 1: (V.B, True), 2: (None, False),
+    }
 
 
 def test_label_pairs_unswaps_and_defaults(spark):
     flips = swaps(spark, 40)
-    rows = attempts(spark, [(i, 0, "A" if i % 2 else "B") for i in range(30)])
+    rows = [(i, 0, "A" if i % 2 else "B") for i in range(30)] + [(i, n, None) for i in range(30, 35) for n in range(3)]
+    rows = attempts(spark, rows)
     labelled = judging.label_pairs(candidates(spark, 40), rows, "s").collect()
-    assert len(labelled) == 40
+    assert sorted(row.cand_id for row in labelled) == list(range(35))
     for row in labelled:
         i = row.cand_id
         shown = "A" if i >= 30 or i % 2 else "B"
@@ -113,7 +116,16 @@ def test_resolution_matches_a_loop(spark, rows):
             text = raw.upper()
             want[item] = ("A" in text) - ("B" in text)
     got = judging.resolve_attempts(attempts(spark, rows), ["cand_id"], "tie_aware").collect()
-    assert {row.cand_id: row.sign for row in got} == want
+    assert {row.cand_id: row.sign for row in got if row.answered} == want
+    assert {row.cand_id for row in got} == {item for item, attempt, _ in rows if attempt < 3}
+
+
+def test_unreadable_answers_are_not_missing_ones(spark):
+    rows = attempts(spark, [(0, 0, "both"), (1, 0, None), (2, 1, "A"), (2, 1, "B"), (2, 2, "A")])
+    got = {r.cand_id: (r.sign, r.answered) for r in judging.resolve_attempts(rows, ["cand_id"], "strict").collect()}
+    assert got == {0: (None, True), 1: (None, False), 2: (-1, True)}
+    judged = {r.cand_id: (r.sign is None, r.defaulted) for r in judging.decide(candidates(spark, 4), rows, ["cand_id"], "strict", "s").collect()}
+    assert judged == {0: (True, False), 1: (False, True), 2: (False, False), 3: (True, False)}
 
 
 def test_compare_readings(spark):
@@ -130,6 +142,6 @@ def test_a_third_of_all_replies_on_one_item(spark):
         F.when((F.col("id") < 10_000) & (F.col("id") % 3 == 0), None).otherwise("B").alias("raw"),
     )
     resolved = judging.resolve_attempts(hot, ["cand_id"], "forced")
-    assert "partial_min_by" in resolved._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min(" in resolved._jdf.queryExecution().executedPlan().toString()
     rows = {row.cand_id: row.sign for row in resolved.collect()}
     assert len(rows) == 20_001 and set(rows.values()) == {V.B}

@@ -9,14 +9,6 @@ from tests.conftest import plan_of
 NAMES = ["dpo", "dpo_b", "ppo", "sft"]
 
 
-@pytest.fixture(params=["inline", "joined"])
-def route(request, monkeypatch):
-    """Small rosters are written into the plan, larger ones are joined: results must agree."""
-    if request.param == "joined":
-        monkeypatch.setattr(matchups, "INLINE_MODELS", 1)
-    return request.param
-
-
 def roster(spark, names=NAMES):
     return spark.createDataFrame([(name,) for name in names], "model STRING")
 
@@ -26,24 +18,23 @@ def prompts(spark, n):
 
 
 @pytest.mark.parametrize("count", [2, 3, 7])
-def test_model_pairs(spark, route, count):
+def test_model_pairs(spark, count):
     names = [f"m{i}" for i in range(count)]
-    pairs, total = matchups.model_pairs(roster(spark, names[::-1]))
+    pairs = matchups.model_pairs(roster(spark, names[::-1]))
     assert sorted(map(tuple, pairs.collect())) == list(combinations(names, 2))
-    assert total == count * (count - 1) // 2
     numbered = matchups.numbered_pairs(roster(spark, names), count).orderBy("pair_no").collect()
     assert [(r.pair_no, r.name_a, r.name_b) for r in numbered] == [
         (i, *pair) for i, pair in enumerate(combinations(names, 2))
     ]
 
 
-def test_one_model_is_refused(spark, route):
+def test_one_model_is_refused(spark):
     for call in (matchups.model_pairs, matchups.require_models):
         with pytest.raises(ValueError, match="at least 2"):
             call(roster(spark, ["sft"]))
 
 
-def test_match_items(spark, route):
+def test_match_items(spark):
     items = matchups.match_items(prompts(spark, 5), roster(spark))
     want = [(i, a, b) for i in range(5) for a, b in combinations(NAMES, 2)]
     assert sorted(map(tuple, items.collect())) == want
@@ -51,11 +42,7 @@ def test_match_items(spark, route):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
-def test_inline_items_need_no_shuffle(spark):
-    assert "Exchange" not in plan_of(matchups.match_items(prompts(spark, 5), roster(spark)))
-
-
-def test_generation_gaps(spark, route):
+def test_generation_gaps(spark):
     made = [(i, name, "x") for i, name in product(range(6), NAMES) if (i + len(name)) % 4]
     generations = spark.createDataFrame(made, "prompt_id BIGINT, model STRING, response STRING")
     gaps = matchups.generation_gaps(prompts(spark, 6), roster(spark), generations)
@@ -63,12 +50,24 @@ def test_generation_gaps(spark, route):
     assert {tuple(row) for row in gaps.collect()} == want
 
 
-def test_match_texts(spark, route):
-    rows = [(i, name, f"{name}{i}") for i, name in product(range(4), NAMES)]
-    generations = spark.createDataFrame(rows, "prompt_id BIGINT, model STRING, response STRING")
-    texts = matchups.match_texts(generations, roster(spark))
-    want = [(i, a, b, f"{a}{i}", f"{b}{i}") for i in range(4) for a, b in combinations(NAMES, 2)]
-    assert sorted(map(tuple, texts.collect())) == want
+def test_match_texts(spark):
+    rows = {(i, name): f"{name}{i}" for i, name in product(range(4), NAMES) if (i, name) != (2, "ppo") and i != 3}
+    generations = spark.createDataFrame([(*k, v) for k, v in rows.items()], "prompt_id BIGINT, model STRING, response STRING")
+    texts = matchups.match_texts(prompts(spark, 4), generations, roster(spark))
+    want = [
+        (i, a, b, rows.get((i, a)), rows.get((i, b)), (i, a) not in rows or (i, b) not in rows)
+        for i in range(4)
+        for a, b in combinations(NAMES, 2)
+    ]
+    assert sorted(map(tuple, texts.collect()), key=lambda r: r[:3]) == want
+
+
+def test_texts_are_never_dealt_by_a_model_name(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    names = [f"m{i:03}" for i in range(200)]
+    generations = spark.range(10).select(F.col("id").alias("prompt_id"), F.lit("m001").alias("model"), F.lit("x").alias("response"))
+    plan = plan_of(matchups.match_texts(prompts(spark, 10), generations, roster(spark, names)))
+    assert "hashpartitioning(prompt_id" in plan and "hashpartitioning(name" not in plan and "hashpartitioning(model" not in plan
 
 
 def judged(spark, n=12, winner=None):
@@ -86,7 +85,7 @@ def judged(spark, n=12, winner=None):
     return matchups.judge_matches(items, attempts, "s")
 
 
-def test_counts_and_board(spark, route):
+def test_counts_and_board(spark):
     n = 12
     counts = matchups.match_counts(judged(spark, n, "ppo"), roster(spark))
     rows = {(r.name_a, r.name_b): (r.a_wins, r.b_wins, r.ties) for r in counts.collect()}
@@ -105,7 +104,7 @@ def test_counts_and_board(spark, route):
     assert totals.total == 6 * n == totals.ties + sum(r.wins for r in board)
 
 
-def test_models_and_pairs_without_verdicts_keep_rows(spark, route):
+def test_models_and_pairs_without_verdicts_keep_rows(spark):
     only = judged(spark, 3).where("name_a = 'dpo' AND name_b = 'ppo'")
     counts = matchups.match_counts(only, roster(spark))
     assert counts.count() == 6
@@ -115,12 +114,18 @@ def test_models_and_pairs_without_verdicts_keep_rows(spark, route):
     assert board["sft"].win_rate is None and board["ppo"].win_rate == 0.0
 
 
-def test_unjudged_items_default_to_the_side_shown_first(spark):
+def test_items_without_a_text_default_and_items_never_attempted_count_nowhere(spark):
     items = matchups.match_items(prompts(spark, 50), roster(spark))
     none = spark.createDataFrame([], "prompt_id BIGINT, name_a STRING, name_b STRING, attempt INT, raw STRING")
-    rows = matchups.judge_matches(items, none, "s").collect()
+    tried = items.select("*", F.lit(0).alias("attempt"), F.lit(None).cast("string").alias("raw"))
+    rows = matchups.judge_matches(items, tried, "s").collect()
     assert len(rows) == 300 and all(row.defaulted for row in rows)
     assert all(row.sign == (-1 if row.swapped else 1) for row in rows)
+    counts = matchups.match_counts(matchups.judge_matches(items, none, "s"), roster(spark))
+    assert {tuple(r)[2:] for r in counts.collect()} == {(0, 0, 0, 0, 50)}
+    board = matchups.leaderboard(counts, roster(spark)).collect()
+    assert {(r.wins, r.played, r.win_rate, r.unjudged) for r in board} == {(0, 0, None, 150)}
+    assert tuple(matchups.match_totals(counts).first()) == (0, 0, 0, 300)
 
 
 def test_registry_filter(spark):

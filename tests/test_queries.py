@@ -4,16 +4,19 @@ import pytest
 
 import __spark_entry__ as entry_module
 from compare import oracle_rows, rows_of
+from prefloom.plans import catalog, oracle
 from tests.conftest import TESTDATA, plan_of
 
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
+QUERIES = catalog.QUERIES
+ORACLE = oracle.ORACLE_SQL
 FOLDER = f"{TESTDATA}/sf0.001"
-FILE_QUERIES = {"candidate_file", "labelled_file"}
+FILE_QUERIES = {
+    "candidate_file", "labelled_file", "human_pair_file", "verdict_file", "generation_file", "registry", "log_file", "eval_raw"
+}
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(entry_module.queries())
 
 
 def test_entry(spark):
@@ -46,7 +49,7 @@ def test_row_operators_do_not_shuffle(spark, name):
 
 
 @pytest.mark.parametrize(
-    "name,schema", [("nan_steps", "event_id:bigint,value:double"), ("match_counts", "conv_id:bigint,role:string")]
+    "name,schema", [("nan_steps", "event_id:bigint,value:double"), ("match_items", "conv_id:bigint,role:string")]
 )
 def test_scans_are_pruned(spark, name, schema):
     plan = plan_of(QUERIES[name](spark, FOLDER))

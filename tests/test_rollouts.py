@@ -81,6 +81,19 @@ def test_constant_rewards_scale_to_zero(spark):
     assert {r.scaled for r in rollouts.scale_rewards(frame).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("base,spread", [(1e8, 0.5), (0.0, 1e-7), (-3.0, 1e-7)])
+def test_large_means_and_small_spreads_keep_their_digits(spark, base, spread):
+    dice = random.Random(1)
+    rows = [(0, step, slot, base + spread * dice.uniform(-1, 1)) for step in range(30) for slot in range(4)]
+    frame = spark.createDataFrame(rows, "run_id BIGINT, step BIGINT, slot BIGINT, reward DOUBLE")
+    got = {(r.step, r.slot): r.scaled for r in rollouts.scale_rewards(frame).collect()}
+    for _, step, slot, value in rows:
+        seen = [r[3] for r in rows if r[1] <= step]
+        mean = math.fsum(seen) / len(seen)
+        std = math.sqrt(math.fsum((x - mean) ** 2 for x in seen) / len(seen))
+        assert got[step, slot] == pytest.approx(max(-3.0, min(3.0, (value - mean) / std)), abs=1e-5)
+
+
 def test_null_rewards_stay_null(spark):
     frame = spark.createDataFrame(
         [(0, 0, 0, None), (0, 0, 1, 1.0), (0, 0, 2, 3.0), (1, 0, 0, None)],

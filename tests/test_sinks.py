@@ -7,13 +7,18 @@ from prefloom.operators import matchups
 from prefloom.sources import sinks
 
 
+COUNTS = (
+    "name_a STRING, name_b STRING, a_wins BIGINT, b_wins BIGINT, ties BIGINT, defaulted BIGINT, unjudged BIGINT"
+)
+
+
 def evaluation(spark):
     prompts = spark.createDataFrame([(2, "q2"), (10, "q10"), (1, "q1")], "prompt_id BIGINT, prompt STRING")
     rows = [(i, m, f"{m}{i}") for i in (10, 2, 1) for m in ("sft", "ppo", "dpo")]
     generations = spark.createDataFrame(rows, schemas.GENERATION).repartition(4)
     counts = spark.createDataFrame(
-        [("dpo", "ppo", 1, 1, 1), ("dpo", "sft", 0, 3, 0), ("ppo", "sft", 2, 0, 1)],
-        "name_a STRING, name_b STRING, a_wins BIGINT, b_wins BIGINT, ties BIGINT",
+        [("dpo", "ppo", 1, 1, 1, 1, 0), ("dpo", "sft", 0, 3, 0, 0, 2), ("ppo", "sft", 2, 0, 1, 1, 0)],
+        COUNTS,
     )
     roster = spark.createDataFrame([(m,) for m in ("dpo", "ppo", "sft")], "model STRING")
     return prompts, generations, counts, roster
@@ -35,6 +40,7 @@ def test_eval_raw_tables_and_document(spark, tmp_path):
     path = str(tmp_path / "raw")
     stored = sinks.write_eval_raw(*evaluation(spark), path)
     assert set(stored) == {"prompts", "generations", "matchups", "wins"}
+    sinks.write_eval_document(stored, f"{path}/document")
     line = spark.read.text(f"{path}/document").first().value
     assert json.loads(line) == WANT
     typed = spark.read.schema(schemas.EVAL_RAW).json(f"{path}/document").first()
@@ -42,14 +48,6 @@ def test_eval_raw_tables_and_document(spark, tmp_path):
     assert spark.read.parquet(f"{path}/generations").count() == 9
 
 
-def test_large_evaluations_keep_every_row_in_tables(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "DOCUMENT_CELLS", 5)
-    path = str(tmp_path / "raw")
-    sinks.write_eval_raw(*evaluation(spark), path)
-    assert not (tmp_path / "raw" / "document").exists()
-    assert spark.read.parquet(f"{path}/prompts").count() == 3
-
-
 def test_report(spark, tmp_path):
     _, _, counts, roster = evaluation(spark)
     board = matchups.leaderboard(counts, roster)
@@ -62,13 +60,13 @@ def test_report(spark, tmp_path):
         "| Model | Wins |", "|---|---|", "| ppo | 3 |", "| sft | 3 |", "| dpo | 1 |", "",
         "Ties: 2 / 9 matchups", "", "## Head-to-head", "", "| Matchup | A wins | B wins | Ties |",
         "|---|---|---|---|", "| dpo vs ppo | 1 | 1 | 1 |", "| dpo vs sft | 0 | 3 | 0 |",
-        "| ppo vs sft | 2 | 0 | 1 |",
+        "| ppo vs sft | 2 | 0 | 1 |", "", "Defaulted: 2 | Unjudged: 2",
     ]
 
 
 def test_report_orders_wins_as_numbers(spark):
     counts = spark.createDataFrame(
-        [("a", "b", 2, 10, 0)], "name_a STRING, name_b STRING, a_wins BIGINT, b_wins BIGINT, ties BIGINT"
+        [("a", "b", 2, 10, 0, 0, 0)], COUNTS
     )
     roster = spark.createDataFrame([("a",), ("b",)], "model STRING")
     board = matchups.leaderboard(counts, roster)
