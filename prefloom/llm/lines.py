@@ -186,11 +186,17 @@ def links(spark, listed, edits=EDITS, min_chars=MIN_CHARS):
     )
     cut = met.join(texts.select("id", "bits"), "id").select("key", "index", "gap", "id", "bits", F.inline(block))
     index = cut.where("index").select("key", "block", "part", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
-    probe = cut.select("key", "block", "part", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
-    near = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) <= 2 * edits
+    probe = cut.select("key", "block", "part", "gap", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
+    changed = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
+    near = F.bit_count(changed) <= 2 * edits
+    # A pair meets on its first unchanged block only, and lines of one length in one direction.
+    for i in range(blocks - 1):
+        same = F.shiftright(changed, i * size).bitwiseAND(F.lit((1 << size) - 1)) == 0
+        near = near & ~((F.col("block") > i) & same)
+    once = F.when(F.col("gap") == 0, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
     pairs = (
         index.join(probe, ["key", "block", "part"])
-        .where((F.col("a") != F.col("b")) & near)
+        .where(once & near)
         .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
         .distinct()
     )
