@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 SHARE, PASSES = 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, SEED = 128, 8192, 20_240
 # Documents of a source are ordered in buckets of about this many.
-BUCKET = 1 << 15
+BUCKET = 1 << 12
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
