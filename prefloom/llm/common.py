@@ -3,13 +3,9 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import functions as F
 
 from prefloom.session import scratch_folder
 
-# A word is a longest run of other characters than these.
-SPACE = r"[\x20\x09-\x0D]"
-
 # Text handed to one vectorised step. Longer texts come alone.
 STEP_BYTES = 4 << 20
 
@@ -69,8 +65,3 @@ def ragged(starts, lengths):
     ends = np.cumsum(lengths)
     shift = np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
     return shift + np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
-
-
-def n_words(text):
-    """Words in a text column, native; null has none."""
-    return F.coalesce(F.size(F.filter(F.split(text, SPACE + "+"), lambda w: w != "")), F.lit(0)).cast("bigint")
