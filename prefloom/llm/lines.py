@@ -245,10 +245,41 @@ def line_classes(frame, edits=EDITS, min_chars=MIN_CHARS, **columns):
     )
 
 
+def line_members(frame, edits=EDITS, min_chars=MIN_CHARS, **columns):
+    """A row per document and different line in it: copies there, and the line's class.
+
+    line_id and class_id are those of `line_classes`; it has one row per line, this one all holders
+    of each. Rows of equal id are one document, those of null id too. Lines of fewer than
+    `min_chars` characters are in it as well; too short for edits, they are alike only if equal.
+    Null texts and empty lines have no rows. Other columns are left out.
+    """
+    spark = frame.sparkSession
+    listed = document_lines(frame, **columns)
+    # Copies of a line in a document are combined before the shuffle.
+    held = stored(
+        spark,
+        _lines(listed, 1)
+        .groupBy("doc_id", "id", "check")
+        .agg(F.count("*").alias("copies"), F.first("n").alias("n_chars")),
+    )
+    reached = components(spark, links(spark, listed, edits, min_chars))
+    return held.join(reached, held.id == reached.node, "left").select(
+        "doc_id",
+        F.col("id").alias("line_id"),
+        F.col("n_chars").cast("bigint").alias("n_chars"),
+        "copies",
+        F.coalesce("component", "id").alias("class_id"),
+    )
+
+
 def op8_line_dedup(spark, folder):
     return line_classes(documents(spark, folder))
 
 
+def op8_line_members(spark, folder):
+    return line_members(documents(spark, folder))
+
+
 def without_repeated_lines(frame, edits=EDITS, min_chars=MIN_CHARS):
     """The table with every line taken out that has an earlier line of its class.
 

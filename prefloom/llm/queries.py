@@ -3,7 +3,7 @@
 from prefloom.llm.chat import op3_chat_formatting
 from prefloom.llm.fingerprints import op1_fingerprints
 from prefloom.llm.licenses import op9_license_scan
-from prefloom.llm.lines import op8_line_dedup
+from prefloom.llm.lines import op8_line_dedup, op8_line_members
 from prefloom.llm.mixing import op10_mixing
 from prefloom.llm.packing import op2_packing
 from prefloom.llm.quality import op6_quality_rules
@@ -20,6 +20,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
+    "op8_line_members": op8_line_members,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
 }

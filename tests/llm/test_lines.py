@@ -146,3 +146,48 @@ def test_repeated_lines_are_taken_out(spark):
         [(3, "short", 5), (1, rows[1][1], 9), (None, "", 0), (5, None, None), (6, "alone", 5), (6, "alone", 5)], key=repr
     )
     assert lines.without_repeated_lines(no_documents(spark)).count() == 0
+
+
+def check_members(rows, documents):
+    """Every holder of every non-empty line, and classes as the brute force links them."""
+    held = defaultdict(int)
+    for doc_id, text in documents:
+        for line in text.split("\n"):
+            if line := line.strip(lines.WHITE):
+                held[doc_id, line] += 1
+    assert sorted(((r.doc_id, r.n_chars, r.copies) for r in rows), key=repr) == sorted(
+        ((doc_id, len(line), n) for (doc_id, line), n in held.items()), key=repr
+    )
+    near, holders, root = defaultdict(set), defaultdict(set), {}
+    for a, b in brute(documents)[0]:
+        near[a].add(b)
+    for doc_id, line in held:
+        holders[line].add(doc_id)
+    for line in holders:
+        if line not in root:
+            todo = [line]
+            while todo:
+                x = todo.pop()
+                if x not in root:
+                    root[x] = line
+                    todo += near[x]
+    want, got = defaultdict(set), defaultdict(set)
+    for line, ids in holders.items():
+        want[root[line]] |= ids
+    for r in rows:
+        got[r.class_id].add(r.doc_id)
+    assert sorted(map(repr, map(sorted_ids, want.values()))) == sorted(map(repr, map(sorted_ids, got.values())))
+    return held
+
+
+def sorted_ids(ids):
+    return sorted(ids, key=repr)
+
+
+def test_members_name_every_holder_of_every_line(spark):
+    held = check_members(lines.op8_line_members(spark, SMALL).collect(), small_documents())
+    # Later holders and lines too short for edits are there.
+    assert len(held) > len({line for _, line in held}) and any(len(line) < lines.MIN_CHARS for _, line in held)
+    frame = odd_documents(spark)
+    check_members(lines.line_members(frame).collect(), pairs_of(frame))
+    assert lines.line_members(no_documents(spark)).count() == 0
