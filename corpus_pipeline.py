@@ -17,8 +17,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Lines with an earlier line within the edit threshold go; documents stay."""
-    return lines.without_repeated_lines(docs)
+    """Lines with an earlier line within the edit threshold go, shorter ones with an equal line; documents stay."""
+    return lines.without_repeated_lines(docs, shorter=True)
 
 
 def near_dedup(spark, docs, sf_dir):

@@ -280,18 +280,19 @@ def op8_line_members(spark, folder):
     return line_members(documents(spark, folder))
 
 
-def without_repeated_lines(frame, edits=EDITS, min_chars=MIN_CHARS):
+def without_repeated_lines(frame, edits=EDITS, min_chars=MIN_CHARS, shorter=False):
     """The table with every line taken out that has an earlier line of its class.
 
     Earlier is a smaller doc_id (null last), then the order of texts' hashes, then the place in the
-    text; rows equal in id and text are one document. Shorter lines and everything else in a text
-    stay. n_chars is counted anew where a text changed.
+    text; rows equal in id and text are one document. Shorter lines stay, or with `shorter` go where
+    an equal one is earlier. Empty lines and everything else in a text stay. n_chars is counted anew
+    where a text changed.
     """
     spark = frame.sparkSession
     listed = document_lines(frame)
     found = links(spark, listed, edits, min_chars)
     reached = stored(spark, components(spark, found))
-    places = _lines(listed, min_chars).select("doc_id", "tie", "at", "id", "check")
+    places = _lines(listed, 1 if shorter else min_chars).select("doc_id", "tie", "at", "id", "check")
     placed = places.join(reached, places.id == reached.node, "left").select(
         "doc_id", "tie", "at", F.coalesce("component", "id").alias("class"),
         # Lines that nothing links are told apart by both hashes.

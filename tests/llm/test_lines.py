@@ -191,3 +191,12 @@ def test_members_name_every_holder_of_every_line(spark):
     frame = odd_documents(spark)
     check_members(lines.line_members(frame).collect(), pairs_of(frame))
     assert lines.line_members(no_documents(spark)).count() == 0
+
+
+def test_repeated_short_lines_are_taken_out_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(2, "Les.\n\n other\nLes"), (1, "Les. \nmore\nmore\n"), (None, "Les"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, frame, SMALL).collect()}
+    assert got == {2: "\n other\nLes", 1: "Les. \nmore\n", None: "", 3: None}
