@@ -32,8 +32,8 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack_sequences(spark, docs, sf_dir):
-    """Pieces of token sequences; the ids themselves are summed up by a checksum."""
-    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """Pieces of token sequences: their ids and a checksum of them."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [

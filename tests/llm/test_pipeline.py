@@ -1,5 +1,6 @@
 """Each stage of the pipeline against a plain version, on what the stage before it kept."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -101,6 +102,11 @@ def test_mix_and_pack_stages(staged):
     check_packing(staged[5].collect(), [(i, t) for i, texts in found.items() for t in texts])
 
 
+def test_pack_stage_keeps_the_ids(staged):
+    for r in staged[5].collect():
+        assert len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32
+
+
 def test_run_and_registration(spark, staged):
     got = corpus_pipeline.run(spark, SMALL)
     assert sorted(map(tuple, got.drop("sequence_id", "step_id", "offset").collect())) == sorted(
