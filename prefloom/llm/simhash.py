@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import documents, steps, stored, texts_of
+from prefloom.llm.common import documents, ragged, steps, stored, texts_of
 from prefloom.llm.components import components
 
 WORDS, BITS, DISTANCE, SEED = 3, 64, 3, 42
@@ -109,6 +109,25 @@ def linked(marks, checks, groups, distance=DISTANCE, check_distance=0):
     return moved, label[moved]
 
 
+def apart(marks, checks, groups, labels, distance, check_distance):
+    """All places (a, b) inside each group that `linked` would link and whose labels differ, in steps."""
+    n = len(marks)
+    last = np.searchsorted(groups, groups, side="right")
+    at = 0
+    while at < n:
+        # As many rows as fill a step with what follows them in their groups.
+        follow = np.cumsum(last[at:] - np.arange(at, n) - 1)
+        stop = at + max(1, int(np.searchsorted(follow, 1 << 20, side="right")))
+        first = np.arange(at, min(stop, n))
+        many = last[first] - first - 1
+        a, b = np.repeat(first, many), ragged(first + 1, many)
+        near = (np.bitwise_count(marks[a] ^ marks[b]) <= distance) & (labels[a] != labels[b])
+        a, b = a[near], b[near]
+        near = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
+        yield a[near], b[near]
+        at = stop
+
+
 def merge(label, a, b):
     """Labels after joining places a[i] and b[i]; a label is the lowest place of its set."""
     while len(a):
@@ -131,11 +150,13 @@ def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_b
     """Links (u, v) among nodes, enough to connect all that are linked.
 
     `marks` has a row per node: node, its fingerprint `mark` that blocks are cut from, and `check`,
-    a second fingerprint that has to be within `check_distance` too.
+    a second fingerprint that has to be within `check_distance` too. With a column `label`, all
+    links between nodes of different labels come instead, some of them more than once.
     """
+    held = [name for name in ("node", "mark", "check", "label") if name in marks.columns]
     blocks, whole = distance + 1, (1 << BITS) - 1
     masks = {0: [(m, whole & ~m) for m in split_bits(whole, blocks)]}
-    level = marks.select("node", "mark", "check").withColumn("fixed", F.lit(0).cast("bigint"))
+    level = marks.select(*held).withColumn("fixed", F.lit(0).cast("bigint"))
     found = []
     while True:
         # `fixed` is the mask of bits on which a group agrees; its members are split by each block
@@ -150,7 +171,7 @@ def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_b
                 )
             ]
         )
-        keyed = level.select("node", "mark", "check", F.explode(finer[F.col("fixed")]).alias("fixed")).withColumn(
+        keyed = level.select(*held, F.explode(finer[F.col("fixed")]).alias("fixed")).withColumn(
             "value", F.col("mark").bitwiseAND(F.col("fixed"))
         )
         keyed = keyed.distinct() if found else keyed
@@ -165,7 +186,7 @@ def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_b
             found.append(_compare(keyed, distance, check_distance))
             break
         found.append(_compare(keyed.join(hot, ["fixed", "value"], "left_anti"), distance, check_distance))
-        level = keyed.join(hot, ["fixed", "value"], "left_semi").select("node", "mark", "check", "fixed")
+        level = keyed.join(hot, ["fixed", "value"], "left_semi").select(*held, "fixed")
         masks = {fixed: [(m, 0) for m in split_bits(whole & ~fixed, blocks)] for fixed in reached}
     united = found[0]
     for more in found[1:]:
@@ -175,28 +196,33 @@ def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_b
 
 def _compare(keyed, distance, check_distance):
     """Links inside every group. A task holds one batch and the group it ends in."""
+    columns = ["fixed", "value", *[name for name in ("node", "mark", "check", "label") if name in keyed.columns]]
 
     def run(batches):
         rest = None
         for batch in batches:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
             rows = rows if rest is None else np.concatenate([rest, rows], axis=1)
             last = (rows[:2] == rows[:2, -1:]).all(axis=0)
             cut = int(np.argmax(last)) if rows.shape[1] else 0
-            yield emit(rows[:, :cut])
+            yield from emit(rows[:, :cut])
             rest = rows[:, cut:]
         if rest is not None:
-            yield emit(rest)
+            yield from emit(rest)
 
     def emit(rows):
         change = (np.diff(rows[:2], axis=1) != 0).any(axis=0)
         groups = np.concatenate([[0], np.cumsum(change)]) if rows.shape[1] else np.zeros(0, np.int64)
         marks, checks = (np.ascontiguousarray(rows[i]).astype(np.int64).view(np.uint64) for i in (3, 4))
-        a, b = linked(marks, checks, groups, distance, check_distance)
-        return pa.RecordBatch.from_arrays([pa.array(rows[2][x], pa.int64()) for x in (a, b)], ["u", "v"])
+        if len(columns) == 6:
+            found = apart(marks, checks, groups, rows[5], distance, check_distance)
+        else:
+            found = [linked(marks, checks, groups, distance, check_distance)]
+        for a, b in found:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2][x], pa.int64()) for x in (a, b)], ["u", "v"])
 
     ordered = keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value", "node")
-    return ordered.select("fixed", "value", "node", "mark", "check").mapInArrow(run, "u BIGINT, v BIGINT")
+    return ordered.select(*columns).mapInArrow(run, "u BIGINT, v BIGINT")
 
 
 def near_duplicates(frame, words=WORDS, distance=DISTANCE, id_column="doc_id", text_column="text"):
@@ -226,22 +252,69 @@ def op5_simhash(spark, folder):
 
 
 # Texts of which four in five five-word shingles are shared differ in few bits of the fingerprint of
-# their single words, and in about a fifth of those of their shingles.
-SEARCHED, VERIFIED = (1, 7), (5, 14)
+# their single words, and in about a fifth of those of their shingles. Both only find candidates: the
+# bits are set by their recall, and the share of shingles decides.
+SEARCHED, VERIFIED, SHARED = (1, 7), (5, 18), 0.8
+
 
+def shingle_sets(frame, words):
+    """node (a text's hash) and the sorted distinct hashes of its shingles, for every row."""
 
-def one_of_each(frame, searched=SEARCHED, verified=VERIFIED):
+    def run(batches):
+        for batch in steps(batches):
+            sets = []
+            for text in texts_of(batch).cast(pa.large_binary()).to_pylist():
+                found = text.lower().split()
+                width = min(words, len(found))
+                shingles = {b" ".join(found[i : i + width]) for i in range(len(found) - width + 1)} if found else ()
+                sets.append(sorted({xxhash.xxh64_intdigest(x, SEED) - (1 << 63) for x in shingles}))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
+            )
+
+    return frame.select("node", "text").mapInArrow(run, "node BIGINT, shingles ARRAY<BIGINT>")
+
+
+def alike(links, sets, share=SHARED):
+    """Links whose ends share at least `share` of the shingles that either has; two empty sets are equal."""
+    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
+    other = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    # Sets whose sizes are too far apart need no look at what they hold.
+    sized = links.join(one, "u").join(other, "v").where(
+        F.least(F.size("x"), F.size("y")) >= F.lit(share) * F.greatest(F.size("x"), F.size("y"))
+    )
+    return sized.where(both >= F.lit(share) * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
+def one_of_each(frame, searched=SEARCHED, verified=VERIFIED, share=SHARED):
     """The table with one document of each group of near copies.
 
-    Near copies are found by the fingerprint of one shingle width, within its bits, and verified by
-    that of another: (words, bits) each. A group is what is linked; its document of the smallest id
-    stays (null last), of equal ids that of the smallest hash of the text, and of equal rows one.
+    Candidates are found by the fingerprint of one shingle width, within its bits, and narrowed by
+    that of another: (words, bits) each. Linked are those of them that share enough of their
+    shingles of the latter width, counted exactly. A group is what is linked; its document of the
+    smallest id stays (null last), of equal ids that of the smallest hash of the text, and of equal
+    rows one.
     """
     spark = frame.sparkSession
     marked = stored(spark, fingerprints(frame, (searched[0], verified[0])))
-    node = F.xxhash64("mark", "mark1").alias("node")
+    node = F.col("tie").alias("node")
     nodes = stored(spark, marked.select(node, "mark", F.col("mark1").alias("check")).distinct())
-    reached = components(spark, links(spark, nodes, searched[1], verified[1]))
+    # What connects all candidates: who has no link here has no candidate.
+    loose = stored(spark, links(spark, nodes, searched[1], verified[1]).distinct())
+    candidates = stored(spark, loose.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = frame.select(F.xxhash64(whole).alias("node"), whole.alias("text")).join(candidates, "node", "left_semi")
+    sets = stored(spark, shingle_sets(texts.dropDuplicates(["node"]), verified[0]))
+    sure = stored(spark, alike(loose, sets, share))
+    # Candidates that these links leave apart are verified pair by pair.
+    labelled = nodes.join(candidates, "node", "left_semi").join(components(spark, sure), "node", "left").select(
+        "node", "mark", "check", F.coalesce("component", "node").alias("label")
+    )
+    open_links = links(spark, stored(spark, labelled), searched[1], verified[1])
+    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    more = alike(open_links.select(*ends).distinct(), sets, share)
+    reached = components(spark, sure.unionAll(more))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     grouped = marked.select(node, order.alias("order")).join(reached, "node", "left")
     kept = (
