@@ -65,3 +65,15 @@ def ragged(starts, lengths):
     ends = np.cumsum(lengths)
     shift = np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
     return shift + np.arange(ends[-1] if len(ends) else 0, dtype=np.int64)
+
+
+def unused(frame, *names):
+    """Names for helper columns that the frame does not have yet, in any case of letters."""
+    taken = {name.lower() for name in frame.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import documents, steps, stored, texts_of, words_of
+from prefloom.llm.common import documents, steps, stored, texts_of, unused, words_of
 from prefloom.operators.ordering import running_aggregates
 
 # Weights by place of the source, share of all sizes, and passes over a source.
@@ -23,6 +23,8 @@ SHARE, PASSES = 1.5, 2
 BLOCK_WORDS, SHARD_SLOTS, SEED = 128, 8192, 20_240
 # Documents of a source are ordered in buckets of about this many.
 BUCKET = 1 << 12
+# Shards whose slots one task lists.
+TASK_SHARDS = 16
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -172,7 +174,9 @@ def slots(spark, plan, seed=SEED, shard_slots=SHARD_SLOTS):
                     list(map(pa.array, (shard, slot, source, turn, block))), ["shard", "slot", "source_no", "pass", "block"]
                 )
 
-    return counted.select("shard", "source_no", "n", "first", "before").mapInArrow(
+    # Few rows that become many: a given number of partitions is not merged.
+    tasks = -(-shards // TASK_SHARDS) or 1
+    return counted.select("shard", "source_no", "n", "first", "before").repartition(tasks, "shard").mapInArrow(
         expand, "shard BIGINT, slot BIGINT, source_no BIGINT, pass BIGINT, block BIGINT"
     )
 
@@ -274,20 +278,21 @@ def mixed_documents(frame):
     )
     named = mix.sized.alias("s").join(copies.alias("p"), whole).select("s.doc_id", "s.tie", F.col("p.copies").alias("copies"))
     # Equal rows have equal texts: their copies are all cut from one of them.
-    cuts = named.groupBy(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).agg(F.flatten(F.collect_list("copies")).alias("_copies"))
-    texts = frame.withColumn("_tie", F.xxhash64(F.col("text").cast("string"))).withColumn("_doc", F.col("doc_id"))
-    one = Window.partitionBy("_doc", "_tie").orderBy("_tie")
-    texts = texts.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one")
-    joined = texts.alias("d").join(
-        cuts.alias("c"), F.expr("d._doc <=> c._doc AND d._tie = c._tie")
-    ).select("d.*", F.explode("c._copies").alias("_copy")).drop("_doc", "_tie")
+    cuts = named.groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("copies")).alias("copies"))
+    doc, tie, taken = unused(frame, "doc", "tie", "taken")
+    texts = frame.withColumns({doc: F.col("doc_id").cast("bigint"), tie: F.xxhash64(F.col("text").cast("string"))})
+    same = F.col(f"d.{doc}").eqNullSafe(F.col("c.doc_id")) & (F.col(f"d.{tie}") == F.col("c.tie"))
+    joined = (
+        texts.dropDuplicates([doc, tie]).alias("d").join(cuts.alias("c"), same)
+        .select("d.*", F.explode("c.copies").alias(taken)).drop(doc, tie)
+    )
     names = frame.columns
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def cut(batches):
         for batch in steps(batches):
             texts = []
-            listed = batch.column("_copy").to_pylist()
+            listed = batch.column(taken).to_pylist()
             for text, copy in zip(texts_of(batch).to_pylist(), listed):
                 texts.append(cut_words(text, [(c["start"], c["length"]) for c in copy["cuts"]]))
             columns = [batch.column(name) for name in names]

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import coded, documents, steps, stored, texts_of, words_of
+from prefloom.llm.common import coded, documents, steps, stored, texts_of, unused, words_of
 
 # At most this share of a stratum's good documents is rejected, but for this probability.
 RISK, ERROR = 0.02, 0.05
@@ -200,6 +200,7 @@ def without_rejected(frame, labels):
     """The table without rejected documents; all of its columns and kept rows stay as they are."""
     judged = judge(frame, labels).where("kept").select(F.col("doc_id").alias("doc"), "tie").distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = frame.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_tie": F.xxhash64(text)})
-    same = F.expr("d._doc <=> j.doc AND d._tie = j.tie")
-    return keyed.alias("d").join(judged.alias("j"), same, "left_semi").select(*[f"`{name}`" for name in frame.columns])
+    doc, tie = unused(frame, "doc", "tie")
+    keyed = frame.withColumns({doc: F.col("doc_id").cast("bigint"), tie: F.xxhash64(text)})
+    same = F.col(f"d.{doc}").eqNullSafe(F.col("j.doc")) & (F.col(f"d.{tie}") == F.col("j.tie"))
+    return keyed.alias("d").join(judged.alias("j"), same, "left_semi").drop(doc, tie)

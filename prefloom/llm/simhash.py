@@ -9,10 +9,9 @@ group can be large. A group gives the links that connect it, never all of its pa
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import documents, ragged, steps, stored, texts_of
+from prefloom.llm.common import documents, steps, stored, texts_of, unused
 from prefloom.llm.components import components
 
 WORDS, BITS, DISTANCE, SEED = 3, 64, 3, 42
@@ -40,20 +39,19 @@ def majority(hashes):
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(frame, widths=(WORDS,), id_column="doc_id", text_column="text"):
-    """doc_id, a hash of the text and a fingerprint (a signed bigint) for each shingle width, per row.
+def fingerprints(frame, words=WORDS, id_column="doc_id", text_column="text"):
+    """doc_id, a hash of the text (tie) and the fingerprint as a signed bigint (mark), for every row.
 
-    Null and word-less texts have fingerprint 0. Columns mark, mark1, ... in the order of the widths.
+    Null and word-less texts have fingerprint 0.
     """
-    names = ["mark", *[f"mark{n}" for n in range(1, len(widths))]]
 
     def run(batches):
         for batch in steps(batches):
             texts = texts_of(batch).cast(pa.large_binary()).to_pylist()
-            marks = [np.array([simhash(text, width) for text in texts], dtype=np.uint64) for width in widths]
+            marks = np.array([simhash(text, words) for text in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("tie"), *[pa.array(m.view(np.int64), pa.int64()) for m in marks]],
-                ["doc_id", "tie", *names],
+                [batch.column("doc_id"), batch.column("tie"), pa.array(marks.view(np.int64), pa.int64())],
+                ["doc_id", "tie", "mark"],
             )
 
     rows = frame.selectExpr(
@@ -61,7 +59,7 @@ def fingerprints(frame, widths=(WORDS,), id_column="doc_id", text_column="text")
         f"coalesce(CAST(`{text_column}` AS STRING), '') AS text",
         f"xxhash64(coalesce(CAST(`{text_column}` AS STRING), '')) AS tie",
     )
-    return rows.mapInArrow(run, "doc_id BIGINT, tie BIGINT, " + ", ".join(f"{name} BIGINT" for name in names))
+    return rows.mapInArrow(run, "doc_id BIGINT, tie BIGINT, mark BIGINT")
 
 
 def _signed(number):
@@ -75,59 +73,29 @@ def split_bits(mask, parts):
     return [sum(1 << bit for bit in bits[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def linked(marks, checks, groups, distance=DISTANCE, check_distance=0):
-    """Places (a, b) that connect all that is linked inside each group; rows are sorted by group.
-
-    Linked are rows whose marks and whose checks are both within their distance.
-    """
+def linked(marks, groups, distance=DISTANCE):
+    """Places (a, b) that connect all marks within the distance inside each group; rows are sorted by group."""
     n = len(marks)
     label = np.arange(n)
     bounds = np.flatnonzero(np.diff(groups, prepend=groups[:1] - 1)) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(bounds, n))
-
-    def near(a, b):
-        close = np.flatnonzero(np.bitwise_count(marks[a] ^ marks[b]) <= distance)
-        a, b = a[close], b[close]
-        close = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
-        return a[close], b[close]
-
     small = np.repeat(sizes <= 64, sizes)
     for step in range(1, int(sizes[sizes <= 64].max(initial=1))):
         a = np.flatnonzero(small[:-step] & (groups[step:] == groups[:-step]))
         if not len(a):
             break
-        label = merge(label, *near(a, a + step))
+        a = a[np.bitwise_count(marks[a] ^ marks[a + step]) <= distance]
+        label = merge(label, a, a + step)
     for start, size in zip(bounds[sizes > 64], sizes[sizes > 64]):
         own = marks[start : start + size]
         rows = max(1, (1 << 20) // size)
         for at in range(0, size, rows):
             a, b = np.nonzero(np.bitwise_count(own[at : at + rows, None] ^ own[None, at:]) <= distance)
-            a, b = start + at + a, start + at + b
-            close = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
-            label = merge(label, a[close], b[close])
+            label = merge(label, start + at + a, start + at + b)
     moved = np.flatnonzero(label != np.arange(n))
     return moved, label[moved]
 
 
-def apart(marks, checks, groups, labels, distance, check_distance):
-    """All places (a, b) inside each group that `linked` would link and whose labels differ, in steps."""
-    n = len(marks)
-    last = np.searchsorted(groups, groups, side="right")
-    at = 0
-    while at < n:
-        # As many rows as fill a step with what follows them in their groups.
-        follow = np.cumsum(last[at:] - np.arange(at, n) - 1)
-        stop = at + max(1, int(np.searchsorted(follow, 1 << 20, side="right")))
-        first = np.arange(at, min(stop, n))
-        many = last[first] - first - 1
-        a, b = np.repeat(first, many), ragged(first + 1, many)
-        near = (np.bitwise_count(marks[a] ^ marks[b]) <= distance) & (labels[a] != labels[b])
-        a, b = a[near], b[near]
-        near = np.bitwise_count(checks[a] ^ checks[b]) <= check_distance
-        yield a[near], b[near]
-        at = stop
-
-
 def merge(label, a, b):
     """Labels after joining places a[i] and b[i]; a label is the lowest place of its set."""
     while len(a):
@@ -146,14 +114,12 @@ def merge(label, a, b):
     return label
 
 
-def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_bits=FREE_BITS):
-    """Links (u, v) among nodes, enough to connect all that are linked.
+def links(spark, marks, distance=DISTANCE, group=GROUP, free_bits=FREE_BITS):
+    """Links (u, v) among nodes, enough to connect all whose fingerprints are within the distance.
 
-    `marks` has a row per node: node, its fingerprint `mark` that blocks are cut from, and `check`,
-    a second fingerprint that has to be within `check_distance` too. With a column `label`, all
-    links between nodes of different labels come instead, some of them more than once.
+    `marks` has a row per node: node and its fingerprint `mark`, each mark once.
     """
-    held = [name for name in ("node", "mark", "check", "label") if name in marks.columns]
+    held = ["node", "mark"]
     blocks, whole = distance + 1, (1 << BITS) - 1
     masks = {0: [(m, whole & ~m) for m in split_bits(whole, blocks)]}
     level = marks.select(*held).withColumn("fixed", F.lit(0).cast("bigint"))
@@ -177,15 +143,15 @@ def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_b
         keyed = keyed.distinct() if found else keyed
         reached = sorted({fixed | block for fixed, blocked in masks.items() for block, _ in blocked})
         if all(BITS - fixed.bit_count() <= free_bits for fixed in reached):
-            found.append(_compare(keyed, distance, check_distance))
+            found.append(_compare(keyed, distance))
             break
         keyed = stored(spark, keyed)
         sizes = keyed.groupBy("fixed", "value").agg(F.count("*").alias("size"))
         hot = stored(spark, sizes.where(F.col("size") > group).select("fixed", "value"))
         if hot.isEmpty():
-            found.append(_compare(keyed, distance, check_distance))
+            found.append(_compare(keyed, distance))
             break
-        found.append(_compare(keyed.join(hot, ["fixed", "value"], "left_anti"), distance, check_distance))
+        found.append(_compare(keyed.join(hot, ["fixed", "value"], "left_anti"), distance))
         level = keyed.join(hot, ["fixed", "value"], "left_semi").select(*held, "fixed")
         masks = {fixed: [(m, 0) for m in split_bits(whole & ~fixed, blocks)] for fixed in reached}
     united = found[0]
@@ -194,9 +160,9 @@ def links(spark, marks, distance=DISTANCE, check_distance=0, group=GROUP, free_b
     return united
 
 
-def _compare(keyed, distance, check_distance):
+def _compare(keyed, distance):
     """Links inside every group. A task holds one batch and the group it ends in."""
-    columns = ["fixed", "value", *[name for name in ("node", "mark", "check", "label") if name in keyed.columns]]
+    columns = ["fixed", "value", "node", "mark"]
 
     def run(batches):
         rest = None
@@ -213,18 +179,23 @@ def _compare(keyed, distance, check_distance):
     def emit(rows):
         change = (np.diff(rows[:2], axis=1) != 0).any(axis=0)
         groups = np.concatenate([[0], np.cumsum(change)]) if rows.shape[1] else np.zeros(0, np.int64)
-        marks, checks = (np.ascontiguousarray(rows[i]).astype(np.int64).view(np.uint64) for i in (3, 4))
-        if len(columns) == 6:
-            found = apart(marks, checks, groups, rows[5], distance, check_distance)
-        else:
-            found = [linked(marks, checks, groups, distance, check_distance)]
-        for a, b in found:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[2][x], pa.int64()) for x in (a, b)], ["u", "v"])
+        marks = np.ascontiguousarray(rows[3]).astype(np.int64).view(np.uint64)
+        ends = linked(marks, groups, distance)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[2][x], pa.int64()) for x in ends], ["u", "v"])
 
     ordered = keyed.repartition("fixed", "value").sortWithinPartitions("fixed", "value", "node")
     return ordered.select(*columns).mapInArrow(run, "u BIGINT, v BIGINT")
 
 
+def classes(spark, marked, distance):
+    """(mark, component) of every fingerprint: the fingerprints that links reach have one component."""
+    marks = stored(spark, marked.select("mark").distinct())
+    reached = components(spark, links(spark, marks.select(F.col("mark").alias("node"), "mark"), distance))
+    return marks.join(reached, F.col("mark") == F.col("node"), "left").select(
+        "mark", F.coalesce("component", "mark").alias("component")
+    )
+
+
 def near_duplicates(frame, words=WORDS, distance=DISTANCE, id_column="doc_id", text_column="text"):
     """doc_id, fingerprint and component of every row.
 
@@ -233,16 +204,12 @@ def near_duplicates(frame, words=WORDS, distance=DISTANCE, id_column="doc_id", t
     like any other. Equal rows each give a row. Other columns are left out.
     """
     spark = frame.sparkSession
-    marked = stored(spark, fingerprints(frame, (words,), id_column, text_column))
-    marks = stored(spark, marked.groupBy("mark").agg(F.min("doc_id").alias("low")))
-    nodes = marks.select(F.col("mark").alias("node"), "mark", F.lit(0).cast("bigint").alias("check"))
-    reached = components(spark, links(spark, nodes, distance))
-    named = marks.join(reached, F.col("mark") == F.col("node"), "left").select(
-        "mark", "low", F.coalesce("component", "mark").alias("component")
-    )
+    marked = stored(spark, fingerprints(frame, words, id_column, text_column))
+    low = marked.groupBy("mark").agg(F.min("doc_id").alias("low"))
+    named = stored(spark, classes(spark, marked, distance).join(low, "mark"))
     lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    classes = named.join(lowest, "component").select("mark", "component_id")
-    return marked.join(classes, "mark").select(
+    found = named.join(lowest, "component").select("mark", "component_id")
+    return marked.join(found, "mark").select(
         "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -251,79 +218,26 @@ def op5_simhash(spark, folder):
     return near_duplicates(documents(spark, folder))
 
 
-# Texts of which four in five five-word shingles are shared differ in few bits of the fingerprint of
-# their single words, and in about a fifth of those of their shingles. Both only find candidates: the
-# bits are set by their recall, and the share of shingles decides.
-SEARCHED, VERIFIED, SHARED = (1, 7), (5, 18), 0.8
-
-
-def shingle_sets(frame, words):
-    """node (a text's hash) and the sorted distinct hashes of its shingles, for every row."""
-
-    def run(batches):
-        for batch in steps(batches):
-            sets = []
-            for text in texts_of(batch).cast(pa.large_binary()).to_pylist():
-                found = text.lower().split()
-                width = min(words, len(found))
-                shingles = {b" ".join(found[i : i + width]) for i in range(len(found) - width + 1)} if found else ()
-                sets.append(sorted({xxhash.xxh64_intdigest(x, SEED) - (1 << 63) for x in shingles}))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"]
-            )
-
-    return frame.select("node", "text").mapInArrow(run, "node BIGINT, shingles ARRAY<BIGINT>")
-
-
-def alike(links, sets, share=SHARED):
-    """Links whose ends share at least `share` of the shingles that either has; two empty sets are equal."""
-    one = sets.select(F.col("node").alias("u"), F.col("shingles").alias("x"))
-    other = sets.select(F.col("node").alias("v"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    # Sets whose sizes are too far apart need no look at what they hold.
-    sized = links.join(one, "u").join(other, "v").where(
-        F.least(F.size("x"), F.size("y")) >= F.lit(share) * F.greatest(F.size("x"), F.size("y"))
-    )
-    return sized.where(both >= F.lit(share) * (F.size("x") + F.size("y") - both)).select("u", "v")
-
-
-def one_of_each(frame, searched=SEARCHED, verified=VERIFIED, share=SHARED):
+def one_of_each(frame, words=WORDS, distance=DISTANCE):
     """The table with one document of each group of near copies.
 
-    Candidates are found by the fingerprint of one shingle width, within its bits, and narrowed by
-    that of another: (words, bits) each. Linked are those of them that share enough of their
-    shingles of the latter width, counted exactly. A group is what is linked; its document of the
-    smallest id stays (null last), of equal ids that of the smallest hash of the text, and of equal
-    rows one.
+    A group is a component of `near_duplicates`, with the same words and distance. Its document of
+    the smallest id stays (null last), of equal ids that of the smallest hash of the text, and of
+    equal rows one.
     """
     spark = frame.sparkSession
-    marked = stored(spark, fingerprints(frame, (searched[0], verified[0])))
-    node = F.col("tie").alias("node")
-    nodes = stored(spark, marked.select(node, "mark", F.col("mark1").alias("check")).distinct())
-    # What connects all candidates: who has no link here has no candidate.
-    loose = stored(spark, links(spark, nodes, searched[1], verified[1]).distinct())
-    candidates = stored(spark, loose.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = frame.select(F.xxhash64(whole).alias("node"), whole.alias("text")).join(candidates, "node", "left_semi")
-    sets = stored(spark, shingle_sets(texts.dropDuplicates(["node"]), verified[0]))
-    sure = stored(spark, alike(loose, sets, share))
-    # Candidates that these links leave apart are verified pair by pair.
-    labelled = nodes.join(candidates, "node", "left_semi").join(components(spark, sure), "node", "left").select(
-        "node", "mark", "check", F.coalesce("component", "node").alias("label")
-    )
-    open_links = links(spark, stored(spark, labelled), searched[1], verified[1])
-    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    more = alike(open_links.select(*ends).distinct(), sets, share)
-    reached = components(spark, sure.unionAll(more))
+    marked = stored(spark, fingerprints(frame, words))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    grouped = marked.select(node, order.alias("order")).join(reached, "node", "left")
+    lowest = marked.groupBy("mark").agg(F.min(order).alias("order"))
     kept = (
-        grouped.groupBy(F.coalesce("component", "node").alias("component"))
+        classes(spark, marked, distance).join(lowest, "mark")
+        .groupBy("component")
         .agg(F.min("order").alias("order"))
-        .select(F.col("order.doc_id").alias("doc"), F.col("order.tie").alias("tie"))
+        .select("order.doc_id", "order.tie")
     )
+    doc, tie = unused(frame, "doc", "tie")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = frame.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_tie": F.xxhash64(text)})
-    one = F.row_number().over(Window.partitionBy("_doc", "_tie").orderBy("_tie"))
-    stays = keyed.alias("d").join(kept.alias("k"), F.expr("d._doc <=> k.doc AND d._tie = k.tie"), "left_semi")
-    return stays.withColumn("_one", one).where("_one = 1").select(*[f"`{name}`" for name in frame.columns])
+    keyed = frame.withColumns({doc: F.col("doc_id").cast("bigint"), tie: F.xxhash64(text)})
+    same = F.col(f"d.{doc}").eqNullSafe(F.col("k.doc_id")) & (F.col(f"d.{tie}") == F.col("k.tie"))
+    # Equal rows are combined before the shuffle.
+    return keyed.alias("d").join(kept.alias("k"), same, "left_semi").dropDuplicates([doc, tie]).drop(doc, tie)
