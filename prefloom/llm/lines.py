@@ -3,19 +3,22 @@
 A line of m characters is cut into edits + 1 segments. A line within that many edits holds at
 least one of them unchanged, at a place that its length and the segment's number confine to a few
 positions. Segments and probed substrings are hashed with the length and number they stand for and
-meet on equal hashes. What meets is narrowed by character parities, which one edit changes in at
-most two places, and verified with a banded bit-parallel edit distance.
+meet on equal hashes; under a hash that many lines share they meet on their rarest grams. What meets
+is narrowed by character parities, which one edit changes in at most two places, and verified with a
+banded bit-parallel edit distance.
 """
 
 from pyspark.sql import functions as F
 
-from prefloom.llm.common import documents, stored
+from prefloom.llm.common import documents, stored, unused
 from prefloom.llm.components import components
 
 EDITS, MIN_CHARS = 2, 20
 # Ids that may be sent to every executor: 16 bytes each. More meet in a shuffle.
 SENT_IDS = 1 << 21
 PARITIES = 60
+# A key with more rows is crowded: its lines meet on their rarest grams of so many characters.
+CROWD, GRAM = 64, 4
 # Fixed value: the white space stripped from both ends of a line.
 WHITE = " \t\r\x0b\x0c"
 
@@ -151,11 +154,74 @@ def _only(rows, ids, column):
     return rows.join(F.broadcast(ids) if few else ids, column, "left_semi")
 
 
-def links(spark, listed, edits=EDITS, min_chars=MIN_CHARS):
+def _pairs(rows, keys, edits, among=None):
+    """(u, v) of indexed and probing lines that agree on the keys and nearly on their parities.
+
+    Lines of one length meet in one direction. `among` is a condition on a row's columns of either
+    side, as a function of both aliases.
+    """
+    near = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= 2 * edits
+    once = F.when(F.col("b.gap") == 0, F.col("a.id") < F.col("b.id")).otherwise(F.col("a.id") != F.col("b.id"))
+    condition = near & once
+    for key in keys:
+        condition = condition & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+    if among is not None:
+        condition = condition & among
+    return rows.where("index").alias("a").join(rows.alias("b"), condition).select(
+        F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")
+    )
+
+
+def _crowded_pairs(spark, rows, texts, edits):
+    """The pairs of `_pairs` for keys under which many lines stand, without comparing all of them.
+
+    An edit changes at most GRAM of a line's distinct grams. Two lines within the edits therefore
+    share one of their first edits * GRAM + 1 grams in any common order, if they have that many;
+    the order is rarest first under the key. Lines of fewer grams, and what is near them, meet on
+    character parities instead: 2 * edits changed ones leave one of 2 * edits + 1 blocks unchanged.
+    """
+    changed = edits * GRAM
+    letters = F.col("letters")
+    gram = F.array_distinct(
+        F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(letters) - GRAM, F.lit(0))),
+            lambda i: F.xxhash64(*[F.get(letters, i + n) for n in range(GRAM)]),
+        )
+    )
+    held = rows.select("id").distinct()
+    grams = stored(spark, texts.join(held, "id", "left_semi").select("id", gram.alias("grams")))
+    placed = rows.select("key", "id").distinct().join(grams, "id")
+    single = placed.where(F.size("grams") > changed).select("key", "id", F.explode("grams").alias("gram"))
+    counts = single.groupBy("key", "gram").agg(F.count("*").alias("n"))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, changed + 1)["gram"]
+    chosen = single.join(counts, ["key", "gram"]).groupBy("key", "id").agg(first.alias("first"))
+    by_gram = stored(spark, rows.join(chosen, ["key", "id"]).select("*", F.explode("first").alias("gram")))
+    # A pair meets on the first gram that both have.
+    meets = F.get(F.array_intersect("a.first", "b.first"), F.lit(0)) == F.col("a.gram")
+    blocks = 2 * edits + 1
+    size = PARITIES // blocks
+
+    def part(bits, i):
+        return F.shiftright(bits, i * size).bitwiseAND(F.lit((1 << size) - 1))
+
+    cut = F.inline(F.array(*[F.struct(F.lit(i).alias("block"), part("bits", i).alias("part")) for i in range(blocks)]))
+    few = placed.where(F.size("grams") <= 2 * changed).select("key", "id")
+    by_block = stored(spark, rows.join(few, ["key", "id"], "left_semi").select("*", cut))
+    differ = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
+    earliest = F.lit(True)
+    for i in range(blocks - 1):
+        earliest = earliest & ~((F.col("a.block") > i) & (part(differ, i) == 0))
+    return _pairs(by_gram, ["key", "gram"], edits, meets).unionAll(
+        _pairs(by_block, ["key", "block", "part"], edits, earliest)
+    )
+
+
+def links(spark, listed, edits=EDITS, min_chars=MIN_CHARS, crowd=CROWD):
     """(u, v): hashes of different lines within `edits` edits of each other, u < v, each pair once.
 
     Lines have at least `min_chars` characters, which is at least edits + 1. Copies of a line are
-    one line here. Pairs of equal hash but different text are not linked.
+    one line here. Pairs of equal hash but different text are not linked. `crowd` moves work between
+    two exact ways to meet and changes no result.
     """
     lines = _lines(listed, min_chars)
     keyed = probes(lines, edits, min_chars)
@@ -175,31 +241,13 @@ def links(spark, listed, edits=EDITS, min_chars=MIN_CHARS):
         .distinct()
         .withColumns({"bits": parities(F.col("line")), "letters": characters(F.col("line"))}),
     )
-    # 2 * edits changed parities leave one of 2 * edits + 1 blocks unchanged.
-    blocks = 2 * edits + 1
-    size = PARITIES // blocks
-    block = F.array(
-        *[
-            F.struct(F.lit(i).alias("block"), F.shiftright("bits", i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("part"))
-            for i in range(blocks)
-        ]
-    )
-    cut = met.join(texts.select("id", "bits"), "id").select("key", "index", "gap", "id", "bits", F.inline(block))
-    index = cut.where("index").select("key", "block", "part", F.col("id").alias("a"), F.col("bits").alias("a_bits"))
-    probe = cut.select("key", "block", "part", "gap", F.col("id").alias("b"), F.col("bits").alias("b_bits"))
-    changed = F.col("a_bits").bitwiseXOR(F.col("b_bits"))
-    near = F.bit_count(changed) <= 2 * edits
-    # A pair meets on its first unchanged block only, and lines of one length in one direction.
-    for i in range(blocks - 1):
-        same = F.shiftright(changed, i * size).bitwiseAND(F.lit((1 << size) - 1)) == 0
-        near = near & ~((F.col("block") > i) & same)
-    once = F.when(F.col("gap") == 0, F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-    pairs = (
-        index.join(probe, ["key", "block", "part"])
-        .where(once & near)
-        .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        .distinct()
-    )
+    marked = met.join(texts.select("id", "bits"), "id")
+    crowded_keys = stored(spark, met.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > crowd).select("key"))
+    pairs = _pairs(marked.join(crowded_keys, "key", "left_anti"), ["key"], edits)
+    if not crowded_keys.isEmpty():
+        crowded = stored(spark, marked.join(crowded_keys, "key", "left_semi"))
+        pairs = pairs.unionAll(_crowded_pairs(spark, crowded, texts, edits))
+    pairs = pairs.distinct()
     one = texts.select(F.col("id").alias("u"), F.col("letters").alias("x"))
     other = texts.select(F.col("id").alias("v"), F.col("letters").alias("y"))
     apart = F.abs(F.size("x") - F.size("y")) <= edits
@@ -308,15 +356,15 @@ def without_repeated_lines(frame, edits=EDITS, min_chars=MIN_CHARS, shorter=Fals
         .agg(F.collect_set("at").alias("gone"))
     )
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = frame.withColumns({"_doc": F.col("doc_id").cast("bigint"), "_tie": F.xxhash64(text)})
-    joined = marked.alias("d").join(
-        gone.alias("g"), F.expr("d._doc <=> g.doc_id AND d._tie = g.tie"), "left"
-    ).select("d.*", F.col("g.gone").alias("_gone"))
+    doc, own, out = unused(frame, "doc", "tie", "gone")
+    marked = frame.withColumns({doc: F.col("doc_id").cast("bigint"), own: F.xxhash64(text)})
+    same = F.col(f"d.{doc}").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{own}") == F.col("g.tie"))
+    joined = marked.alias("d").join(gone.alias("g"), same, "left").select("d.*", F.col("g.gone").alias(out))
     kept = F.array_join(
-        F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains("_gone", at)), "\n"
+        F.filter(F.split("text", "\n"), lambda line, at: ~F.array_contains(out, at)), "\n"
     )
-    changed = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    changed = joined.withColumn("text", F.when(F.col(out).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in frame.columns:
-        counted = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
+        counted = F.when(F.col(out).isNull(), F.col("n_chars")).otherwise(F.char_length("text"))
         changed = changed.withColumn("n_chars", counted.cast(frame.schema["n_chars"].dataType))
-    return changed.select(*[f"`{name}`" for name in frame.columns])
+    return changed.drop(doc, own, out)

@@ -105,6 +105,22 @@ def test_no_link_is_lost(spark, edits, min_chars):
     frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
     found = check(lines.line_classes(frame, edits, min_chars).collect(), rows, edits=edits, min_chars=min_chars)
     assert len(found) > 200
+    # The same links where every key counts as crowded.
+    listed = lines.document_lines(frame)
+    pairs = [
+        sorted(map(tuple, lines.links(spark, listed, edits, min_chars, crowd).collect())) for crowd in (0, 10**9)
+    ]
+    assert pairs[0] == pairs[1] and 2 * len(pairs[0]) == len(found)
+
+
+def test_many_lines_of_one_template(spark):
+    dice = np.random.default_rng(2)
+    codes = ["".join(dice.choice(list("0123456789abcdef"), 12)) for _ in range(4000)]
+    codes += [code[:-1] + "x" for code in codes[:50]]
+    rows = [(i, f"Order number {code} was shipped to the customer today.") for i, code in enumerate(codes)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    found = lines.links(spark, lines.document_lines(frame)).collect()
+    assert len(found) == 50
 
 
 def test_query_8_equals_brute_force(spark):
