@@ -1,0 +1,131 @@
+import random
+import re
+from functools import lru_cache
+from html import unescape
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from prefloom.llm import markup, wrappers
+from tests.llm.helpers import SMALL, no_documents
+
+
+def plain(html):
+    """Headings and paragraphs of the article, for pages of one known form."""
+    article = re.search(r"<article>(.*?)</article>", html or "", re.S)
+    parts = re.split(r"</?(?:p|h1)>", article[1]) if article else []
+    lines = [" ".join(unescape(re.sub("<[^>]*>", " ", part)).split()) for part in parts]
+    return "\n".join(line for line in lines if line)
+
+
+def test_query_13_on_whole_table(spark):
+    table = pq.read_table(f"{SMALL}/pages.parquet")
+    rows = list(zip(*[table[name].to_pylist() for name in ("page_id", "url", "html")]))
+    got = wrappers.op13_main_text(spark, SMALL)
+    want = sorted((i, url, plain(html), len(plain(html))) for i, url, html in rows)
+    assert sorted(map(tuple, got.collect())) == want and got.columns == ["page_id", "url", "text", "n_chars"]
+
+
+def sentence(dice, n=12):
+    return " ".join("".join(dice.choices("abcdefgh", k=5)) for _ in range(n)).capitalize() + "."
+
+
+def page(dice, body, extra=""):
+    """A page without any telling element: only its place and its changing texts show the article."""
+    menu = "".join(f'<td><a href="/{x}">{x}</a></td>' for x in ("Home", "News", "About"))
+    return (
+        f"<html><body><table><tr>{menu}</tr></table><div><div>Welcome to our site, read by many</div>"
+        f"<div><h2>{sentence(dice, 4)}</h2>{body}{extra}<div>Print this page</div></div>"
+        f"<div><a href='/a'>{sentence(dice, 3)}</a></div></div><div>All rights are ours</div></body></html>"
+    )
+
+
+def test_wrapper_finds_content_without_telling_names(spark):
+    dice, rows, want = random.Random(3), [], {}
+    for n in range(12):
+        body = [sentence(dice, 30) for _ in range(1 + n % 4)]
+        html = page(dice, "".join(f"<p>{x}</p>" for x in body))
+        title = re.search("<h2>(.*?)</h2>", html)[1]
+        rows.append((n, f"http://plain.example.org/{n}", html, "x"))
+        want[n] = "\n".join([title, *body])
+    frame = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING, host STRING")
+    got = {r.page_id: r.text for r in wrappers.extracted(frame).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<article><h1>A &amp; B</h1><p>one&nbsp;<b>two</b>\n three<p>four</article>", "A & B\none two three\nfour"),
+        ("<nav>menu</nav><main><p>x<script>var p='</p>';</script>y</p></main><footer>f</footer>", "xy"),
+        ("<div class='site-header'>h</div><article><p>a</p><aside>b</aside><form>c<input></form><p>d</p></article>", "a\nd"),
+        ("<article><p>t</p></article><section id=comments><article>me too</article></section>", "t"),
+        ("<div class='page has-sidebar'><div class=sidebar>s</div><article><ul><li>1<li>2</ul></article></div>", "1\n2"),
+        ("<div class='page overlay'><div class=menu>m</div><article><p>a</p></article></div>", "a"),
+        ("<article><p>a <span class='ad'>buy</span> b</p><div hidden>c</div><p style='display: none'>d</p></article>", "a b"),
+        ("<article><p>a < b & c &lt;i&gt; &#233;&#x41;</p><!-- <p>no</p> --></article>", "a < b & c <i> éA"),
+        ("<article><table><tr><td>1<td>2<tr><td>3</table><pre> x\n y </pre></article>", "1\n2\n3\nx y"),
+        ("<article><p>open <b>never closed", "open never closed"),
+        ("<p>only text</p>", "only text"),
+        ("plain", "plain"),
+        ("", ""),
+        ("<", "<"),
+        ("<article><p title='it's \"odd\">text</p></article>", "text"),
+        ("<div id=cookie-notice>yes</div><article><header><h1>T</h1></header><p>b</p><footer>tags</footer></article>", "T\nb"),
+    ],
+)
+def test_single_pages(html, text):
+    skeleton = wrappers.listed(markup.read(html))[1]
+    assert wrappers.main_text(html, skeleton, wrappers.slot_of(skeleton, wrappers._plain(skeleton)), []) == text
+
+
+def test_alignment_is_a_largest_one():
+    dice = random.Random(1)
+
+    def tree(depth):
+        return (dice.choice("ab"), tuple(tree(depth - 1) for _ in range(dice.randrange(4) if depth else 0)))
+
+    def rows(t):
+        found = [[ord(t[0]), 1, 0, 0, 0, 0, 0]]
+        for child in t[1]:
+            found += rows(child)
+        found[0][1] = len(found)
+        return found
+
+    @lru_cache(None)
+    def best(a, b):
+        if a[0] != b[0]:
+            return 0
+
+        @lru_cache(None)
+        def match(i, j):
+            if i == len(a[1]) or j == len(b[1]):
+                return 0
+            return max(match(i + 1, j), match(i, j + 1), match(i + 1, j + 1) + best(a[1][i], b[1][j]))
+
+        return 1 + match(0, 0)
+
+    for _ in range(200):
+        a, b = tree(4), tree(4)
+        one, other = np.array(rows(a)), np.array(rows(b))
+        pairs = wrappers.aligned(one, other)
+        assert len(pairs) == best(a, b)
+        assert all(one[x][0] == other[y][0] for x, y in pairs) and pairs == sorted(pairs)
+        assert all(y1 < y2 for (_, y1), (_, y2) in zip(pairs, pairs[1:]))
+
+
+def test_odd_rows(spark):
+    deep = "<div>" * 300 + "deep" + "</div>" * 300
+    long = "<article>" + "".join(f"<p>word{i}</p>" for i in range(20000)) + "</article>"
+    rows = [
+        (1, None, None), (1, None, None), (2, "", ""), (None, "http://h/x", "<p>a</p>"), (3, "http://h/x", "<p>a</p>"),
+        (4, "HTTPS://u@H:80/y", deep), (5, "no url", long), (6, "//h", " \n<>"), (7, "http://h", "\x00<p>퟿</p>"),
+    ]
+    frame = spark.createDataFrame([(*r, "w", 1) for r in rows], "page_id BIGINT, url STRING, html STRING, wrapper STRING, size INT")
+    got = wrappers.extracted(frame).collect()
+    assert sorted(map(repr, [(r.page_id, r.url) for r in got])) == sorted(map(repr, [r[:2] for r in rows]))
+    texts = {r.page_id: r.text for r in got}
+    assert texts[1] == texts[2] == "" and texts[3] == texts[None] == "a" and texts[4] == "deep"
+    assert texts[5] == "\n".join(f"word{i}" for i in range(20000)) and all(r.n_chars == len(r.text) for r in got)
+    assert wrappers.extracted(no_documents(spark).selectExpr("doc_id AS page_id", "text AS url", "text AS html")).count() == 0
