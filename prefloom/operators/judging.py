@@ -99,10 +99,14 @@ def decide(items, attempts, keys, reading, seed):
     read, has a null sign: it is unjudged.
     """
     resolved = resolve_attempts(attempts, keys, reading)
-    joined = with_swap(items, keys, seed).join(resolved, keys, "left")
+    return decided(with_swap(items, keys, seed).join(resolved, keys, "left"))
+
+
+def decided(resolved):
+    """Resolved attempts with `swapped` as the position-free verdict."""
     defaulted = F.coalesce(~F.col("answered"), F.lit(False))
     shown = F.when(defaulted, F.lit(V.A)).otherwise(F.col("sign"))
-    return joined.withColumns(
+    return resolved.withColumns(
         {"defaulted": defaulted, "sign": V.unswap(shown, F.col("swapped"))}
     ).drop("answered")
 

@@ -242,6 +242,20 @@ def match_requests(spark, folder):
     )
 
 
+BUCKETS = 16
+
+
+def bucketed_matches(spark, folder):
+    """Both responses of every pair, from bucketed tables with repeated responses and null models."""
+    base = scratch_folder(spark)
+    name = f"prefloom_{base.rsplit('/', 1)[-1]}"
+    asked = sinks.write_bucketed(inputs.prompt_ids(spark, folder), f"{name}_asked", "prompt_id", BUCKETS, f"{base}/asked")
+    made = sinks.write_bucketed(
+        inputs.repeated_generations(spark, folder), f"{name}_made", "prompt_id", BUCKETS, f"{base}/made"
+    )
+    return matchups.match_texts(asked, made, inputs.roster(spark))
+
+
 def generation_gaps(spark, folder):
     # A response too short to fill the shortest model's cut counts as not made.
     made = inputs.generations(spark, folder).where(F.length("response") >= 80)
@@ -249,10 +263,9 @@ def generation_gaps(spark, folder):
 
 
 def _counts(spark, folder):
-    roster = inputs.roster(spark)
-    items = matchups.match_items(inputs.prompt_ids(spark, folder), roster)
-    judged = matchups.judge_matches(items, inputs.match_attempts(spark, folder), SEED)
-    return matchups.match_counts(judged, roster)
+    return matchups.match_tally(
+        inputs.prompt_ids(spark, folder), inputs.match_attempts(spark, folder), inputs.roster(spark), SEED
+    )
 
 
 def match_verdicts(spark, folder):
@@ -423,6 +436,7 @@ QUERIES = {
         eval_raw,
         match_items,
         match_requests,
+        bucketed_matches,
         generation_gaps,
         match_verdicts,
         match_counts,

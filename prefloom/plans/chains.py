@@ -89,9 +89,7 @@ def evaluate_models(
     )
     gaps = matchups.generation_gaps(prompts, roster, generations)
     gaps.write.mode("overwrite").parquet(f"{results}/eval_raw/gaps")
-    items = matchups.match_items(prompts, roster)
-    judged = matchups.judge_matches(items, files.read_verdicts(spark, verdicts_path, "match"), seed)
-    counts = matchups.match_counts(judged, roster)
+    counts = matchups.match_tally(prompts, files.read_verdicts(spark, verdicts_path, "match"), roster, seed)
     stored = sinks.write_eval_raw(prompts, generations, counts, roster, f"{results}/eval_raw")
     lines = sinks.report_lines(
         stored["matchups"],

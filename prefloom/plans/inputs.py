@@ -131,6 +131,21 @@ def generations(spark, folder):
     )
 
 
+def repeated_generations(spark, folder):
+    """Responses as files hold them that were appended to twice: some stand there again, some of those
+    with another text, some without a model or a text."""
+    made, prompt, model, text = generations(spark, folder), F.col("prompt_id"), F.col("model"), F.col("response")
+    again = F.array(
+        F.struct(model.alias("model"), text.alias("response")),
+        F.when(prompt % 3 == 0, F.struct(model.alias("model"), text.alias("response"))),
+        F.when(prompt % 5 == 1, F.struct(model.alias("model"), F.concat(F.lit("!"), text).alias("response"))),
+        F.when(prompt % 7 == 2, F.struct(F.lit(None).cast("string").alias("model"), text.alias("response"))),
+    )
+    rows = made.select("prompt_id", F.inline(F.filter(again, lambda row: row.isNotNull())))
+    lost = (prompt % 11 == 4) & (model == "ppo")
+    return rows.select("prompt_id", "model", F.when(~lost | model.isNull(), text).alias("response"))
+
+
 def match_attempts(spark, folder):
     """Replies for the pairs that were judged: none with `zero`, and some prompts are missing."""
     items = match_items(prompt_ids(spark, folder), roster(spark))

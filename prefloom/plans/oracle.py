@@ -443,6 +443,19 @@ asked AS (
   JOIN candidates c ON c.cand_id = a.prompt_id)""",
         f"SELECT prompt_id, name_a, name_b, swapped, {_TIE_REQUEST} AS request FROM asked",
     ),
+    "bucketed_matches": _with(
+        _GENERATIONS + "," + _MATCHES + """,
+repeated AS (
+  SELECT prompt_id, model, CASE WHEN prompt_id % 11 = 4 AND model = 'ppo' THEN NULL ELSE response END AS response
+  FROM (SELECT * FROM generations UNION ALL SELECT * FROM generations WHERE prompt_id % 3 = 0
+        UNION ALL SELECT prompt_id, model, '!' || response FROM generations WHERE prompt_id % 5 = 1
+        UNION ALL SELECT prompt_id, NULL, response FROM generations WHERE prompt_id % 7 = 2)),
+one AS (SELECT prompt_id, model, min(response) AS response FROM repeated WHERE response IS NOT NULL GROUP BY ALL)""",
+        """SELECT i.prompt_id, name_a, name_b, a.response AS response_a, b.response AS response_b,
+  a.response IS NULL OR b.response IS NULL AS missing
+FROM items i LEFT JOIN one a ON a.prompt_id = i.prompt_id AND a.model = name_a
+  LEFT JOIN one b ON b.prompt_id = i.prompt_id AND b.model = name_b""",
+    ),
     "generation_gaps": _with(
         _GENERATIONS + "," + _MATCHES,
         """SELECT prompt_id, model FROM prompt_ids, models

@@ -23,14 +23,17 @@ def write_labelled_pairs(pairs, path, order=None):
     _write_lines(pairs, path, ["pair_id", "chosen", "rejected"], order)
 
 
-def write_bucketed(df, table, key, buckets):
-    """A table bucketed and sorted by its join key.
+def write_bucketed(df, table, key, buckets, path=None):
+    """A table bucketed and sorted by its join key, one file per bucket; returns it.
 
-    Candidates and verdicts stored this way on the same key and bucket count meet without a
-    shuffle, so the texts never cross the network when labels are attached.
+    Tables stored this way on the same key and bucket count meet, and are grouped by the key,
+    without a shuffle, so their texts cross the network once, here. `path` keeps the files outside
+    the warehouse.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
 
 
 def eval_document(prompts, generations, counts, board):

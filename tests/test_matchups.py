@@ -138,3 +138,65 @@ def test_registry_filter(spark):
 def test_win_tables_never_read_texts(spark):
     counts = matchups.match_counts(judged(spark), roster(spark))
     assert "response" not in plan_of(counts)
+
+
+def test_repeated_and_null_generations_are_met(spark):
+    rows = [(0, "ppo", "b"), (0, "ppo", "a"), (0, "ppo", "a"), (0, "sft", None), (0, "sft", "s"), (0, None, "x"), (None, "ppo", "y")]
+    rows += [(1, "dpo", None), (1, "other", "z"), (1, "dpo_b", "")]
+    generations = spark.createDataFrame(rows * 3, "prompt_id BIGINT, model STRING, response STRING")
+    texts = {(r.prompt_id, r.name_a, r.name_b): (r.response_a, r.response_b, r.missing) for r in
+             matchups.match_texts(prompts(spark, 2), generations, roster(spark)).collect()}
+    assert len(texts) == 12
+    assert texts[0, "ppo", "sft"] == ("a", "s", False) and texts[0, "dpo", "ppo"] == (None, "a", True)
+    assert texts[1, "dpo", "dpo_b"] == (None, "", True)
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, conf, tmp_path):
+    from prefloom.sources.sinks import write_bucketed
+
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(i, name, f"{name}{i}") for i, name in product(range(40), NAMES)]
+    generations = spark.createDataFrame(rows * 2, "prompt_id BIGINT, model STRING, response STRING")
+    asked = write_bucketed(prompts(spark, 40), "asked_b", "prompt_id", 5, str(tmp_path / "asked"))
+    made = write_bucketed(generations, "made_b", "prompt_id", 5, str(tmp_path / "made"))
+    texts = matchups.match_texts(asked, made, roster(spark))
+    assert "hashpartitioning" not in plan_of(texts)
+    got = sorted(map(tuple, texts.collect()))
+    assert got == sorted(map(tuple, matchups.match_texts(prompts(spark, 40), generations, roster(spark)).collect()))
+    assert len(got) == 240 and not any(row[-1] for row in got)
+    for table in ("asked_b", "made_b"):
+        spark.sql(f"DROP TABLE {table}")
+
+
+@pytest.mark.parametrize("count", [1, 63, 64, 65, 130])
+def test_gaps_for_every_roster_size(spark, count):
+    names = [f"m{i:03}" for i in range(count)]
+    made = {(p, n) for p in range(5) for i, n in enumerate(names) if (p * 7 + i) % 5 and p != 3}
+    rows = [(*key, None) for key in sorted(made)] * 2 + [(0, None, "x"), (0, "stranger", "x"), (None, names[0], "x")]
+    generations = spark.createDataFrame(rows, "prompt_id BIGINT, model STRING, response STRING")
+    gaps = matchups.generation_gaps(prompts(spark, 5), roster(spark, names), generations)
+    assert sorted(map(tuple, gaps.collect())) == sorted(set(product(range(5), names)) - made)
+
+
+def test_gaps_shuffle_one_row_per_prompt(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    generations = spark.createDataFrame([(1, "ppo", "x")], "prompt_id BIGINT, model STRING, response STRING")
+    plan = plan_of(matchups.generation_gaps(prompts(spark, 3), roster(spark), generations))
+    assert "Generate" in plan and "hashpartitioning(model" not in plan and "partial_bit_or" in plan
+
+
+def test_tally_equals_counts_over_all_items(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [
+        (i, a, b, attempt, None if i % 6 == 0 else [None, "A", "B", "TIE", "both", ""][(i * 7 + len(a) + 3 * len(b) + attempt) % 6])
+        for i in range(30) for a, b in combinations(NAMES + ["stranger"], 2) for attempt in range(4) if (i + len(b)) % 4
+    ]
+    rows += [(None, "dpo", "ppo", 0, "A"), (3, None, "ppo", 0, "A"), (3, "sft", "dpo", 0, "A"), (99, "dpo", "ppo", 0, "A")]
+    attempts = spark.createDataFrame(rows, "prompt_id BIGINT, name_a STRING, name_b STRING, attempt INT, raw STRING")
+    items = matchups.match_items(prompts(spark, 30), roster(spark))
+    want = matchups.match_counts(matchups.judge_matches(items, attempts, "s"), roster(spark))
+    tally = matchups.match_tally(prompts(spark, 30), attempts, roster(spark), "s")
+    assert sorted(map(tuple, tally.collect())) == sorted(map(tuple, want.select(*tally.columns).collect()))
+    assert tally.where("unjudged > 0 AND defaulted > 0").count() > 0
+    nobody = matchups.match_tally(prompts(spark, 30), attempts.where("false"), roster(spark), "s").collect()
+    assert {tuple(r)[2:] for r in nobody} == {(0, 0, 0, 0, 30)}

@@ -11,7 +11,8 @@ QUERIES = catalog.QUERIES
 ORACLE = oracle.ORACLE_SQL
 FOLDER = f"{TESTDATA}/sf0.001"
 FILE_QUERIES = {
-    "candidate_file", "labelled_file", "human_pair_file", "verdict_file", "generation_file", "registry", "log_file", "eval_raw"
+    "candidate_file", "labelled_file", "human_pair_file", "verdict_file", "generation_file", "registry", "log_file", "eval_raw",
+    "bucketed_matches",
 }
 
 
