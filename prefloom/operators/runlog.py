@@ -1,5 +1,7 @@
 """Training logs and step metrics: parsing, failed steps, rollback targets, run health."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from prefloom.functions import logs as L
@@ -41,6 +43,71 @@ def parse_log(lines):
     )
 
 
+_WORD = 1 << 64
+
+
+def _packed(high, low):
+    """Two numbers as one that orders by the first, then by the second; unlike a pair of them it is
+    aggregated in a hash table. High numbers stay below 5 * 10**18."""
+    shifted = low.cast("decimal(20,0)") + F.lit(Decimal(_WORD // 2)).cast("decimal(20,0)")
+    return high.cast("decimal(19,0)") * F.lit(Decimal(_WORD)).cast("decimal(20,0)") + shifted
+
+
+def _unpacked(packed):
+    word = F.lit(Decimal(_WORD)).cast("decimal(20,0)")
+    low = F.pmod(packed, word)
+    return F.call_function("div", packed - low, word), (low - F.lit(Decimal(_WORD // 2)).cast("decimal(20,0)")).cast("bigint")
+
+
+def mark_superseded(parsed):
+    """Add `superseded` and `restart` to the lines of runs that may have been resumed.
+
+    A resumed run starts again at a step that it logged before: a later metric line of the same or a
+    lower step. What was logged from that step on did not lead to the final weights; those lines are
+    superseded, whether or not the later attempt came as far. A line without a step belongs to the
+    next metric line. `restart` marks the last metric line before a step that does not rise, so a
+    run has one attempt more than restarts. (run_id, line_no) must be unique; rows without one of
+    them are left out.
+
+    Lines are walked backwards once, in blocks, so a run of any length is spread over tasks.
+    """
+    line, step, metric = F.col("line_no"), F.col("step"), _is_metric() & F.col("step").isNotNull()
+    lines = parsed.where("run_id IS NOT NULL AND line_no IS NOT NULL").withColumn("_back", -line)
+    walked = running_aggregates(
+        lines,
+        "_back",
+        {
+            # The lowest later step, the last line of it, and the next metric line.
+            "_lowest": ("max", F.when(metric, _packed(-step, line))),
+            "_next": ("max", F.when(metric, _packed(-line, step))),
+        },
+        by=["run_id"],
+        inclusive=False,
+    )
+    (lowest, lowest_line), (next_line, next_step) = _unpacked(F.col("_lowest")), _unpacked(F.col("_next"))
+    again = -lowest <= step
+    # The next line is superseded if the lowest step comes again after it.
+    event = lowest_line != -next_line
+    return walked.withColumns(
+        {
+            "superseded": F.coalesce(F.when(step.isNotNull(), again).otherwise(event), F.lit(False)),
+            "restart": F.coalesce(metric & (next_step <= step), F.lit(False)),
+        }
+    ).drop("_back", "_lowest", "_next")
+
+
+def current_lines(marked):
+    """The lines of the attempts that count: each step once."""
+    return marked.where("NOT superseded").drop("superseded", "restart")
+
+
+def attempts(marked):
+    """Attempts of each run, and its lines that later ones supersede."""
+    return marked.groupBy("run_id").agg(
+        (F.count_if("restart") + 1).alias("attempts"), F.count_if("superseded").alias("superseded_lines")
+    )
+
+
 def nan_steps(metrics):
     return metrics.where(M.is_nan_step())
 
@@ -138,3 +205,12 @@ def run_summary(parsed):
 def run_health(parsed):
     """Summary and trend of each run in one pass over its parsed log."""
     return parsed.groupBy("run_id").agg(*_summary(), *_trend(_is_metric()))
+
+
+def resumed_health(parsed):
+    """`run_health` of runs that may have been resumed: superseded lines count only as such.
+
+    One aggregation over the marked lines; a run of which every line is superseded cannot be.
+    """
+    marked = mark_superseded(parsed)
+    return run_health(current_lines(marked)).join(attempts(marked), "run_id")

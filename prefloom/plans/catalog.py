@@ -212,13 +212,16 @@ def registry(spark, folder):
     return matchups.comparable_models(files.read_registry(spark, path)).select("model")
 
 
+LINES_PER_PART = 500
+
+
 def log_file(spark, folder):
-    """A log file per run, read back with the line numbers of each file."""
+    """Each run's log rotated into numbered parts, read back as one sequence of lines."""
     path = scratch_folder(spark)
     lines = inputs.log_lines(spark, folder)
-    ordered = lines.repartition("run_id").sortWithinPartitions("run_id", "line_no")
-    ordered.select("run_id", "value").write.partitionBy("run_id").text(path)
-    read = files.read_log(spark, f"{path}/run_id=*")
+    ordered = lines.repartitionByRange("run_id", "line_no").sortWithinPartitions("run_id", "line_no")
+    ordered.select("run_id", "value").write.partitionBy("run_id").option("maxRecordsPerFile", LINES_PER_PART).text(path)
+    read = files.read_log(spark, f"{path}/run_id=*", parts="folder")
     # Runs are known by the first lines that only they print.
     return runlog.parse_log(read).groupBy("kind").agg(
         F.count("*").alias("lines"), F.count_distinct("run_id").alias("runs"), F.sum("line_no").alias("line_numbers")
@@ -405,6 +408,25 @@ def run_summary(spark, folder):
     return runlog.run_summary(runlog.parse_log(inputs.log_lines(spark, folder)))
 
 
+def resumed_lines(spark, folder):
+    """Which lines of resumed runs count."""
+    marked = runlog.mark_superseded(runlog.parse_log(inputs.resumed_log(spark, folder)))
+    return marked.select("run_id", "line_no", "kind", "step", "superseded", "restart")
+
+
+def resumed_health(spark, folder):
+    """Summary and trend of resumed runs, every step counted once."""
+    health = runlog.resumed_health(runlog.parse_log(inputs.resumed_log(spark, folder)))
+    return _rounded(_rounded(health, "kl_spread"), "reward_slope", digits=9)
+
+
+def resumed_rollbacks(spark, folder):
+    """Rollback targets among the steps that count, with their reward."""
+    marked = runlog.mark_superseded(runlog.parse_log(inputs.resumed_log(spark, folder)))
+    current = runlog.current_lines(marked).where("kind IN ('step', 'nan_rollback')")
+    return runlog.rollback_targets(current)
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -458,5 +480,8 @@ QUERIES = {
         run_trend,
         log_metrics,
         run_summary,
+        resumed_lines,
+        resumed_health,
+        resumed_rollbacks,
     )
 }

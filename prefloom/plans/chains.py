@@ -102,7 +102,11 @@ def evaluate_models(
     return stored["wins"].orderBy(F.desc("wins"), "model")
 
 
-def run_health(spark, log_path, runs=None):
-    """Summary and trend of each run from its log."""
-    lines = files.read_log(spark, log_path, runs, numbered=False)
-    return runlog.run_health(runlog.parse_log(lines))
+def run_health(spark, log_path, runs=None, parts="file", resumed=False):
+    """Summary and trend of each run from its log.
+
+    With `resumed` a run that went back counts each step once, and its attempts are counted; only
+    then lines have to be numbered.
+    """
+    parsed = runlog.parse_log(files.read_log(spark, log_path, runs, numbered=resumed, parts=parts))
+    return runlog.resumed_health(parsed) if resumed else runlog.run_health(parsed)

@@ -184,6 +184,27 @@ def step_metrics(spark, folder):
 
 def log_lines(spark, folder):
     """The lines a run would print for each step."""
+    return _printed(table(spark, folder, "events").withColumn("base", F.col("event_id") * 8))
+
+
+# A resumed run goes back so many steps every so many steps.
+RESUMED, GOES_BACK = 100, 10
+
+
+def resumed_log(spark, folder):
+    """The lines of runs that die after every hundredth step and are resumed ten steps before it: those
+    steps are printed twice, with other numbers the first time."""
+    events, event = table(spark, folder, "events"), F.col("event_id")
+    century = F.floor(event / (RUNS * RESUMED))
+    repeated = F.floor(event / RUNS) % RESUMED >= RESUMED - GOES_BACK
+    times = F.when(repeated, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    passes = events.select("event_id", "value", F.explode(times).alias("time"), repeated.alias("repeated"))
+    place = (2 * century + F.col("time")) * (RUNS * RESUMED) + event % (RUNS * RESUMED)
+    value = F.when(F.col("repeated") & (F.col("time") == 0), F.col("value") + 1).otherwise(F.col("value"))
+    return _printed(passes.select("event_id", value.alias("value"), (8 * place).alias("base")))
+
+
+def _printed(events):
     event, value = F.col("event_id"), F.col("value")
     step = F.floor(event / RUNS)
 
@@ -230,12 +251,7 @@ def log_lines(spark, folder):
         F.when(event % 500 == 2, memory),
     )
     return (
-        table(spark, folder, "events")
-        .select("event_id", F.posexplode(lines).alias("k", "value"))
+        events.select("event_id", "base", F.posexplode(lines).alias("k", "value"))
         .where(F.col("value").isNotNull())
-        .select(
-            (F.col("event_id") % RUNS).alias("run_id"),
-            (F.col("event_id") * 8 + F.col("k")).alias("line_no"),
-            "value",
-        )
+        .select((F.col("event_id") % RUNS).alias("run_id"), (F.col("base") + F.col("k")).alias("line_no"), "value")
     )

@@ -222,6 +222,31 @@ parsed AS (
          TRY_CAST(regexp_extract(line, 'Tried to allocate ([0-9.]+)', 1) AS DOUBLE) AS memory_wanted
   FROM kinds)"""
 
+# Logs of runs that go back: the repeated steps' first lines show another value.
+_RESUMED = """
+passes AS (
+  SELECT event_id, CASE WHEN repeated AND time = 0 THEN value + 1 ELSE value END AS value,
+         8 * ((2 * (event_id // 400) + time) * 400 + event_id % 400) AS base
+  FROM (SELECT event_id, value, (event_id // 4) % 100 >= 90 AS repeated FROM events), range(0, 2) r(time)
+  WHERE repeated OR time = 0),""" + _LOG.replace("FROM events", "FROM passes").replace("8 * event_id", "base") + """,
+kept_lines AS (SELECT * FROM parsed WHERE kind IS NOT NULL),
+metric_lines AS (
+  SELECT run_id, line_no, step,
+         coalesce(min(step) OVER (PARTITION BY run_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) <= step,
+                  false) AS superseded,
+         coalesce(lead(step) OVER (PARTITION BY run_id ORDER BY line_no) <= step, false) AS restart
+  FROM kept_lines WHERE kind IN ('step', 'nan_rollback')),
+fates AS (
+  SELECT k.*, m.superseded AS own, coalesce(m.restart, false) AS restart,
+         first_value(m.superseded IGNORE NULLS) OVER (
+           PARTITION BY k.run_id ORDER BY k.line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following,
+         min(CASE WHEN m.line_no IS NOT NULL THEN k.step END) OVER (
+           PARTITION BY k.run_id ORDER BY k.line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS lowest
+  FROM kept_lines k LEFT JOIN metric_lines m ON m.run_id = k.run_id AND m.line_no = k.line_no),
+marked AS (
+  SELECT *, coalesce(CASE WHEN own IS NOT NULL THEN own WHEN step IS NOT NULL THEN lowest <= step ELSE following END, false)
+    AS superseded FROM fates)"""
+
 _POSITIONS = """
 prompt_ids AS (SELECT DISTINCT conv_id AS prompt_id FROM conversations WHERE role = 'assistant'),
 positions AS (SELECT prompt_id, CAST(row_number() OVER (ORDER BY prompt_id) - 1 AS BIGINT) AS position FROM prompt_ids)"""
@@ -304,6 +329,15 @@ sides AS (
          contains(chosen, {_MARK}) AND contains(rejected, {_MARK}) AS has_marker
   FROM both_labelers)"""
 
+_SUMMARY = """CAST(count(*) FILTER (kind = 'step') AS BIGINT) AS steps_logged,
+  max(steps_requested) AS steps_requested,
+  max(step) FILTER (kind IN ('step', 'nan_rollback')) AS last_step,
+  CAST(count(*) FILTER (kind = 'nan_rollback') AS BIGINT) AS nan_rollbacks,
+  CAST(count(*) FILTER (kind = 'ratio_skip') AS BIGINT) AS ratio_skips, max(ratio) AS max_ratio,
+  CAST(count(*) FILTER (kind = 'negative_kl') AS BIGINT) AS negative_kl_warnings,
+  CAST(count(*) FILTER (kind = 'checkpoint') AS BIGINT) AS checkpoints,
+  count(*) FILTER (kind = 'out_of_memory') > 0 AS out_of_memory"""
+
 ORACLE_SQL = {
     "split_transcripts": _with(_TRANSCRIPTS, "SELECT conv_id, prompt, response, has_marker FROM split"),
     "prompts": _with(_TRANSCRIPTS, "SELECT conv_id, prompt FROM split"),
@@ -554,16 +588,26 @@ restored AS (
 FROM flagged GROUP BY run_id""",
     ),
     "log_metrics": _with(_LOG, "SELECT * FROM parsed WHERE kind IS NOT NULL"),
-    "run_summary": _with(
-        _LOG,
-        """SELECT run_id, CAST(count(*) FILTER (kind = 'step') AS BIGINT) AS steps_logged,
-  max(steps_requested) AS steps_requested,
-  max(step) FILTER (kind IN ('step', 'nan_rollback')) AS last_step,
-  CAST(count(*) FILTER (kind = 'nan_rollback') AS BIGINT) AS nan_rollbacks,
-  CAST(count(*) FILTER (kind = 'ratio_skip') AS BIGINT) AS ratio_skips, max(ratio) AS max_ratio,
-  CAST(count(*) FILTER (kind = 'negative_kl') AS BIGINT) AS negative_kl_warnings,
-  CAST(count(*) FILTER (kind = 'checkpoint') AS BIGINT) AS checkpoints,
-  count(*) FILTER (kind = 'out_of_memory') > 0 AS out_of_memory
-FROM parsed GROUP BY run_id""",
+    "run_summary": _with(_LOG, f"SELECT run_id, {_SUMMARY} FROM parsed GROUP BY run_id"),
+    "resumed_lines": _with(_RESUMED, "SELECT run_id, line_no, kind, step, superseded, restart FROM marked"),
+    "resumed_health": _with(
+        _RESUMED,
+        f"""SELECT *, (SELECT CAST(count(*) FILTER (restart) + 1 AS BIGINT) FROM marked m WHERE m.run_id = s.run_id) AS attempts,
+  (SELECT CAST(count(*) FILTER (superseded) AS BIGINT) FROM marked m WHERE m.run_id = s.run_id) AS superseded_lines
+FROM (SELECT run_id, {_SUMMARY},
+  CAST(count(*) FILTER (kind IN ('step', 'nan_rollback')) AS BIGINT) AS steps,
+  round(regr_slope(mean_reward, step) FILTER (isfinite(mean_reward)), 9) AS reward_slope,
+  round(stddev_pop(kl) FILTER (isfinite(kl)), 6) AS kl_spread,
+  CAST(count(*) FILTER (kind = 'nan_rollback') AS BIGINT) AS nan_steps,
+  CAST(count(*) FILTER (kind = 'nan_rollback') AS BIGINT) AS not_finite
+FROM marked WHERE NOT superseded GROUP BY run_id) s""",
+    ),
+    "resumed_rollbacks": _with(
+        _RESUMED + """,
+final AS (SELECT run_id, step, kind = 'nan_rollback' AS bad FROM marked WHERE NOT superseded AND kind IN ('step', 'nan_rollback'))""",
+        """SELECT run_id, step, restore_step FROM (
+  SELECT run_id, step, bad, max(CASE WHEN NOT bad AND step % 10 = 0 THEN step END) OVER (
+    PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS restore_step FROM final)
+WHERE bad""",
     ),
 }

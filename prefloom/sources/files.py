@@ -17,14 +17,15 @@ HUMAN_SUBSET = "helpful-base"
 BROADCAST_SPLITS = 200_000
 
 
-def with_file_order(lines, name="position", per_file=False):
+def with_file_order(lines, name="position", per_file=False, per_folder=False):
     """Add a 0-based position in file order to a freshly read line source, without sorting it.
 
     Files stand in the order of their folder, the number in their name and the name, so part
     100000 follows part 99999. A scan numbers the rows of each file split in order. One pass counts
     rows per split, a running sum over the splits gives each one's first position, and rows then only
     need an addition. The table of splits is as long as the scan's own list of splits, and only
-    that table is ordered.
+    that table is ordered. `per_file` starts anew with each file, `per_folder` with each folder; both
+    keep the file's path as `_file`.
     """
     split = ["_file", "_start"]
     rows = lines.select(
@@ -34,11 +35,13 @@ def with_file_order(lines, name="position", per_file=False):
         F.monotonically_increasing_id().alias("_row"),
     )
     counts = rows.groupBy(*split).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    folder, base = _folder(F.col("_file")), F.regexp_extract("_file", r"([^/]*)$", 1)
+    number = F.regexp_extract(base, r"^[^0-9]*([0-9]+)", 1).try_cast("decimal(38,0)")
     if per_file:
         order = Window.partitionBy("_file").orderBy("_start")
+    elif per_folder:
+        order = Window.partitionBy(folder).orderBy(number, base, "_start")
     else:
-        folder, base = F.regexp_extract("_file", r"^(.*)/[^/]*$", 1), F.regexp_extract("_file", r"([^/]*)$", 1)
-        number = F.regexp_extract(base, r"^[^0-9]*([0-9]+)", 1).try_cast("decimal(38,0)")
         order = Window.orderBy(folder, number, base, "_start")
     offsets = counts.select(*split, "_first", (F.sum("_n").over(order) - F.col("_n")).alias("_before"))
     # Known from scan planning alone: every split ends a partition or a file.
@@ -47,7 +50,11 @@ def with_file_order(lines, name="position", per_file=False):
     numbered = rows.join(F.broadcast(offsets) if few else offsets, split).withColumn(
         name, F.col("_before") + F.col("_row") - F.col("_first")
     )
-    return numbered.drop("_start", "_row", "_first", "_before", *([] if per_file else ["_file"]))
+    return numbered.drop("_start", "_row", "_first", "_before", *([] if per_file or per_folder else ["_file"]))
+
+
+def _folder(file):
+    return F.regexp_extract(file, r"^(.*)/[^/]*$", 1)
 
 
 def _json_lines(spark, schema, path):
@@ -121,20 +128,26 @@ def read_registry(spark, results):
     )
 
 
-def read_log(spark, path, runs=None, numbered=True):
-    """Log lines with the line number within their file.
+def read_log(spark, path, runs=None, numbered=True, parts="file"):
+    """Log lines with the line number within their run.
 
-    `runs` is a table (file, run_id) by full path, with or without its scheme; a file that it does
-    not name gets a hash of its path as id, which stays the same however many files are read.
+    A run is a file, or with parts="folder" all files of a folder: a rotated log whose parts follow
+    the number in their name and are numbered as one sequence, however they were cut. `runs` is a
+    table (file, run_id) by full path of the file or folder, with or without its scheme; a run that it
+    does not name gets a hash of its path as id, which stays the same however many files are read.
     `numbered=False` leaves line numbers null and spares the pass that counts lines.
     """
+    if parts not in ("file", "folder"):
+        raise ValueError("parts is file or folder")
     lines = spark.read.text(path)
     if numbered:
-        lines = with_file_order(lines, "line_no", per_file=True)
+        lines = with_file_order(lines, "line_no", per_file=parts == "file", per_folder=parts == "folder")
     else:
         lines = lines.select(
             "value", F.col("_metadata.file_path").alias("_file"), F.lit(None).cast("bigint").alias("line_no")
         )
+    if parts == "folder":
+        lines = lines.withColumn("_file", _folder(F.col("_file")))
     own = F.xxhash64("_file")
     if runs is None:
         return lines.select(own.alias("run_id"), "line_no", "value")
@@ -142,7 +155,7 @@ def read_log(spark, path, runs=None, numbered=True):
     def bare(path):
         return F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/+", "/")
 
-    # One row per file.
+    # One row per run.
     known = runs.select(bare(F.col("file")).alias("_bare"), F.col("run_id").alias("_run"))
     named = lines.withColumn("_bare", bare(F.col("_file"))).join(known, "_bare", "left")
     return named.select(F.coalesce("_run", own).alias("run_id"), "line_no", "value")

@@ -119,3 +119,75 @@ def test_parsing_never_shuffles(spark):
     )
     plan = runlog.parse_log(lines)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def logged(spark, steps, run=1):
+    """A parsed log of (kind, step) in line order."""
+    rows = [(run, 10 * n, kind, step, 500, float(n), 0.1, 0.1, 0.1) for n, (kind, step) in enumerate(steps)]
+    return spark.createDataFrame(
+        rows,
+        "run_id BIGINT, line_no BIGINT, kind STRING, step BIGINT, steps_requested BIGINT, mean_reward DOUBLE, "
+        "kl DOUBLE, val_var_explained DOUBLE, policy_loss DOUBLE",
+    )
+
+
+RUNS = [
+    [("step", s) for s in (0, 1, 2, 3, 1, 2, 3, 4)],
+    [("step", s) for s in (0, 1, 2, 3, 4, 2, 3, 1, 2)],
+    [("step", 5), ("step", 5), ("nan_rollback", 5), ("checkpoint", 5), ("step", 6)],
+    [("ratio_skip", None), ("step", 0), ("ratio_skip", None), ("step", 1), ("checkpoint", 1), ("out_of_memory", None),
+     ("negative_kl", None), ("step", 1), ("ratio_skip", None)],
+    [("ratio_skip", None), ("checkpoint", 7)],
+]
+
+
+def plain_fate(steps):
+    metric = [(n, s) for n, (kind, s) in enumerate(steps) if kind in ("step", "nan_rollback")]
+    gone = {n: any(m > n and later <= s for m, later in metric) for n, s in metric}
+    fate = []
+    for n, (kind, s) in enumerate(steps):
+        if s is not None:
+            fate.append(gone[n] if n in gone else any(m > n and later <= s for m, later in metric))
+        else:
+            fate.append(next((gone[m] for m, _ in metric if m > n), False))
+    return fate, sum(b <= a for (_, a), (_, b) in zip(metric, metric[1:]))
+
+
+def test_superseded_lines(spark):
+    for steps in RUNS:
+        marked = runlog.mark_superseded(logged(spark, steps))
+        fate, restarts = plain_fate(steps)
+        assert [r.superseded for r in marked.orderBy("line_no").collect()] == fate
+        assert runlog.attempts(marked).first().attempts == restarts + 1
+        kept = [r.step for r in runlog.current_lines(marked).where("kind IN ('step', 'nan_rollback')").collect()]
+        assert len(kept) == len(set(kept))
+
+
+def test_superseded_lines_across_blocks(spark, monkeypatch):
+    import random
+
+    from prefloom.operators import ordering
+
+    dice = random.Random(4)
+    steps, at = [], 0
+    for _ in range(120):
+        at = max(0, at - dice.randrange(6)) if dice.random() < 0.15 else at + 1
+        steps.append(dice.choice([("step", at), ("step", at), ("nan_rollback", at), ("ratio_skip", None), ("checkpoint", at)]))
+    small = lambda *args, **kw: ordering.running_aggregates(*args, **kw, bits=3, span=12)
+    monkeypatch.setattr(runlog, "running_aggregates", small)
+    both = logged(spark, steps).unionAll(logged(spark, steps[::-1], run=2))
+    marked = runlog.mark_superseded(both).orderBy("run_id", "line_no").collect()
+    assert [r.superseded for r in marked] == plain_fate(steps)[0] + plain_fate(steps[::-1])[0]
+    assert len({r.superseded for r in marked}) == 2
+
+
+def test_resumed_health_counts_each_step_once(spark):
+    health = runlog.resumed_health(runlog.parse_log(spark.createDataFrame(
+        [(1, n, f"step {s}/500  mean_reward={r}  kl=0.1  val_var_explained=0.1  policy_loss=0.1")
+         for n, (s, r) in enumerate([(198, 1.0), (199, 2.0), (200, 9.0), (201, 9.0), (200, 3.0), (201, 4.0)])],
+        "run_id BIGINT, line_no BIGINT, value STRING",
+    ))).first()
+    assert (health.steps, health.attempts, health.superseded_lines, health.reward_slope) == (4, 2, 2, 1.0)
+    empty = runlog.resumed_health(logged(spark, []).selectExpr("*", *[f"CAST(NULL AS {t}) AS {n}" for n, t in (
+        ("ratio", "DOUBLE"), ("negative_kl", "DOUBLE"), ("path", "STRING"), ("memory_wanted", "DOUBLE"))]))
+    assert empty.count() == 0
