@@ -290,17 +290,29 @@ def leaderboard(spark, folder):
     return _rounded(board, "win_rate", "decided_rate")
 
 
-def eval_raw(spark, folder):
-    """The stored evaluation read back: a row per prompt, response, match-up and model."""
+def _stored_evaluation(spark, folder, generations):
     asked = _asked(spark, folder).join(inputs.prompt_ids(spark, folder), "prompt_id", "left_semi")
-    stored = sinks.write_eval_raw(
+    return sinks.write_eval_raw(
         asked.select("prompt_id", "prompt"),
-        inputs.generations(spark, folder),
+        generations,
         _counts(spark, folder),
         inputs.roster(spark),
         scratch_folder(spark),
     )
 
+
+def eval_document(spark, folder):
+    """The evaluation's one JSON document, written in parts and read back line by line in file order."""
+    made = inputs.repeated_generations(spark, folder).where("model IS NOT NULL")
+    path = scratch_folder(spark)
+    sinks.write_eval_document_parts(_stored_evaluation(spark, folder, made), path)
+    return files.with_file_order(spark.read.text(path), "line_no").select("line_no", "value")
+
+
+def eval_raw(spark, folder):
+    """The stored evaluation read back: a row per prompt, response, match-up and model."""
+    stored = _stored_evaluation(spark, folder, inputs.generations(spark, folder))
+
     def rows(part, key, *values):
         value = F.concat_ws("|", *[F.col(name).cast("string") for name in values])
         return stored[part].select(F.lit(part).alias("part"), key.cast("string").alias("key"), value.alias("value"))
@@ -456,6 +468,7 @@ QUERIES = {
         registry,
         log_file,
         eval_raw,
+        eval_document,
         match_items,
         match_requests,
         bucketed_matches,

@@ -79,7 +79,7 @@ def evaluate_models(
     """Write the raw evaluation and its report below `results`; returns the leaderboard.
 
     `n_prompts` caps the test prompts; None takes all. Responses that were never made are written to
-    `results`/eval_raw/gaps.
+    `results`/eval_raw/gaps; the parts in `results`/eval_raw/document are one JSON document.
     """
     roster = matchups.comparable_models(files.read_registry(spark, results), exclude)
     matchups.require_models(roster)
@@ -91,6 +91,7 @@ def evaluate_models(
     gaps.write.mode("overwrite").parquet(f"{results}/eval_raw/gaps")
     counts = matchups.match_tally(prompts, files.read_verdicts(spark, verdicts_path, "match"), roster, seed)
     stored = sinks.write_eval_raw(prompts, generations, counts, roster, f"{results}/eval_raw")
+    sinks.write_eval_document_parts(stored, f"{results}/eval_raw/document")
     lines = sinks.report_lines(
         stored["matchups"],
         stored["wins"],

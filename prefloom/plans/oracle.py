@@ -104,6 +104,13 @@ generations AS (
   UNION ALL SELECT cand_id, 'ppo', {_strip("left(response_a, 80)")} FROM candidates
   UNION ALL SELECT cand_id, 'zero', left(response_a, 1) FROM candidates)"""
 
+_REPEATED = _GENERATIONS + """,
+repeated AS (
+  SELECT prompt_id, model, CASE WHEN prompt_id % 11 = 4 AND model = 'ppo' THEN NULL ELSE response END AS response
+  FROM (SELECT * FROM generations UNION ALL SELECT * FROM generations WHERE prompt_id % 3 = 0
+        UNION ALL SELECT prompt_id, model, '!' || response FROM generations WHERE prompt_id % 5 = 1
+        UNION ALL SELECT prompt_id, NULL, response FROM generations WHERE prompt_id % 7 = 2))"""
+
 _MATCHES = f"""
 models AS (SELECT * FROM (VALUES ('dpo'), ('ppo'), ('sft'), ('zero')) v(model)),
 pairs AS (SELECT a.model AS name_a, b.model AS name_b FROM models a JOIN models b ON a.model < b.model),
@@ -458,6 +465,26 @@ UNION ALL SELECT 'generations', model||'|'||prompt_id, response FROM generations
 UNION ALL SELECT 'matchups', name_a||'_vs_'||name_b, a_wins||'|'||b_wins||'|'||ties FROM counts
 UNION ALL SELECT 'wins', model, wins::VARCHAR FROM board""",
     ),
+    "eval_document": _with(
+        _REPEATED + "," + _JUDGED_MATCHES + """,
+asked AS (SELECT p.prompt_id, prompt FROM prompt_ids p JOIN candidates c ON p.prompt_id = c.cand_id),
+one AS (SELECT model, prompt_id, min(response) AS response FROM repeated WHERE model IS NOT NULL GROUP BY ALL),
+pieces AS (
+  SELECT section, '' AS name, 1 AS part, 0 AS place, value, false AS listed
+  FROM (VALUES (0, '{"prompts": ['), (2, '], "generations": {'), (4, '}, "wins": {'), (6, '}, "matchups": {'), (8, '}}')) v(section, value)
+  UNION ALL SELECT 1, '', 1, prompt_id, to_json(prompt)::VARCHAR, true FROM asked
+  UNION ALL SELECT DISTINCT 3, model, 0, 0, to_json(model)::VARCHAR || ': [', true FROM one
+  UNION ALL SELECT 3, model, 1, prompt_id, coalesce(to_json(response)::VARCHAR, 'null'), true FROM one
+  UNION ALL SELECT DISTINCT 3, model, 2, 0, ']', false FROM one
+  UNION ALL SELECT 5, model, 1, 0, to_json(model)::VARCHAR || ': ' || wins, true FROM board
+  UNION ALL SELECT 7, name_a||'_vs_'||name_b, 1, 0, '"' || name_a||'_vs_'||name_b || '": {"a_wins":' || a_wins || ',"b_wins":' || b_wins
+            || ',"ties":' || ties || '}', true FROM counts),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY section, name, part, place) - 1 AS line_no,
+         row_number() OVER (PARTITION BY section, CASE WHEN part = 1 AND section = 3 THEN name END, part ORDER BY name, place) AS n
+  FROM pieces)""",
+        "SELECT CAST(line_no AS BIGINT) AS line_no, CASE WHEN listed AND n > 1 THEN ',' ELSE '' END || value AS value FROM placed",
+    ),
     "transcript_audit": _with(
         _TRANSCRIPTS,
         """SELECT CAST((SELECT count(*) FROM edges) AS BIGINT) AS conversations,
@@ -478,12 +505,7 @@ asked AS (
         f"SELECT prompt_id, name_a, name_b, swapped, {_TIE_REQUEST} AS request FROM asked",
     ),
     "bucketed_matches": _with(
-        _GENERATIONS + "," + _MATCHES + """,
-repeated AS (
-  SELECT prompt_id, model, CASE WHEN prompt_id % 11 = 4 AND model = 'ppo' THEN NULL ELSE response END AS response
-  FROM (SELECT * FROM generations UNION ALL SELECT * FROM generations WHERE prompt_id % 3 = 0
-        UNION ALL SELECT prompt_id, model, '!' || response FROM generations WHERE prompt_id % 5 = 1
-        UNION ALL SELECT prompt_id, NULL, response FROM generations WHERE prompt_id % 7 = 2)),
+        _REPEATED + "," + _MATCHES + """,
 one AS (SELECT prompt_id, model, min(response) AS response FROM repeated WHERE response IS NOT NULL GROUP BY ALL)""",
         """SELECT i.prompt_id, name_a, name_b, a.response AS response_a, b.response AS response_b,
   a.response IS NULL OR b.response IS NULL AS missing

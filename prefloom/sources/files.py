@@ -1,6 +1,7 @@
 """Readers. Files carry no ids, so readers give each line a position in file order."""
 
 import re
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Window
@@ -62,12 +63,37 @@ def _json_lines(spark, schema, path):
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _file_order(path):
+    """The place of a file among others; the same order as `with_file_order`'s."""
+    folder, _, base = path.rpartition("/")
+    number = re.match(r"[^0-9]*([0-9]+)", base)
+    number = int(number[1]) if number and len(number[1].lstrip("0")) <= 38 else -1
+    return folder, number, base
+
+
+def first_files(spark, path, lines):
+    """The first files, in file order, that hold so many lines which are not blank; all if fewer.
+
+    Twice as many files are looked at each time, so a small cap on a large folder reads a few of its
+    files, and at most twice the files that the cap needs.
+    """
+    names = sorted(map(unquote, spark.read.text(path).inputFiles()), key=_file_order)
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", name) for name in names]
+    held, taken = 0, 0
+    while taken < len(literal) and held < lines:
+        more = literal[taken : max(1, 2 * taken)]
+        held += spark.read.text(more).where(F.rlike("value", F.lit(r"\S"))).count()
+        taken += len(more)
+    return literal[:taken]
+
+
 def _identified(spark, schema, path, id_name, max_samples, stored_ids):
     """Lines with an id, the first `max_samples` of them by id; None and 0 mean all.
 
     Stored ids are read as they are, in one pass; otherwise lines are numbered in file order. With
-    `stored_ids=None` the first line decides which it is. A cap filters: it takes the lines whose
-    number is below it, or up to the stored id it falls on.
+    `stored_ids=None` the first line decides which it is; a later line without an id then fails the
+    job. A cap takes the lines up to the stored id it falls on; of numbered lines those whose
+    number is below it, and only the first files that hold them are read.
     """
     if max_samples is not None and max_samples < 0:
         raise ValueError("max_samples must not be negative")
@@ -76,8 +102,10 @@ def _identified(spark, schema, path, id_name, max_samples, stored_ids):
         first = with_ids.select(id_name).first()
         stored_ids = first is not None and first[0] is not None
     if stored_ids:
-        return first_n(with_ids, max_samples, id_name)
-    lines = _json_lines(spark, schema, path)
+        known = F.coalesce(id_name, F.raise_error(F.lit(f"a line has no {id_name}, others have one")).cast("bigint"))
+        return first_n(with_ids.withColumn(id_name, known), max_samples, id_name)
+    chosen = first_files(spark, path, max_samples) if max_samples else path
+    lines = _json_lines(spark, schema, chosen or path)
     rows = with_file_order(lines, id_name).select(id_name, *lines.columns)
     return rows.where(F.col(id_name) < max_samples) if max_samples else rows
 

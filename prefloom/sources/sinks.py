@@ -90,6 +90,80 @@ def write_eval_document(stored, path):
     document.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
 
 
+def _json(column):
+    """A value as JSON text; the only field of a record, without the record around it."""
+    record = F.to_json(F.struct(column.alias("v")))
+    return F.when(column.isNull(), "null").otherwise(F.substring(record, F.lit(6), F.char_length(record) - 6))
+
+
+def document_lines(stored):
+    """The stored evaluation as the lines of one JSON document: (section, name, part, place, value).
+
+    In the order of the first four columns the values are the document that `eval_document` holds in
+    one row, but no line has more than one text. Only what opens a list or map needs to know that
+    it comes first; those are the smallest keys, one per model. Of several responses of a model to a
+    prompt the smallest is taken, like in a comparison.
+    """
+    prompts, wins = stored["prompts"], stored["wins"]
+    matchups = stored["matchups"].withColumn("match", F.concat("name_a", F.lit("_vs_"), "name_b"))
+    generations = stored["generations"].groupBy("model", "prompt_id").agg(F.min("response").alias("response"))
+
+    def lines(table, section, value, name=F.lit(""), part=F.lit(1), place=F.lit(0)):
+        return table.select(
+            F.lit(section).alias("section"), name.alias("name"), part.alias("part"),
+            place.cast("bigint").alias("place"), value.alias("value"),
+        )
+
+    def after_first(is_first, value):
+        return F.concat(F.when(is_first, "").otherwise(","), value)
+
+    def smallest(table, column):
+        return table.agg(F.min(column)).scalar()
+
+    fixed = F.inline(
+        F.array(*[
+            F.struct(F.lit(section).alias("section"), F.lit(text).alias("text"))
+            for section, text in (
+                (0, '{"prompts": ['), (2, '], "generations": {'), (4, '}, "wins": {'), (6, '}, "matchups": {'), (8, "}}")
+            )
+        ])
+    )
+    frame = prompts.sparkSession.range(1).select(fixed).select(
+        "section", F.lit("").alias("name"), F.lit(1).alias("part"), F.lit(0).cast("bigint").alias("place"), F.col("text").alias("value")
+    )
+    model, prompt = F.col("model"), F.col("prompt_id")
+    # One entry per model.
+    firsts = generations.groupBy("model").agg(F.min("prompt_id").alias("first"))
+    first_of = firsts.agg(F.map_from_entries(F.collect_list(F.struct("model", "first")))).scalar()
+    made = generations.withColumn("_first", F.element_at(first_of, model) == prompt)
+    opened = after_first(model == smallest(firsts, "model"), F.concat(_json(model), F.lit(": [")))
+    record = F.to_json(F.struct("a_wins", "b_wins", "ties"))
+    parts = [
+        lines(prompts, 1, after_first(prompt == smallest(prompts, "prompt_id"), _json(F.col("prompt"))), place=prompt),
+        lines(firsts, 3, opened, model, F.lit(0)),
+        lines(made, 3, after_first(F.col("_first"), _json(F.col("response"))), model, F.lit(1), prompt),
+        lines(firsts, 3, F.lit("]"), model, F.lit(2)),
+        lines(wins, 5, after_first(model == smallest(wins, "model"), F.concat(_json(model), F.lit(": "), F.col("wins").cast("string"))), model),
+        lines(
+            matchups, 7,
+            after_first(F.col("match") == smallest(matchups, "match"), F.concat(_json(F.col("match")), F.lit(": "), record)),
+            F.col("match"),
+        ),
+    ]
+    for part in parts:
+        frame = frame.unionAll(part)
+    return frame
+
+
+def write_eval_document_parts(stored, path):
+    """The stored evaluation as text files that, one after the other by name, are its one JSON document.
+
+    Lines are sorted by ranges, so every part is written by a task of its own.
+    """
+    ordered = document_lines(stored).orderBy("section", "name", "part", "place")
+    ordered.select("value").write.mode("overwrite").text(path)
+
+
 def report_lines(counts, board, totals, judge, n_prompts, title=REPORT_TITLE):
     """The report as numbered Markdown lines. Its input has one row per model or pair."""
     fixed = [

@@ -48,6 +48,16 @@ def test_eval_raw_tables_and_document(spark, tmp_path):
     assert spark.read.parquet(f"{path}/generations").count() == 9
 
 
+def test_document_parts_are_one_document(spark, tmp_path, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    prompts, generations, counts, roster = evaluation(spark)
+    again = generations.unionAll(generations.withColumn("response", F.concat("response", F.lit("~"))))
+    path = str(tmp_path / "raw")
+    sinks.write_eval_document_parts(sinks.write_eval_raw(prompts, again, counts, roster, path), f"{path}/document")
+    parts = sorted((tmp_path / "raw" / "document").glob("part-*"))
+    assert len(parts) > 1 and json.loads("".join(part.read_text() for part in parts)) == WANT
+
+
 def test_report(spark, tmp_path):
     _, _, counts, roster = evaluation(spark)
     board = matchups.leaderboard(counts, roster)
