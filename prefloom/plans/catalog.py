@@ -1,5 +1,6 @@
 """Named queries over the given tables, one or more per operator."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefloom.operators import audit, judging, matchups, ordering, rollouts, runlog, transcripts
@@ -194,22 +195,14 @@ def generation_file(spark, folder):
 
 
 def registry(spark, folder):
-    """Models of a results folder: a folder per nation, every second one with a config file.
-
-    Names of reward models are left out, and the order is by name.
-    """
+    """Models of a results folder, which a partitioned writer made: some have no config, some are
+    reward models, which are left out. The order is by name."""
     path = scratch_folder(spark)
-    prefix = F.when(F.col("n_nationkey") % 5 == 0, "reward_model_").otherwise("")
-    nation = F.concat(prefix, F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))))
-    nations = spark.read.parquet(f"{folder}/nation.parquet")
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    for row in nations.select(nation.alias("model"), "n_nationkey").collect():  # a folder listing
-        name = "config.json" if row.n_nationkey % 2 == 0 else "weights.txt"
-        file = hadoop.Path(f"{path}/{row.model}/{name}")
-        out = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(file)
-        out.writeBytes("{}")
-        out.close()
-    return matchups.comparable_models(files.read_registry(spark, path)).select("model")
+    made = inputs.checkpoints(spark, folder)
+    for whole, kind in ((True, "json"), (False, "csv")):
+        made.where(F.col("whole") == whole).select("model", "whole").write.partitionBy("model").mode("append").format(kind).save(path)
+    models = matchups.comparable_models(files.read_registry(spark, path, "*.json"))
+    return models.select("model", F.row_number().over(Window.orderBy("model")).alias("rank"))
 
 
 LINES_PER_PART = 500

@@ -448,8 +448,9 @@ FROM human WHERE pair_id % 2 = 0""",
 FROM label_attempts UNION ALL SELECT prompt_id, name_a, name_b, CAST(attempt AS INT), raw FROM match_attempts""",
     ),
     "generation_file": _with(_GENERATIONS, "SELECT prompt_id, model, response FROM generations"),
-    "registry": """SELECT lower(replace(n_name, ' ', '_')) AS model FROM nation
-WHERE n_nationkey % 2 = 0 AND n_nationkey % 5 <> 0""",
+    "registry": """SELECT model, CAST(row_number() OVER (ORDER BY model) AS INT) AS rank FROM (
+  SELECT DISTINCT 'run_' || (s_suppkey // 5) AS model FROM supplier
+  WHERE (s_suppkey // 5) % 2 = 0 AND (s_suppkey // 5) % 5 <> 0)""",
     "log_file": _with(
         _LOG
         + """,

@@ -138,22 +138,22 @@ def read_candidates(spark, path, max_samples=None, stored_ids=None):
     return _identified(spark, schemas.CANDIDATE_FILE, path, "cand_id", max_samples, stored_ids)
 
 
-def read_registry(spark, results):
-    """Checkpoints below a results folder: subfolders that hold a config.json.
+def read_registry(spark, results, file="config.json"):
+    """Checkpoints below a results folder: subfolders that hold a file of that name or pattern.
 
-    Only paths are read; the file contents are pruned from the scan. A folder without any gives
-    an empty registry.
+    Only paths are read; the file contents are pruned from the scan. A folder with several such
+    files is one checkpoint, and one that a partitioned writer named key=value is named by its value.
+    A folder without any gives an empty registry.
     """
     try:
-        listing = spark.read.format("binaryFile").load(f"{results}/*/config.json").select("path")
+        listing = spark.read.format("binaryFile").load(f"{results}/*/{file}").select("path")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         listing = spark.createDataFrame([], "path STRING")
-    folder = F.regexp_extract("path", r"^(.*)/config\.json$", 1)
-    return listing.select(
-        F.regexp_extract("path", r"([^/]+)/config\.json$", 1).alias("model"), folder.alias("path")
-    )
+    folder = _folder(F.col("path"))
+    name = F.regexp_replace(F.regexp_extract(folder, r"([^/]+)$", 1), "^[^=]*=", "")
+    return listing.select(name.alias("model"), folder.alias("path")).distinct()
 
 
 def read_log(spark, path, runs=None, numbered=True, parts="file"):
