@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from prefloom.operators import audit, judging, matchups, ordering, rollouts, runlog, transcripts
-from prefloom.plans import inputs
+from prefloom.plans import chains, inputs
 from prefloom.session import scratch_folder
 from prefloom.sources import files, sinks
 
@@ -105,6 +105,16 @@ def label_pairs(spark, folder):
     return _labelled(spark, folder)
 
 
+def labelled_in_steps(spark, folder):
+    """Labels of a store to which replies are added twice: late first attempts, and those of a few candidates."""
+    store = scratch_folder(spark)
+    chains.store_candidates(inputs.candidates(spark, folder), store)
+    late = "cand_id % 40 = 7 OR cand_id % 10 = 2 AND attempt = 0"
+    attempts = inputs.label_attempts(spark, folder)
+    chains.add_verdicts(attempts.where(f"NOT ({late})"), store, SEED)
+    return chains.add_verdicts(attempts.where(late), store, SEED)
+
+
 def labelled_transcripts(spark, folder):
     return _ai_pairs(spark, folder)
 
@@ -446,6 +456,7 @@ QUERIES = {
         reward_inputs,
         judge_requests,
         label_pairs,
+        labelled_in_steps,
         labelled_transcripts,
         usable_pairs,
         verdict_readings,

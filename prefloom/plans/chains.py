@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from prefloom import schemas
 from prefloom.operators import audit, judging, matchups, rollouts, runlog, transcripts
 from prefloom.sources import files, sinks
 
@@ -27,6 +28,54 @@ def label_candidates(spark, candidates_path, verdicts_path, out_path, seed, max_
     return audit.label_audit(labelled)
 
 
+LABEL_BUCKETS = 64
+
+
+def _bucketed(df, buckets):
+    return df.withColumn("bucket", F.pmod(F.xxhash64("cand_id"), F.lit(buckets)).cast("int"))
+
+
+def store_candidates(candidates, store, buckets=LABEL_BUCKETS):
+    """Store candidates for labelling in steps: folders of hashed ids, numbers of which are kept with them.
+
+    Labels of an earlier store at that place are gone.
+    """
+    spark = candidates.sparkSession
+    for name, table in (("candidates", candidates), ("verdicts", None), ("labelled", None)):
+        if table is None:
+            schema = schemas.LABEL_VERDICT if name == "verdicts" else schemas.LABELLED
+            table = spark.createDataFrame([], schema)
+        by_bucket = _bucketed(table, buckets).repartition(buckets, "bucket")
+        by_bucket.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(f"{store}/{name}")
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{store}/layout")
+
+
+def add_verdicts(attempts, store, seed):
+    """Add judge replies to a store and label anew only the buckets that they fall into; returns all labels.
+
+    Other buckets are neither read nor written. A step that failed half-way is run again as a whole:
+    repeated replies change no label, and a bucket is replaced when its new labels are complete.
+    """
+    spark = attempts.sparkSession
+    buckets = spark.read.parquet(f"{store}/layout").first().buckets
+    added = _bucketed(attempts.select("cand_id", "attempt", "raw").where("cand_id IS NOT NULL"), buckets)
+    added.repartition(buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(f"{store}/verdicts")
+    # As many numbers as there are buckets at most.
+    touched = [row.bucket for row in added.select("bucket").distinct().collect()]
+
+    def stored(name, schema):
+        return spark.read.schema(f"{schema}, bucket INT").parquet(f"{store}/{name}").where(F.col("bucket").isin(touched))
+
+    candidates = stored("candidates", schemas.CANDIDATE)
+    verdicts = stored("verdicts", schemas.LABEL_VERDICT).drop("bucket")
+    labelled = _bucketed(judging.label_pairs(candidates.drop("bucket"), verdicts, seed), buckets)
+    if touched:
+        labelled.repartition(buckets, "bucket").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic"
+        ).partitionBy("bucket").parquet(f"{store}/labelled")
+    return spark.read.schema(f"{schemas.LABELLED}, bucket INT").parquet(f"{store}/labelled").drop("bucket")
+
+
 def _test_prompts(spark, pairs_root, n_prompts, path):
     """The prompts of the test split, stored: every use of them would number the files anew."""
     pairs = files.read_human_pairs(spark, pairs_root, "test", n_prompts)

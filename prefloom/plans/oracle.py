@@ -384,6 +384,7 @@ FROM generations JOIN candidates ON prompt_id = cand_id""",
         f"SELECT cand_id, swapped, {_FORCED_REQUEST} AS request FROM asked",
     ),
     "label_pairs": _with(_LABELLED, "SELECT * FROM labelled"),
+    "labelled_in_steps": _with(_LABELLED, "SELECT * FROM labelled"),
     "labelled_transcripts": _with(_LABELLED, "SELECT * FROM ai"),
     "usable_pairs": _with(
         _LABELLED,

@@ -7,6 +7,10 @@ PAIR = "pair_id BIGINT, chosen STRING, rejected STRING, labeler STRING"
 CANDIDATE = "cand_id BIGINT, prompt STRING, response_a STRING, response_b STRING"
 LABEL_VERDICT = "cand_id BIGINT, attempt INT, raw STRING"
 MATCH_VERDICT = "prompt_id BIGINT, name_a STRING, name_b STRING, attempt INT, raw STRING"
+LABELLED = (
+    "cand_id BIGINT, swapped BOOLEAN, defaulted BOOLEAN, verdict STRING, prompt STRING, "
+    "chosen_response STRING, rejected_response STRING"
+)
 GENERATION = "prompt_id BIGINT, model STRING, response STRING"
 ROLLOUT = "run_id BIGINT, step BIGINT, slot BIGINT, reward DOUBLE"
 STEP_METRIC = (

@@ -147,3 +147,31 @@ def test_followed_folders_match_the_batch_readers(spark, tmp_path):
     assert log.select("run_id").distinct().count() == 3
     pairs = drain(follow.follow_pairs(spark, str(tmp_path / "pairs"), 1), "followed_pairs")
     assert sorted(map(tuple, pairs.collect())) == [(f"q{MARK}", f"y{i}", f"n{i}") for i in range(3)]
+
+
+def test_new_verdicts_relabel_their_buckets_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    candidates = spark.range(200).selectExpr("id AS cand_id", "concat('p', id) AS prompt", "'a' AS response_a", "'b' AS response_b")
+    attempts = spark.range(200).selectExpr("id AS cand_id", "1 AS attempt", "IF(id % 3 = 0, 'B', 'A') AS raw")
+    late = spark.createDataFrame([(5, 0, "B"), (6, 2, "A"), (300, 0, "A"), (None, 0, "A")], "cand_id BIGINT, attempt INT, raw STRING")
+
+    def files_of():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "store" / "labelled").glob("bucket=*/part-*")}
+
+    def want(replies):
+        return sorted(map(tuple, judging.label_pairs(candidates, replies, "s").collect()))
+
+    chains.store_candidates(candidates, store, buckets=16)
+    first = chains.add_verdicts(attempts, store, "s")
+    assert sorted(map(tuple, first.collect())) == want(attempts)
+    before = files_of()
+    for _ in range(2):  # the second time as after a failure
+        labels = chains.add_verdicts(late, store, "s")
+        assert sorted(map(tuple, labels.collect())) == want(attempts.unionAll(late))
+    after = files_of()
+    kept = {p for p in before if after.get(p) == before[p]}
+    assert len(before) >= 14 and len(kept) >= len(before) - 3 and len(kept) < len(before)
+    none = chains.add_verdicts(late.where("false"), store, "s")
+    assert none.count() == 200 and files_of() == after
+    chains.store_candidates(candidates, store, buckets=4)
+    assert chains.add_verdicts(late.where("false"), store, "s").count() == 0

@@ -12,7 +12,7 @@ ORACLE = oracle.ORACLE_SQL
 FOLDER = f"{TESTDATA}/sf0.001"
 FILE_QUERIES = {
     "candidate_file", "labelled_file", "human_pair_file", "verdict_file", "generation_file", "registry", "log_file", "eval_raw",
-    "bucketed_matches", "eval_document",
+    "bucketed_matches", "eval_document", "labelled_in_steps",
 }
 
 
