@@ -108,7 +108,7 @@ def label_pairs(spark, folder):
 def labelled_in_steps(spark, folder):
     """Labels of a store to which replies are added twice: late first attempts, and those of a few candidates."""
     store = scratch_folder(spark)
-    chains.store_candidates(inputs.candidates(spark, folder), store)
+    chains.store_candidates(inputs.candidates(spark, folder), store, buckets=16)
     late = "cand_id % 40 = 7 OR cand_id % 10 = 2 AND attempt = 0"
     attempts = inputs.label_attempts(spark, folder)
     chains.add_verdicts(attempts.where(f"NOT ({late})"), store, SEED)
