@@ -14,8 +14,8 @@ from prefloom.llm.common import documents, steps, texts_of
 # Two primes below 2**31, so that a product of residues fits 62 bits, and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515877, 1390208809)
-# Likeness beyond a common start and end: so many spans of that many characters are looked up.
-SPANS, SPAN_CHARS = 64, 32
+# Likeness beyond a common start and end counts what lies in common windows of so many characters.
+WINDOW = 24
 BLOCKS_PER_PARTITION = 4
 _LOWEST = -(2**63)
 
@@ -32,6 +32,14 @@ def powers(which, count):
     return table
 
 
+def _covered(places, length, width):
+    """How many of `length` characters lie in one of the windows that begin at the places."""
+    change = np.zeros(length + 1, dtype=np.int64)
+    change[places] += 1
+    change[places + width] -= 1
+    return int(np.count_nonzero(np.cumsum(change) > 0))
+
+
 class PrefixHashes:
     """Prefix hashes of one text over its code points."""
 
@@ -75,41 +83,52 @@ class PrefixHashes:
             low, high = (middle, high) if equal else (low, middle - 1)
         return low
 
-    def windows(self, starts, length, shift):
-        """Hashes, by the first prime, of the spans at many places."""
-        prime, prefix = np.uint64(PRIMES[0]), self.prefixes[0]
+    def windows(self, starts, length, shift, which=0):
+        """Hashes of the spans at many places, moved up to the power `shift`."""
+        prime, prefix = np.uint64(PRIMES[which]), self.prefixes[which]
         inside = (prefix[starts + length] + prime - prefix[starts]) % prime
-        return inside * powers(0, shift + 1)[shift - starts] % prime
+        return inside * powers(which, shift + 1)[shift - starts] % prime
 
     def fingerprint(self):
         """Two residues of the whole text and its length: equal for equal texts."""
         return f"{int(self.prefixes[0][-1]):08x}{int(self.prefixes[1][-1]):08x}-{self.length:x}"
 
-    def likeness(self, other):
+    def likeness(self, other, width=WINDOW):
         """Share of the longer text that agrees, from 0 to 1.
 
-        Counted are the common start, the common end and, of what lies between, evenly spread
-        spans that occur anywhere between them in the other text. Two empty texts are alike.
+        A character agrees if it lies in the common start, in the common end or, between them, in
+        any window of `width` characters that stands anywhere between them in the other text, too.
+        The text in which fewer characters agree counts. Two empty texts are alike.
         """
         longest = max(self.length, other.length)
         if longest == 0:
             return 1.0
+        shorter = min(self.length, other.length)
         head = self.extension(0, other, 0)
-        tail = min(self.extension_back(self.length, other, other.length), min(self.length, other.length) - head)
-        mine, theirs = self.length - head - tail, other.length - head - tail
-        agreed = float(head + tail)
-        if mine >= SPAN_CHARS and theirs >= SPAN_CHARS:
-            shift = longest
-            at = head + np.linspace(0, mine - SPAN_CHARS, min(SPANS, mine // SPAN_CHARS)).astype(np.int64)
-            wanted = np.sort(self.windows(at, SPAN_CHARS, shift))
-            there = other.windows(np.arange(head, head + theirs - SPAN_CHARS + 1), SPAN_CHARS, shift)
-            place = np.minimum(np.searchsorted(wanted, there), len(wanted) - 1)
-            found = np.zeros(len(wanted), dtype=bool)
-            found[place[wanted[place] == there]] = True
-            # Equal spans of the text share one hash and are found together.
-            found = found[np.searchsorted(wanted, wanted)]
-            agreed += found.mean() * min(mine, theirs)
-        return min(1.0, agreed / longest)
+        tail = min(self.extension_back(self.length, other, other.length), shorter - head)
+        return (head + tail + self._shared(other, head, tail, width)) / longest
+
+    def _shared(self, other, head, tail, width):
+        """Characters between both ends that lie in common windows, in the text that has fewer."""
+        shift = max(self.length, other.length)
+        texts = [x for x in (self, other) if x.length - head - tail >= width]
+        if len(texts) < 2:
+            return 0
+        starts = [np.arange(head, x.length - tail - width + 1) for x in texts]
+        hashes = [x.windows(at, width, shift) for x, at in zip(texts, starts)]
+        # Most windows of unlike texts are told apart by a table of low bits; the rest by both hashes.
+        mask = np.uint64((1 << (8 * max(map(len, hashes))).bit_length()) - 1)
+        slots = [h & mask for h in hashes]
+        tables = [np.zeros(int(mask) + 1, dtype=bool) for _ in texts]
+        for table, slot in zip(tables, slots):
+            table[slot] = True
+        maybe = [np.flatnonzero(table[slot]) for table, slot in zip(tables[::-1], slots)]
+        keys = [
+            h[place] << np.uint64(31) | x.windows(at[place], width, shift, 1)
+            for x, at, h, place in zip(texts, starts, hashes, maybe)
+        ]
+        found = [place[np.isin(key, against)] for place, key, against in zip(maybe, keys, keys[::-1])]
+        return min(_covered(place, len(h) + width - 1, width) for place, h in zip(found, hashes))
 
 
 def fingerprints(frame, id_column="doc_id", text_column="text"):

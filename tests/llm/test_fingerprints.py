@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -34,6 +35,49 @@ def test_likeness_survives_moved_and_scattered_edits():
     assert a.likeness(b) > 0.7 and a.likeness(c) < 0.1
 
 
+def plain_likeness(a, b, width):
+    """The share by its definition, from the texts themselves."""
+    if not a and not b:
+        return 1.0
+    short, long = sorted((len(a), len(b)))
+    head = 0
+    while head < short and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < short - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    middles = [x[head : len(x) - tail] for x in (a, b)]
+    windows = [{x[i : i + width] for i in range(len(x) - width + 1)} for x in middles]
+    counts = []
+    for x, others in zip(middles, windows[::-1]):
+        inside = {i + k for i in range(len(x) - width + 1) if x[i : i + width] in others for k in range(width)}
+        counts.append(len(inside))
+    return (head + tail + min(counts)) / long
+
+
+@settings(max_examples=400, deadline=None)
+@given(TEXT, TEXT, st.integers(1, 5))
+def test_likeness_equals_brute_force(a, b, width):
+    x, y = fp.PrefixHashes(a), fp.PrefixHashes(b)
+    assert x.likeness(y, width) == y.likeness(x, width) == plain_likeness(a, b, width)
+
+
+def test_likeness_looks_at_whole_long_texts():
+    dice = np.random.default_rng(5)
+
+    def letters(n):
+        return "".join(map(chr, dice.integers(97, 123, n)))
+
+    a, b, passage = letters(1_000_000), letters(900_000), letters(10_000)
+    a = a[:300_011] + passage + a[310_011:]
+    b = b[:777_777] + passage + b[787_777:]
+    x, y = fp.PrefixHashes(a), fp.PrefixHashes(b)
+    assert x.likeness(y) == plain_likeness(a, b, fp.WINDOW) and 0.01 <= x.likeness(y) < 0.0101
+    # Every 30th character changed: all others lie in windows that both texts have.
+    changed = "".join("#" if i % 30 == 29 else c for i, c in enumerate(a))
+    assert abs(x.likeness(fp.PrefixHashes(changed)) - 29 / 30) < 1e-4
+
+
 def brute(documents):
     """Rows in falling order of ids (null lowest), ties by text, each with the next one's text."""
     ordered = sorted(documents, key=lambda x: (-(x[0] if x[0] is not None else -(2**63)), x[1]))
