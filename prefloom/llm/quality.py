@@ -1,10 +1,11 @@
 """Quality rules whose cutoffs limit the share of good documents that they reject.
 
-Each rule rejects a document whose signal, a share from 0 to 1, is above a cutoff. In every stratum
-the cutoffs of a rule are tried from the most lenient one on; labelled good documents show how many
-of them a cutoff rejects, and the exact binomial upper bound of that share has to stay within the
-rule's part of the allowed risk. The first cutoff that fails ends the sequence, so no correction
-is needed along it; strata and rules are corrected for by dividing the error probability.
+Each rule rejects a document whose signal, a share from 0 to 1, is above a cutoff. All rules are
+tightened along one path of cutoffs, from the one that rejects nothing on; the path is laid by the
+signals of all documents and of those labelled bad, so which ones are labelled good only tests it. In every
+stratum they show how many of them each step rejects by any rule, and the exact binomial upper bound
+of that share has to stay within the allowed risk. The first step that fails ends the path, so no
+correction is needed along it or for the rules; strata are corrected for by dividing the error.
 """
 
 import math
@@ -121,70 +122,115 @@ def bound_holds(k, n, limit, error):
     return n > 0 and k < n and binomial_cdf(k, n, limit) <= error
 
 
-def first_failing(good, limit, error, grid=GRID):
-    """The strictest cutoff, in 1/grid, reached before one fails; `grid` itself rejects nothing.
+def last_holding(good, limit, error):
+    """The last step before one fails; step 0 rejects nothing.
 
-    `good` counts good documents by the least cutoff that keeps them.
+    `good` counts good documents by the first step that rejects them; those that no step rejects
+    stand at its end.
     """
-    n, rejected, best = int(good.sum()), 0, grid
-    for cutoff in range(grid - 1, -1, -1):
-        rejected += int(good[cutoff + 1])
+    n, rejected, best = int(good.sum()), 0, 0
+    for step in range(1, len(good) - 1):
+        rejected += int(good[step])
         if not bound_holds(rejected, n, limit, error):
             break
-        best = cutoff
+        best = step
     return best
 
 
-def cutoffs(measured, good_ids, risk=RISK, error=ERROR, grid=GRID):
-    """(stratum, rule, cutoff) from all labelled good documents; a row per stratum and rule.
+def tightened(whole, part, cutoff, weight):
+    """The next (rule, cutoff) of the path, None at its end.
 
-    A document counts once for every good label of its id. Documents that fail the base rules are
-    no evidence: those are rejected whatever the cutoffs. A stratum without enough labels gets the
-    cutoff 1, which rejects nothing.
+    Both counts, of all documents that no cutoff rejects yet and of the bad ones among them, are
+    rules by levels, the least cutoffs in 1/grid that keep a document. A bad one stands for `weight`
+    documents. Taken is the cutoff whose newly rejected bad documents most outnumber the other ones; of
+    equals the first rule's, then the highest. The path ends where they outnumber them nowhere.
     """
-    labelled = measured.where(~base_failed()).join(good_ids.select("doc_id"), "doc_id")
-    scored = labelled.select(
-        "stratum",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(rule).alias("rule"), F.ceil(signal * grid).cast("int").alias("level"))
-                    for rule, signal in signals().items()
-                ]
-            )
-        ).alias("x"),
-    ).select("stratum", "x.*")
-    # At most grid + 1 rows for each stratum and rule.
-    counted = stored(labelled.sparkSession, scored.groupBy("stratum", "rule", "level").agg(F.count("*").alias("n")))
-    tests = len(RULES) * counted.select("stratum").distinct().count()
+    best, most = None, 0.0
+    for rule in range(len(whole)):
+        down = np.arange(cutoff[rule] - 1, -1, -1)
+        gain = np.cumsum(2 * weight * part[rule][down + 1] - whole[rule][down + 1])
+        if len(gain) and gain.max() > most + 1e-9:
+            best, most = (rule, int(down[gain.argmax()])), float(gain.max())
+    return best
+
+
+def cutoffs(measured, labels, risk=RISK, error=ERROR, grid=GRID):
+    """A row per stratum: `cutoffs`, the cutoff of each rule.
+
+    Labels are (doc_id, quality). Equal texts of a stratum count once, good if any label of theirs
+    is 1, else bad; documents that fail the base rules are no evidence: those are rejected whatever
+    the cutoffs. A stratum with few good labels (fewer than ln(error / strata) / ln(1 - risk)) or none
+    gets the cutoff 1 everywhere, which rejects nothing.
+    """
+    spark = measured.sparkSession
+    levels = [F.ceil(signal * grid).cast("int").alias(rule) for rule, signal in signals().items()]
+    passed = measured.where(~base_failed())
+    marks = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).cast("int").alias("good"))
+    marked = stored(spark, passed.join(marks, "doc_id", "left").select("stratum", "tie", "good", *levels))
+    # Documents of equal levels are one row, combined before the shuffle.
+    alike = stored(
+        spark,
+        marked.groupBy(*RULES).agg(
+            F.count("*").alias("whole"), F.count("good").alias("labelled"), F.count_if(F.col("good") == 0).alias("bad")
+        ),
+    )
+    total = alike.agg(F.sum("whole"), F.sum("labelled")).first()
+    weight = total[0] / total[1] if total[1] else 0.0
+    order, cutoff = [], [grid] * len(RULES)
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("rule"), F.col(r).alias("level")) for i, r in enumerate(RULES)]))
+    while weight:
+        left = alike.where(" AND ".join(f"{rule} <= {at}" for rule, at in zip(RULES, cutoff))).select("whole", "bad", each)
+        counts = np.zeros((2, len(RULES), grid + 1), dtype=np.int64)
+        # At most grid + 1 rows a rule.
+        for rule, level, *both in left.groupBy("rule", "level").agg(F.sum("whole"), F.sum("bad")).collect():
+            counts[:, rule, level] = both
+        found = tightened(*counts, cutoff, weight)
+        if found is None:
+            break
+        rule, low = found
+        order += [rule] * (cutoff[rule] - low)
+        cutoff[rule] = low
+    held = marked.where("good IS NOT NULL").groupBy("stratum", "tie").agg(
+        F.max("good").alias("good"), *[F.max(rule).alias(rule) for rule in RULES]
+    )
+    # The first step at which each rule rejects each level; beyond the path for levels never reached.
+    end = len(order) + 1
+    first, reached = np.full((len(RULES), grid + 1), end), [grid] * len(RULES)
+    for step, rule in enumerate(order, 1):
+        first[rule, reached[rule]] = step
+        reached[rule] -= 1
+    tables = [F.array(*[F.lit(int(x)) for x in row]) for row in first]
+    step = F.least(*[F.get(table, F.col(rule)) for table, rule in zip(tables, RULES)])
+    counted = held.where("good = 1").select("stratum", step.alias("step")).groupBy("stratum", "step").agg(
+        F.count("*").alias("n")
+    )
+    counted = stored(spark, counted)
+    strata = counted.select("stratum").distinct().count()
 
     def select(group: pd.DataFrame) -> pd.DataFrame:
-        good = np.bincount(group.level, weights=group.n, minlength=grid + 1).astype(np.int64)
-        best = first_failing(good, risk / len(RULES), error / tests, grid)
-        return pd.DataFrame({"stratum": [group.stratum.iloc[0]], "rule": [group.rule.iloc[0]], "cutoff": [best / grid]})
+        good = np.bincount(group.step, weights=group.n, minlength=end + 1).astype(np.int64)
+        taken = order[: last_holding(good, risk, error / strata)]
+        kept = {rule: (grid - taken.count(i)) / grid for i, rule in enumerate(RULES)}
+        return pd.DataFrame({"stratum": [group.stratum.iloc[0]], **{rule: [x] for rule, x in kept.items()}})
 
-    return counted.groupBy("stratum", "rule").applyInPandas(select, "stratum STRING, rule STRING, cutoff DOUBLE")
+    kinds = ", ".join(f"{rule} DOUBLE" for rule in RULES)
+    found = counted.groupBy("stratum").applyInPandas(select, f"stratum STRING, {kinds}")
+    return found.select("stratum", F.struct(*RULES).alias("cutoffs"))
 
 
 def judge(frame, labels, id_column="doc_id", text_column="text", stratum_column="lang", **options):
     """Id, a hash of the text, counts, base_failed, and whether the document is kept, of every row.
 
-    Labels are (doc_id, quality); quality 1 is good, null labels and ids are left out. Equal rows
-    each give a row and are judged alike. Documents are read once; their counts are stored.
+    Labels are (doc_id, quality); quality 1 is good, others bad; null ones and null ids are left out.
+    Equal rows each give a row and are judged alike. Documents are read once; their counts are stored.
     """
     spark = frame.sparkSession
     measured = stored(spark, measures(frame, id_column, text_column, stratum_column))
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"))
-    found = cutoffs(measured, good, **options).groupBy("stratum").agg(
-        F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")
-    )
-    within = [
-        F.coalesce(signal <= F.col("cutoffs")[rule], F.lit(True))
-        for rule, signal in signals().items()
-    ]
+    marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), "quality")
+    found = cutoffs(measured, marked, **options)
     kept = ~base_failed()
-    for rule in within:
-        kept = kept & rule
+    for rule, signal in signals().items():
+        kept = kept & F.coalesce(signal <= F.col("cutoffs")[rule], F.lit(True))
     # Adaptive execution sends the few rows of cutoffs to the documents.
     return measured.join(stored(spark, found), "stratum", "left").select(
         "doc_id", "tie", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -45,33 +45,101 @@ def test_bound_is_the_exact_one(k, n, error):
     assert not quality.bound_holds(0, 0, 0.5, 0.5)
 
 
-def test_cutoffs_equal_brute_force(spark):
-    """Kept is exactly: base passed and every signal within its stratum's cutoff."""
+def levels(text):
+    """Least cutoffs, in hundredths, that keep a text."""
+    n_words, chars, symbols, repeated, inside, _ = brute(text)
+    n_lines = sum(bool(x.split()) for x in text.split("\n"))
+    capitals = sum("A" <= c <= "Z" for c in text)
+    shares = [symbols / chars, repeated / max(1, n_lines), inside / n_words, capitals / chars]
+    return [math.ceil(min(x, 1.0) * 100) for x in shares]
+
+
+def plain_cutoffs(rows, labels, risk):
+    """Cutoffs by stratum, from lists of documents and the exact bound by bisection."""
+    passed = {i: levels(text) for i, text, _ in rows if not brute(text)[-1]}
+    good, bad = ({i for i, q in labels if q == x and i in passed} for x in (1, 0))
+    weight = len(passed) / len(good | bad)
+    cutoff, steps = [100] * 4, []
+    while True:
+        left = [i for i, own in passed.items() if all(x <= c for x, c in zip(own, cutoff))]
+        options = []
+        for rule in range(4):
+            for low in range(cutoff[rule]):
+                over = [i for i in left if passed[i][rule] > low]
+                gain = 2 * weight * sum(i in bad for i in over) - len(over)
+                options.append((round(gain, 6), -rule, low))
+        gain, rule, low = max(options)
+        if gain <= 0:
+            break
+        for at in range(cutoff[-rule] - 1, low - 1, -1):
+            cutoff[-rule] = at
+            steps.append(list(cutoff))
+    strata = {lang for i, _, lang in rows if i in good}
+    found = {}
+    for stratum in strata:
+        own = [i for i, _, lang in rows if lang == stratum and i in good]
+        found[stratum] = [100] * 4
+        for step in steps:
+            rejected = sum(any(x > c for x, c in zip(passed[i], step)) for i in own)
+            if rejected == len(own) or exact_upper(rejected, len(own), 0.05 / len(strata)) > risk:
+                break
+            found[stratum] = step
+    return found, passed
+
+
+def planted(n=1200):
+    """Documents of three strata: bad ones shout or hold symbols, some good ones do so a little."""
     dice = np.random.default_rng(1)
     rows, labels = [], []
-    for i in range(900):
-        clean = i % 3
-        words = [f"w{i}x{n}" for n in range(60)]
-        for n in range(int(dice.integers(0, 3)) if clean else int(dice.integers(10, 40))):
-            words[n] += "##"
-        rows.append((i, " ".join(words), "en" if i % 2 else None))
-        if i % 4:
-            labels.append((i, 1 if clean else 0))
+    for i in range(n):
+        kind = i % 4
+        words = [f"w{i}x{k}" for k in range(60)]
+        few = int(dice.integers(0, 3)) if kind or i % 24 else 6
+        for k in range(few if kind else int(dice.integers(4, 40))):
+            words[k] = words[k] + "##" if i % 8 else words[k].upper() + "ABCD"
+        rows.append((i, " ".join(words), ("en", None, "de")[min(2, int(dice.integers(0, 30)) // 14)]))
+        if i % 3:
+            labels.append((i, 1 if kind else 0))
+    return rows, labels
+
+
+@pytest.mark.parametrize("risk", [0.02, 0.1])
+def test_cutoffs_equal_brute_force(spark, risk):
+    """Kept is exactly: base passed and every signal within its stratum's cutoff."""
+    rows, labels = planted()
     frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
-    table = spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id BIGINT, quality INT")
-    got = {r.doc_id: r.kept for r in quality.judge(frame, table, risk=0.2).collect()}
-    assert not any(got[i] for i in range(0, 900, 3) if rows[i][1].count("#") > 30)
-    good = {i for i, q in labels if q == 1}
-    for lang in ("en", None):
-        own = [i for i in good if rows[i][2] == lang]
-        cutoff = None
-        share = {i: rows[i][1].count("#") / len(rows[i][1].replace(" ", "")) for i in range(900) if rows[i][2] == lang}
-        for level in range(99, -1, -1):
-            rejected = sum(share[i] > level / 100 for i in own)
-            if exact_upper(rejected, len(own), 0.05 / 8) > 0.05:
-                break
-            cutoff = level / 100
-        assert all(got[i] == (cutoff is None or s <= cutoff) for i, s in share.items())
+    table = spark.createDataFrame(labels + [(None, 1), (6, None)], "doc_id BIGINT, quality INT")
+    got = {r.doc_id: r.kept for r in quality.judge(frame, table, risk=risk).collect()}
+    found, passed = plain_cutoffs(rows, labels, risk)
+    want = {i: i in passed and all(x <= c for x, c in zip(passed[i], found[lang])) for i, _, lang in rows}
+    assert got == want
+    # Two strata have labels enough to reject; the third, of a fifteenth of the rows, only at the larger risk.
+    assert found["en"] != [100] * 4 and found[None] != [100] * 4
+    assert (found["de"] == [100] * 4) == (risk == 0.02)
+    kept = quality.without_rejected(frame, table).collect()
+    lost = {i for i, _, _ in rows} - {r.doc_id for r in kept}
+    assert any(i % 4 == 0 for i in lost) and (risk > 0.02 or sum(i % 4 > 0 for i in lost) <= 0.02 * len(rows))
+
+
+def test_bound_holds_on_fresh_documents(spark):
+    """Good documents that are not labelled are rejected no more often than the risk allows."""
+    rows, labels = planted(3000)
+    good = [i for i, _, lang in rows if i % 4 and i % 3 == 0 and lang != "de"]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    table = spark.createDataFrame(labels, "doc_id BIGINT, quality INT")
+    got = {r.doc_id: r.kept for r in quality.judge(frame, table).collect()}
+    assert sum(not got[i] for i in good) <= 0.02 * len(good)
+    assert sum(not got[i] for i in range(0, 3000, 4)) > 1000 * 0.5
+
+
+def test_copies_of_a_good_document_are_one_piece_of_evidence(spark):
+    rows, labels = planted(400)
+    one = " ".join(f"v{k}" for k in range(60))
+    copies = [(1000 + i, one, "en") for i in range(400)]
+    frame = spark.createDataFrame([(i, t, "en") for i, t, _ in rows] + copies, "doc_id BIGINT, text STRING, lang STRING")
+    table = spark.createDataFrame(labels + [(i, 1) for i, _, _ in copies], "doc_id BIGINT, quality INT")
+    strict = quality.judge(frame, table, risk=0.01).collect()
+    assert all(r.kept == (not r.base_failed) for r in strict)
 
 
 def test_without_labels_only_base_rules_reject(spark):
