@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from prefloom.functions import text as T
+from prefloom.operators.sums import exact_sums
 
 
 def pair_sides(pairs):
@@ -72,15 +73,40 @@ def all_pairs(*pair_tables):
 
 
 def score_profile(scored, by=()):
-    """Mean, spread and pairwise accuracy of reward scores; an equal score is a miss."""
+    """Mean, spread and pairwise accuracy of reward scores; an equal score is a miss.
+
+    Pairs without both scores are left out. The spread is taken around the mean, in a second pass;
+    sums are of integers, so the result does not depend on partitions. Without `by` an empty table
+    gives one row of no pairs.
+    """
+    by = list(by)
     chosen, rejected = F.col("score_chosen"), F.col("score_rejected")
-    mean_c, mean_r = F.avg(chosen), F.avg(rejected)
-    # Both columns have the same count, so their joint spread follows from two aggregates.
-    variance = (F.var_pop(chosen) + F.var_pop(rejected)) / 2 + F.pow((mean_c - mean_r) / 2, 2)
-    return scored.where(chosen.isNotNull() & rejected.isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n_pairs"),
-        ((mean_c + mean_r) / 2).alias("mean_score"),
-        F.sqrt(variance).alias("std_score"),
-        F.avg((chosen > rejected).cast("int")).alias("accuracy"),
-        F.count_if(chosen == rejected).alias("equal_scores"),
+    pairs = scored.where(chosen.isNotNull() & rejected.isNotNull()).select(*by, chosen, rejected)
+    centre = exact_sums(pairs, by, {"c": chosen, "r": rejected}).select(
+        *by, F.try_divide(F.col("c") + F.col("r"), F.col("c_n") * 2).alias("_mean")
+    )
+    if by:
+        same = [F.col(f"p.{name}").eqNullSafe(F.col(f"m.{name}")) for name in by]
+        placed = pairs.alias("p").join(centre.alias("m"), same).select("p.*", "_mean")
+    else:
+        placed = pairs.withColumn("_mean", centre.scalar())
+    off_chosen, off_rejected = chosen - F.col("_mean"), rejected - F.col("_mean")
+    summed = exact_sums(
+        placed,
+        by,
+        {
+            "mean": F.col("_mean"),
+            "q": off_chosen * off_chosen + off_rejected * off_rejected,
+            "hit": (chosen > rejected).cast("double"),
+            "equal": (chosen == rejected).cast("double"),
+        },
+    )
+    n = F.col("mean_n")
+    return summed.select(
+        *by,
+        n.alias("n_pairs"),
+        F.col("mean_low").alias("mean_score"),
+        F.sqrt(F.try_divide("q", n * 2)).alias("std_score"),
+        F.try_divide("hit", n).alias("accuracy"),
+        F.coalesce(F.col("equal").cast("bigint"), F.lit(0)).cast("bigint").alias("equal_scores"),
     )

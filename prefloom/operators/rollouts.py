@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import metrics as M
 from prefloom.operators.ordering import running_aggregates, with_position
+from prefloom.operators.sums import exact_sums, grid_limbs, grid_value
 
 SLOT_KEYS = ["run_id", "step", "slot"]
 
@@ -58,51 +59,59 @@ def clean_rewards(rollouts):
 
 
 def reward_by_step(rollouts):
-    """Mean reward of each step, after the clean-up."""
-    return clean_rewards(rollouts).groupBy("run_id", "step").agg(
-        F.count("*").alias("n_slots"), F.avg("reward").alias("mean_reward")
+    """Mean reward of each step, after the clean-up; the same however rows are dealt to partitions."""
+    summed = exact_sums(clean_rewards(rollouts), ["run_id", "step"], {"r": F.col("reward"), "one": F.lit(1.0)})
+    return summed.select(
+        "run_id", "step", F.col("one_n").alias("n_slots"), F.try_divide("r", "r_n").alias("mean_reward")
     )
 
 
 def scale_rewards(rollouts, clip=M.SCORE_CLIP):
     """Each reward normalised by the statistics of its run up to its step, then clipped.
 
-    Rows become a count, a mean and a squared deviation per step first; the running statistics walk
-    over steps, not rows, and in blocks, so a run that holds most of the data is still spread out.
-    Step means are taken relative to their run's mean, so large rewards of a small spread lose no
-    digits. The deviation is zero only where all rewards so far are equal.
+    Rows become sums per step first; the running statistics walk over steps, not rows, and in blocks,
+    so a run that holds most of the data is still spread out. All sums are of integers, so results
+    do not depend on partitions. Squares are of distances from the run's mean, so large rewards of a
+    small spread lose no digits. The deviation is zero only where all rewards so far are equal.
     """
     cleaned = clean_rewards(rollouts)
     reward = F.col("reward")
-    per_step = cleaned.groupBy("run_id", "step").agg(
-        F.count("reward").alias("_n"),
-        F.avg("reward").alias("_mean"),
-        F.var_pop("reward").alias("_spread"),
-        F.max("reward").alias("_high"),
-        F.max(-reward).alias("_low"),
+    centre = exact_sums(cleaned, ["run_id"], {"r": reward}).select(
+        "run_id", F.try_divide("r", "r_n").alias("_centre")
+    )
+    off = reward - F.col("_centre")
+    per_step = exact_sums(
+        cleaned.join(centre, "run_id"), ["run_id", "step"], {"x": reward, "s": off, "q": off * off}
+    )
+    sums = ["x", "s", "q"]
+    largest = per_step.groupBy("run_id").agg(*[F.max(F.abs(F.col(name))).alias(f"_{name}") for name in sums])
+    limbs = [
+        limb for name in sums for limb in grid_limbs(F.col(name), F.col(f"_{name}"), (f"{name}_hi", f"{name}_lo"))
+    ]
+    steps = per_step.join(largest, "run_id").select(
+        "run_id", "step", *[f"_{name}" for name in sums], "x_n", "x_low", "x_high", *limbs
     )
-    centre = per_step.groupBy("run_id").agg(F.avg("_mean").alias("_centre"))
-    shift = F.col("_mean") - F.col("_centre")
     running = running_aggregates(
-        per_step.join(centre, "run_id"),
+        steps.withColumnsRenamed({f"{name}_{end}": f"_{name}_{end}" for name in sums for end in ("hi", "lo")}),
         "step",
         {
-            "n": ("sum", F.col("_n")),
-            "s": ("sum", F.col("_n") * shift),
-            "q": ("sum", F.col("_n") * (F.col("_spread") + shift * shift)),
-            "high": ("max", F.col("_high")),
-            "low": ("max", F.col("_low")),
+            "n": ("sum", F.col("x_n")),
+            "high": ("max", F.col("x_high")),
+            "low": ("max", -F.col("x_low")),
+            **{f"{name}_{end}": ("sum", F.col(f"_{name}_{end}")) for name in sums for end in ("hi", "lo")},
         },
         by=["run_id"],
     )
-    mean = F.try_divide(F.col("s"), F.col("n"))
-    variance = F.try_divide(F.col("q"), F.col("n")) - mean * mean
+    x, s, q = [
+        F.try_divide(grid_value(F.col(f"{name}_hi"), F.col(f"{name}_lo"), F.col(f"_{name}")), F.col("n"))
+        for name in sums
+    ]
     moments = running.select(
         "run_id",
         "step",
-        (F.col("_centre") + mean).alias("running_mean"),
+        x.alias("running_mean"),
         F.when(F.col("high") == -F.col("low"), F.lit(0.0))
-        .otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
+        .otherwise(F.sqrt(F.greatest(q - s * s, F.lit(0.0))))
         .alias("running_std"),
     )
     centred = (reward - F.col("running_mean")) / F.col("running_std")

@@ -380,10 +380,7 @@ def reward_by_step(spark, folder):
 
 def reward_scaled(spark, folder):
     scaled = rollouts.scale_rewards(inputs.rollouts(spark, folder))
-    # The running mean is often an exact half in the seventh place, where the order of additions
-    # would decide the rounding: it is moved off the half.
-    moved = scaled.withColumn("running_mean", F.col("running_mean") + F.lit(1e-8))
-    return _rounded(moved, "running_mean", "running_std", "scaled")
+    return _rounded(scaled, "running_mean", "running_std", "scaled")
 
 
 # --- run logs --------------------------------------------------------------------------------

@@ -575,9 +575,9 @@ FROM cleaned GROUP BY run_id, step""",
         _ROLLOUTS
         + """,
 moments AS (
-  SELECT DISTINCT run_id, step, avg(reward) OVER w AS mean, stddev_pop(reward) OVER w AS std FROM cleaned
-  WINDOW w AS (PARTITION BY run_id ORDER BY step RANGE UNBOUNDED PRECEDING))""",
-        """SELECT run_id, step, slot, reward, round(mean + 1e-8, 6) AS running_mean, round(std, 6) AS running_std,
+  SELECT DISTINCT run_id, step, fsum(reward) OVER w / count(reward) OVER w AS mean, stddev_pop(reward) OVER w AS std
+  FROM cleaned WINDOW w AS (PARTITION BY run_id ORDER BY step RANGE UNBOUNDED PRECEDING))""",
+        """SELECT run_id, step, slot, reward, round(mean, 6) AS running_mean, round(std, 6) AS running_std,
   round(CASE WHEN std = 0 THEN 0.0 ELSE greatest(-3.0, least(3.0, (reward - mean) / std)) END, 6) AS scaled
 FROM cleaned JOIN moments USING (run_id, step)""",
     ),

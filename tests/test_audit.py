@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 
 from prefloom.operators import audit
@@ -56,3 +59,20 @@ def test_score_profile(spark):
 def test_audits_combine_before_the_shuffle(spark):
     plan = audit.label_audit(labelled(spark))._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and plan.count("Exchange") == 1
+
+
+def test_score_profile_by_group_equals_a_loop_whatever_the_partitions(spark):
+    dice = random.Random(4)
+    rows = [(dice.choice(["a", "b", None]), 1e8 + dice.uniform(-1, 1), 1e8 + dice.uniform(-1, 1)) for _ in range(200)]
+    rows += [("a", None, 1.0), ("none", None, None)]
+    frame = spark.createDataFrame(rows, "who STRING, score_chosen DOUBLE, score_rejected DOUBLE")
+    got = [sorted(audit.score_profile(frame.repartition(n), ["who"]).collect(), key=repr) for n in (1, 5)]
+    assert got[0] == got[1] and {r.who for r in got[0]} == {"a", "b", None}
+    for r in got[0]:
+        mine = [(c, j) for who, c, j in rows if who == r.who and c is not None]
+        every = [x for pair in mine for x in pair]
+        mean = math.fsum(every) / len(every)
+        assert r.n_pairs == len(mine) and r.mean_score == pytest.approx(mean, rel=1e-15)
+        assert r.std_score == pytest.approx(math.sqrt(math.fsum((x - mean) ** 2 for x in every) / len(every)), rel=1e-9)
+        assert r.accuracy == pytest.approx(sum(c > j for c, j in mine) / len(mine))
+    assert tuple(audit.score_profile(frame.limit(0)).first()) == (0, None, None, None, 0)
