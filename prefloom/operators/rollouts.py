@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from prefloom.functions import metrics as M
 from prefloom.operators.ordering import running_aggregates, with_position
-from prefloom.operators.sums import exact_sums, grid_limbs, grid_value
+from prefloom.operators.sums import exact_sums, grid_exponent, grid_limbs, grid_value, on_grid
 
 SLOT_KEYS = ["run_id", "step", "slot"]
 
@@ -70,40 +70,50 @@ def scale_rewards(rollouts, clip=M.SCORE_CLIP):
     """Each reward normalised by the statistics of its run up to its step, then clipped.
 
     Rows become sums per step first; the running statistics walk over steps, not rows, and in blocks,
-    so a run that holds most of the data is still spread out. All sums are of integers, so results
-    do not depend on partitions. Squares are of distances from the run's mean, so large rewards of a
-    small spread lose no digits. The deviation is zero only where all rewards so far are equal.
+    so a run that holds most of the data is still spread out. All sums are of integers on a grid
+    2**-57 of the run's range fine, so results do not depend on partitions. Squares are of distances
+    from the run's mean, so large rewards of a small spread lose no digits. The deviation is zero only where all rewards so far are equal.
     """
     cleaned = clean_rewards(rollouts)
     reward = F.col("reward")
-    centre = exact_sums(cleaned, ["run_id"], {"r": reward}).select(
-        "run_id", F.try_divide("r", "r_n").alias("_centre")
+    low, high = F.col("r_low"), F.col("r_high")
+    runs = exact_sums(cleaned, ["run_id"], {"r": reward}).select(
+        "run_id",
+        F.try_divide("r", "r_n").alias("_centre"),
+        grid_exponent(F.greatest(F.abs(low), F.abs(high))).alias("_grid_x"),
+        grid_exponent(high - low).alias("_grid_s"),
+        grid_exponent((high - low) * (high - low)).alias("_grid_q"),
     )
     off = reward - F.col("_centre")
-    per_step = exact_sums(
-        cleaned.join(centre, "run_id"), ["run_id", "step"], {"x": reward, "s": off, "q": off * off}
+    sums = {"x": reward, "s": off, "q": off * off}
+    limbs = {name: (f"_{name}_hi", f"_{name}_lo") for name in sums}
+    grids = [f"_grid_{name}" for name in sums]
+    placed = cleaned.select("run_id", "step", "reward").join(runs, "run_id").withColumns(
+        {f"_{name}": on_grid(column, F.col(f"_grid_{name}")) for name, column in sums.items()}
     )
-    sums = ["x", "s", "q"]
-    largest = per_step.groupBy("run_id").agg(*[F.max(F.abs(F.col(name))).alias(f"_{name}") for name in sums])
-    limbs = [
-        limb for name in sums for limb in grid_limbs(F.col(name), F.col(f"_{name}"), (f"{name}_hi", f"{name}_lo"))
-    ]
-    steps = per_step.join(largest, "run_id").select(
-        "run_id", "step", *[f"_{name}" for name in sums], "x_n", "x_low", "x_high", *limbs
+    cut = placed.select(
+        "run_id", "step", "reward", *grids, *[part for name in sums for part in grid_limbs(F.col(f"_{name}"), limbs[name])]
+    )
+    # The grids are the same in all rows of a run.
+    per_step = cut.groupBy("run_id", "step", *grids).agg(
+        F.count("reward").alias("_n"),
+        F.max("reward").alias("_high"),
+        F.max(-reward).alias("_low"),
+        *[F.sum(part).alias(part) for parts in limbs.values() for part in parts],
     )
     running = running_aggregates(
-        steps.withColumnsRenamed({f"{name}_{end}": f"_{name}_{end}" for name in sums for end in ("hi", "lo")}),
+        per_step,
         "step",
         {
-            "n": ("sum", F.col("x_n")),
-            "high": ("max", F.col("x_high")),
-            "low": ("max", -F.col("x_low")),
-            **{f"{name}_{end}": ("sum", F.col(f"_{name}_{end}")) for name in sums for end in ("hi", "lo")},
+            "n": ("sum", F.col("_n")),
+            "high": ("max", F.col("_high")),
+            "low": ("max", F.col("_low")),
+            **{part[1:]: ("sum", F.col(part)) for parts in limbs.values() for part in parts},
         },
         by=["run_id"],
     )
     x, s, q = [
-        F.try_divide(grid_value(F.col(f"{name}_hi"), F.col(f"{name}_lo"), F.col(f"_{name}")), F.col("n"))
+        F.try_divide(grid_value(F.col(f"{name}_hi"), F.col(f"{name}_lo"), F.col(f"_grid_{name}")), F.col("n"))
         for name in sums
     ]
     moments = running.select(

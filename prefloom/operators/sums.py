@@ -61,7 +61,8 @@ def exact_sums(frame, by, columns):
     # No bit of a value of the band lies below its first power: the value is an integer there.
     whole = _times_power(F.when(finite, x), F.lit(MANTISSA_BITS) - F.col("_band") * BAND_BITS)
     banded = (
-        rows.select(*by, "_i", "_band", "_x", F.when(~finite | F.isnan(x), x).alias("_odd"), *_limbs(whole, names))
+        rows.withColumn("_whole", whole)
+        .select(*by, "_i", "_band", "_x", F.when(~finite | F.isnan(x), x).alias("_odd"), *_limbs(F.col("_whole"), names))
         .groupBy(*by, "_i", "_band")
         .agg(
             F.count("_x").alias("_n"),
@@ -91,19 +92,22 @@ def exact_sums(frame, by, columns):
     return banded.groupBy(*by).agg(*out)
 
 
-def grid_limbs(x, largest, names=("hi", "lo")):
-    """Two integers of a double on a grid 2**-57 of `largest` fine, which is at least its size.
+def grid_exponent(largest):
+    """The exponent of a power of two that is above `largest`, which is not negative; 0 for 0."""
+    return F.when(largest > 0, F.floor(F.log2(largest)) + 2).otherwise(0).cast("bigint")
 
-    Integers of one grid add up in any order, so they serve running sums; `grid_value` reads a sum.
-    """
-    return _limbs(F.round(_times_power(x, 2 * LIMB_BITS - 1 - _exponent(largest))), names)
 
+def on_grid(x, exponent):
+    """x as a whole number of 2**(exponent - 57), for any x below 2**exponent in size."""
+    return F.rint(_times_power(x, F.lit(2 * LIMB_BITS - 1) - exponent))
 
-def grid_value(hi, lo, largest):
-    whole = hi.cast("double") * F.lit(float(1 << LIMB_BITS)) + lo.cast("double")
-    return _times_power(whole, _exponent(largest) - (2 * LIMB_BITS - 1))
 
+def grid_limbs(whole, names):
+    """The two integers of a value on a grid. Integers of one grid add up to the same in any order,
+    so they serve running sums; `grid_value` reads a sum of up to 2**34 values."""
+    return _limbs(whole, names)
 
-def _exponent(largest):
-    """Of a power of two that is not below `largest`; 0 for 0."""
-    return F.when(largest > 0, F.ceil(F.log2(largest)) + 1).otherwise(0).cast("bigint")
+
+def grid_value(hi, lo, exponent):
+    whole = hi.cast("double") * F.lit(float(1 << LIMB_BITS)) + lo.cast("double")
+    return _times_power(whole, exponent - F.lit(2 * LIMB_BITS - 1))

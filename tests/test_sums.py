@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from prefloom.operators.sums import exact_sums, grid_limbs, grid_value
+from prefloom.operators.sums import exact_sums, grid_exponent, grid_limbs, grid_value, on_grid
 
 
 def values():
@@ -53,7 +53,7 @@ def test_odd_values_and_empty_tables(spark):
 
 def test_grid_integers_read_back(spark):
     rows = [v for v in values() if v is not None and abs(v) < 1e13]
-    frame = spark.createDataFrame([(v,) for v in rows], "x DOUBLE").withColumn("m", F.lit(max(map(abs, rows))))
-    cut = frame.select("m", *grid_limbs(F.col("x"), F.col("m"))).groupBy("m").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
-    got = cut.select(grid_value(F.col("hi"), F.col("lo"), F.col("m")).alias("s")).first().s
-    assert got == pytest.approx(math.fsum(rows), rel=1e-12)
+    frame = spark.createDataFrame([(v,) for v in rows], "x DOUBLE")
+    placed = frame.withColumn("e", grid_exponent(F.lit(max(map(abs, rows))))).withColumn("w", on_grid(F.col("x"), F.col("e")))
+    cut = placed.select("e", *grid_limbs(F.col("w"), ("hi", "lo"))).groupBy("e").agg(F.sum("hi").alias("hi"), F.sum("lo").alias("lo"))
+    assert cut.select(grid_value(F.col("hi"), F.col("lo"), F.col("e")).alias("s")).first().s == pytest.approx(math.fsum(rows), rel=1e-12)
