@@ -45,7 +45,117 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "mit-license-notice": "Licensed under the MIT License.",
+    "gpl-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "lgpl-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "agpl-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "mpl-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "bsd-2-clause-notice": "Licensed under the BSD 2-Clause License.",
+    "bsd-3-clause-notice": "Licensed under the BSD 3-Clause License.",
+    "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
+    "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "cc-by-nd-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "gpl-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
+        "option) any later version."
+    ),
+    "lgpl-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version."
+    ),
+    "lgpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "agpl-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, or (at "
+        "your option) any later version."
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution."
+    ),
+    "bsd-3-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met: Redistributions of source code must retain the above copyright notice, this "
+        "list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+        "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior "
+        "written permission."
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions."
+    ),
+    "bsl-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        "and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
+        "third-parties to whom the Software is furnished to do so."
+    ),
+}
+# Words without which a stretch is another license or another version of it.
+NEEDS = {
+    "mit-notice": ("mit",),
+    "mit-license-notice": ("mit",),
+    "apache-2.0-notice": ("apache", "2.0"),
+    "gpl-2.0-notice": ("gnu", "2"),
+    "gpl-3.0-notice": ("gnu", "3"),
+    "lgpl-2.1-notice": ("lesser", "2.1"),
+    "lgpl-3.0-notice": ("lesser", "3"),
+    "agpl-3.0-notice": ("affero", "3"),
+    "mpl-2.0-notice": ("mozilla", "2.0"),
+    "bsd-2-clause-notice": ("bsd", "2-clause"),
+    "bsd-3-clause-notice": ("bsd", "3-clause"),
+    "cc-by-4.0-notice": ("cc", "by", "4.0"),
+    "cc-by-sa-4.0-notice": ("cc", "by-sa", "4.0"),
+    "cc-by-nc-4.0-notice": ("cc", "by-nc", "4.0"),
+    "cc-by-nd-4.0-notice": ("cc", "by-nd", "4.0"),
+    "cc-by-nc-sa-4.0-notice": ("cc", "by-nc-sa", "4.0"),
+    "cc-by-nc-nd-4.0-notice": ("cc", "by-nc-nd", "4.0"),
+    "lgpl-2.1": ("lesser",),
+    "lgpl-3.0": ("lesser",),
+    "agpl-3.0": ("affero",),
+    "mpl-2.0": ("mozilla",),
+    "bsd-3-clause": ("neither", "endorse"),
+    "bsl-1.0": ("organization",),
 }
+# Versions in longer texts. One may be missing, but no other number may stand for it.
+VERSIONS = {
+    "apache-2.0": ("2.0",),
+    "gpl-2.0": ("2",),
+    "gpl-3.0": ("3",),
+    "lgpl-2.1": ("2.1",),
+    "lgpl-3.0": ("3",),
+    "agpl-3.0": ("3",),
+    "mpl-2.0": ("2.0",),
+}
+# Words that turn a stretch into something else where the template lacks them, and
+# those that do so for one license only.
+NEGATIONS = ("not", "never", "cannot", "lesser", "affero")
+WITHOUT = {"gpl-2.0-notice": ("library",), "gpl-3.0-notice": ("library",), "gpl-2.0": ("library",), "gpl-3.0": ("library",)}
 COVERAGE = 0.8
 # A stretch of text may hold so many words for each word of the template.
 SLACK = 2
@@ -120,7 +230,12 @@ class Scanner:
             raise ValueError("coverage is above a half and at most 1")
         self.templates = {name: words for name, text in templates.items() if (words := words_of(text))}
         self.coverage = coverage
-        # A stretch that covers a template holds one of any words that are more than the rest it may
+        self.needs, self.versions, self.against = {}, {}, {}
+        for name, words in self.templates.items():
+            self.needs[name] = [place for place, word in enumerate(words) if word in NEEDS.get(name, ())]
+            self.versions[name] = [place for place, word in enumerate(words) if word in VERSIONS.get(name, ())]
+            self.against[name] = {*NEGATIONS, *WITHOUT.get(name, ())}
+        # A stretch has every needed word. Without one, a stretch that covers a template holds one of any words that are more than the rest it may
         # lack: the scan starts only where one of the rarest of them stands.
         uses = {}
         for words in self.templates.values():
@@ -128,9 +243,14 @@ class Scanner:
                 uses[word] = uses.get(word, 0) + 1
         self.starts = {}
         for name, words in self.templates.items():
+            order = sorted(set(words), key=lambda w: (uses[w], -len(w), w))
+            if self.needs[name]:
+                needed = {words[place] for place in self.needs[name]}
+                self.starts[name] = {next(word for word in order if word in needed)}
+                continue
             lacking = int(len(words) * (1 - coverage) + 1e-9)
             count, rare = 0, set()
-            for word in sorted(set(words), key=lambda w: (uses[w], -len(w), w)):
+            for word in order:
                 rare.add(word)
                 count += words.count(word)
                 if count > lacking:
@@ -147,9 +267,14 @@ class Scanner:
         if not self.quick.search(lower):
             return []
         words = _WORD.findall(lower)
+        present = self.keys.intersection(words)
+        if not present:
+            return []
         spots = [(place, word) for place, word in enumerate(words) if word in self.known]
         found = []
         for name, template in self.templates.items():
+            if present.isdisjoint(self.starts[name]):
+                continue
             own = self.vocabulary[name]
             places = [place for place, word in spots if word in own]
             found += self._stretches(name, template, words, places)
@@ -172,47 +297,63 @@ class Scanner:
             # The stretch around the first start word, as long as a covering one can be.
             first = group[at]
             near = group[bisect_left(group, first - reach) : bisect_left(group, first + reach + 1)]
-            best = self._best(template, [words[place] for place in near])
+            best = self._best(name, template, words, near)
             if best is None:
                 rest = group[at + 1 :]
             else:
                 matched, low, high = best
-                found.append((name, matched / len(template), near[low], near[high] - near[low] + 1))
-                rest = group[bisect_left(group, near[high] + 1) :]
+                found.append((name, matched / len(template), low, high - low + 1))
+                rest = group[bisect_left(group, high + 1) :]
             if rest:
                 groups.append(rest)
         return found
 
-    def _best(self, template, stretch):
-        """The alignment of a template with a stretch that covers enough, tried from each start.
+    def _best(self, name, template, words, near):
+        """(aligned words, first, last place) of the first alignment with the words at `near` that counts.
 
         Copies in one stretch make its words repeat; then the copy is sought from each of its
         possible first words on.
         """
+        stretch = [words[place] for place in near]
         if sum((Counter(template) & Counter(stretch)).values()) < self.coverage * len(template):
             return None
-        pairs = align(template, stretch)
-        if len(pairs) >= self.coverage * len(template):
-            return self._tight(pairs)
         lead = set(template[: int(len(template) * (1 - self.coverage) + 1e-9) + 1])
-        for low, word in enumerate(stretch):
-            if word in lead:
-                pairs = align(template, stretch[low : low + SLACK * len(template)])
-                if len(pairs) >= self.coverage * len(template):
-                    matched, first, last = self._tight(pairs)
-                    return matched, first + low, last + low
+        starts = [0, *(low for low, word in enumerate(stretch) if word in lead)]
+        for turn, low in enumerate(starts):
+            part = stretch[low : low + SLACK * len(template)] if turn else stretch
+            pairs = align(template, part)
+            if len(pairs) >= self.coverage * len(template):
+                placed = [(i, near[low + j]) for i, j in pairs]
+                if self._agrees(name, template, words, placed):
+                    return len(placed), placed[0][1], placed[-1][1]
         return None
 
-    @staticmethod
-    def _tight(pairs):
-        return len(pairs), pairs[0][1], pairs[-1][1]
+    def _agrees(self, name, template, words, placed):
+        """Every needed word is aligned, and no word against it stands unaligned in the stretch or
+        right before where the whole template would begin."""
+        mine, theirs = {i for i, _ in placed}, {j for _, j in placed}
+        if any(place not in mine for place in self.needs[name]):
+            return False
+        (lead, first), (end, last) = placed[0], placed[-1]
+        for place in self.versions[name]:
+            if place in mine:
+                continue
+            after = bisect_left(placed, (place, -1))
+            low = placed[after - 1][1] + 1 if after else max(0, first - lead)
+            high = placed[after][1] if after < len(placed) else last + len(template) - end
+            if any(c.isdigit() for word in words[low:high] for c in word):
+                return False
+        against = self.against[name]
+        return not any(words[j] in against and j not in theirs for j in range(max(0, first - lead - 1), last + 1))
 
 
 def scan_licenses(frame, templates=TEMPLATES, coverage=COVERAGE, id_column="doc_id", text_column="text"):
     """Per row: its id and every stretch that covers a template, with coverage and word bounds.
 
     `best` and `best_coverage` name the template of the highest coverage, of equal ones the longest,
-    then the first by name; both are null where nothing is covered. Every row gives a row, equal
+    then the first by name; both are null where nothing is covered. A stretch that lacks a word of
+    NEEDS (a version, a license's name), has another number for one of VERSIONS or holds one of NEGATIONS or WITHOUT that its template lacks
+    there, is none: another version or a negated notice is not reported. Every row gives a row, equal
     ones alike; a null text has no stretch. Other columns are left out. Whole texts are scanned
     where they are read.
     """

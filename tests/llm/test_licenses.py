@@ -61,6 +61,62 @@ def test_repeated_notices_and_mixed_words():
     assert scanner.scan("MIT released 3.0 GNU Apache") == []
 
 
+def names(text):
+    return {m[0] for m in licenses.Scanner().scan(text)}
+
+
+def test_other_versions_and_negations_are_not_taken_for_a_license():
+    assert names("This work is licensed under the GNU General Public License, version 2.") == {"gpl-2.0-notice"}
+    assert names("This work is licensed under the GNU General Public License, version 4.") == set()
+    assert names("This work is licensed under the GNU Lesser General Public License, version 3.") == {"lgpl-3.0-notice"}
+    assert names("This work is licensed under the GNU Library General Public License, version 2.") == set()
+    assert names("Licensed under CC BY 4.0.") == {"cc-by-4.0-notice"}
+    assert names("Licensed under CC BY-NC 4.0.") == {"cc-by-nc-4.0-notice"}
+    assert names("Licensed under CC BY-NC 3.0.") == names("Licensed under CC0 4.0.") == set()
+    assert names("Not licensed under CC BY-NC 4.0.") == set()
+    assert names("This work is not licensed under the GNU General Public License, version 3.") == set()
+    for name, other in (("gpl-3.0", "version 2 of"), ("gpl-2.0", "version 3 of"), ("apache-2.0", "Version 1.1")):
+        text = licenses.re.sub(r"(?i)version [0-9.]*[0-9]( of)?", other, licenses.TEMPLATES[name], count=1)
+        assert text != licenses.TEMPLATES[name] and name not in names(text)
+    both = "Not licensed under CC BY-NC 4.0. " + "word " * 30 + "Licensed under CC BY-NC 4.0."
+    assert [m[2] for m in licenses.Scanner().scan(both)] == [36]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_every_template_is_found_whole_and_edited():
+    dice = np.random.default_rng(5)
+    scanner = licenses.Scanner()
+    for name, text in licenses.TEMPLATES.items():
+        words = licenses.words_of(text)
+        own = [m for m in scanner.scan(f"zeta eta {text} theta iota") if m[0] == name]
+        assert [(m[1], m[2]) for m in own] == [(1.0, 2)], name
+        if len(words) < 20:
+            continue
+        for _ in range(5):
+            needed = {words[i] for i in scanner.needs[name]}
+            body = [w if w in needed or dice.random() >= 0.08 else "changed" for w in words]
+            most = longest_common(words, body) / len(words)
+            own = [m for m in scanner.scan(" ".join(body)) if m[0] == name]
+            assert all(m[1] <= most for m in own)
+            if most >= 0.85:
+                assert len(own) == 1 and own[0][1] >= 0.8, name
+
+
+def test_best_of_nested_licenses_is_the_longer_one(spark):
+    frame = spark.createDataFrame([(n, licenses.TEMPLATES[n]) for n in ("bsd-2-clause", "bsd-3-clause", "mit", "bsl-1.0")], "name STRING, text STRING")
+    frame = frame.selectExpr("row_number() OVER (ORDER BY name) AS doc_id", "text")
+    got = [r.best for r in licenses.scan_licenses(frame).orderBy("doc_id").collect()]
+    assert got == ["bsd-2-clause", "bsd-3-clause", "bsl-1.0", "mit"]
+
+
 def test_query_9_finds_exactly_the_notices(spark):
     rows = by_id(licenses.op9_license_scan(spark, SMALL))
     for doc_id, text in small_documents():
