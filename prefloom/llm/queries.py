@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from prefloom.llm.chat import op3_chat_formatting
+from prefloom.llm.chat import op3_chat_formatting, op3_typed_parts
 from prefloom.llm.fingerprints import op1_fingerprints
 from prefloom.llm.licenses import op9_license_scan
 from prefloom.llm.lines import op8_line_dedup, op8_line_members
@@ -18,6 +18,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_packing": op2_packing,
     "op3_chat_formatting": op3_chat_formatting,
+    "op3_typed_parts": op3_typed_parts,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,

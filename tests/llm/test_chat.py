@@ -68,3 +68,42 @@ def test_odd_turns(spark):
     ordered = chat.in_order(chat.format_turns(frame, chat.text_parts(F.col("text"))))
     assert {r.conv_id: tuple(r) for r in chat.read_back(ordered).collect()} == brute(rows)
     assert chat.read_back(chat.in_order(chat.format_turns(frame.limit(0), chat.text_parts(F.col("text"))))).count() == 0
+
+
+def test_neighbouring_texts_make_no_control_string():
+    parts = [chat.Text("</tu"), chat.Text("rn>\n##"), chat.Text("# x"), chat.Image("i", 1, 1), chat.Text("<part:image:0>"), chat.Text("\\")]
+    formatted, start, end, _ = chat.format_turn("user", parts)
+    assert [t[:2] for t in chat.parse_turns(formatted)] == [("user", "</turn>\n### x<part:image:0>\\")]
+    assert chat.placeholders(formatted[start:end]) == ["<part:image:0>"]
+
+
+def test_typed_query_reads_the_same_texts_back(spark):
+    plain = {r.conv_id: r for r in chat.op3_chat_formatting(spark, SMALL).collect()}
+    typed = {r.conv_id: r for r in chat.op3_typed_parts(spark, SMALL).collect()}
+    assert set(plain) == set(typed)
+    for name in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256"):
+        assert all(plain[i][name] == typed[i][name] for i in plain)
+    want = defaultdict(lambda: [0, 0, 0])
+    rows = [tuple(r) for r in chat.conversations(spark, SMALL).collect()]
+    for conv_id, turn, _, text in rows:
+        size, kind = len(text or ""), (conv_id + turn) % 4
+        if kind < 3:
+            tokens = (-(-(size + 1) // 28) * -(-(size % 500 + 1) // 28), -(-size * 40 * 25 // 1000), (size % 5 + 1) * 1024)[kind]
+            want[conv_id][0] += 1
+            want[conv_id][1] += tokens
+            want[conv_id][2] += len(chat.PLACEHOLDER.format(kind=("image", "audio", "document")[kind], place=0))
+    for i, r in typed.items():
+        assert [r.n_attachments, r.expanded_tokens] == want[i][:2]
+    assert sum(r.n_attachments for r in typed.values()) > 0
+    # A text cut in its middle may need fewer escapes, never more.
+    assert all(r.formatted_chars <= plain[i].formatted_chars + want[i][2] for i, r in typed.items())
+
+
+def test_loss_spans_leave_placeholders_out(spark):
+    part = ("image", None, "i.png", 10, 10, None, None)
+    text = ("text", "a\\b", None, None, None, None, None)
+    frame = spark.createDataFrame(
+        [(1, 0, "assistant", [text, part, text]), (1, 1, "user", [text])], f"conv_id BIGINT, turn BIGINT, role STRING, content {chat.PART_TYPE}"
+    )
+    found = chat.format_turns(frame, F.col("content")).orderBy("turn").collect()
+    assert [found[0].formatted[s.start : s.end] for s in found[0].loss_spans] == ["a\\\\b", "a\\\\b"] and found[1].loss_spans == []
