@@ -53,8 +53,10 @@ def _hashed(words, seed):
 
 
 def _tokens(batch):
-    texts = pc.replace_substring_regex(pc.ascii_lower(texts_of(batch)), ENDS, f" {MARK} ")
-    return words_of(texts)
+    # Lowered last: Arrow's ascii_lower reads the wrong bytes of an array whose first offset is not 0,
+    # as a later slice of a batch has once it is cast; the array that the replacement builds has 0.
+    texts = pc.replace_substring_regex(texts_of(batch), ENDS, f" {MARK} ")
+    return words_of(pc.ascii_lower(texts))
 
 
 def _texts(frame, id_column, text_column, lang_column):

@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from prefloom.llm import phrases
+from prefloom.llm.common import STEP_BYTES
 from tests.llm.helpers import SMALL, no_documents, odd_documents
 
 
@@ -78,3 +79,11 @@ def test_odd_rows(spark):
     want = brute([(r.text, r.lang) for r in frame.collect()], support=2)
     assert rows(phrases.phrases(frame, support=2)) == want and want
     assert phrases.phrases(no_documents(spark)).count() == 0
+
+
+def test_texts_of_several_steps_are_all_read(spark):
+    # Rows without nulls in one partition, more bytes than one vectorised step takes.
+    texts = [(f"{'x' * (STEP_BYTES // 3)}{n % 4} One Two, two THREE Four. One two three\nÉa é{n % 2}", "en" if n % 2 else "de") for n in range(12)]
+    frame = spark.createDataFrame(texts, "text STRING, lang STRING").coalesce(1)
+    want = brute(texts, support=2)
+    assert rows(phrases.phrases(frame, support=2)) == want and {row[0] for row in want} == {"de", "en"}
