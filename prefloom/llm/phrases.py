@@ -4,8 +4,9 @@ A text's words are cut into chunks where the hash of two neighbouring words says
 content alone: passages that repeat are cut alike and share chunks. A chunk holds the words up to the
 next cut and, as context, the few behind it; an n-gram belongs to the chunk it starts in, so
 overlaps count once. Distinct chunks and how often the parse uses them are the dictionary; n-grams are
-counted in distinct chunks and weighted. Each length counts only what two frequent n-grams of
-the length before overlap in.
+counted in distinct chunks and weighted. Pairs are counted where both words are frequent. All longer
+lengths are counted in one pass: a row holds the words from one place on, as far as they are joined
+by frequent pairs, and counts for each length that it begins with.
 
 Words are 64-bit hashes while counting; the hash function is changed until no two words of a
 language share a value, so counts are exact.
@@ -137,13 +138,15 @@ def _lang_hashes(langs):
     return np.array([xxhash.xxh64_intdigest(x or "", 7) for x in langs.to_pylist()], dtype=np.uint64).view(np.int64)
 
 
-def grams(dictionary, length, shorter=None):
-    """(lang, w0, w1, ..., n): n-grams of a length and how often all texts hold them.
+def starts(dictionary, length, shorter=None, longest=None):
+    """(lang, w0, w1, ..., n): the n-grams of a length, with the words behind them up to `longest` words.
 
-    `shorter` is the broadcast filter of frequent n-grams that are one word shorter; only n-grams
-    of which both the first and the last words are in it are counted.
+    At most one row for each word of a chunk. `shorter` is the broadcast filter of frequent n-grams
+    that are one word shorter: a row holds all words up to the first of which no such n-gram ends in
+    the filter, and rows of fewer than `length` words are left out. 0 stands for no word.
     """
-    names = [f"w{i}" for i in range(length)]
+    longest = longest or length
+    names = [f"w{i}" for i in range(longest)]
 
     def run(batches):
         filters = None if shorter is None else np.frombuffer(shorter.value, dtype=np.uint8)
@@ -167,7 +170,16 @@ def grams(dictionary, length, shorter=None):
             hashes = _lang_hashes(langs)[lang] if len(langs) else np.zeros(0, np.int64)
             if filters is not None:
                 kept = _marked(filters, hashes, keys[:-1]) & _marked(filters, hashes, keys[1:])
-                row, lang, hashes, keys = row[kept], lang[kept], hashes[kept], [key[kept] for key in keys]
+                at, row, lang, hashes, keys = at[kept], row[kept], lang[kept], hashes[kept], [key[kept] for key in keys]
+            # The rows whose next word still belongs to them.
+            going = np.arange(len(at))
+            for i in range(length, longest):
+                going = going[at[going] + i < (first + sizes)[row[going]]]
+                word = flat[at[going] + i]
+                kept = (word != 0) & _marked(filters, hashes[going], [*[key[going] for key in keys[i - length + 2 :]], word])
+                going = going[kept]
+                keys.append(np.zeros(len(at), np.int64))
+                keys[i][going] = word[kept]
             n = batch.column("uses").to_numpy()[row]
             # Equal n-grams stand together after sorting by a mixture of them.
             order = np.argsort(mixed(hashes, *keys), kind="stable") if len(n) else np.zeros(0, np.int64)
@@ -185,7 +197,25 @@ def grams(dictionary, length, shorter=None):
             )
 
     schema = ", ".join(["lang STRING", *[f"{name} BIGINT" for name in names], "n BIGINT"])
-    return dictionary.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    return dictionary.mapInArrow(run, schema)
+
+
+def grams(dictionary, length, shorter=None, longest=None):
+    """(lang, w0, w1, ..., n): n-grams of `length` to `longest` words and how often all texts hold them.
+
+    Shorter ones end in zeros. `shorter` is as in `starts`: only n-grams all of whose parts of
+    `length` - 1 words are in it are counted.
+    """
+    longest = longest or length
+    names = [f"w{i}" for i in range(longest)]
+    rows = starts(dictionary, length, shorter, longest)
+    if longest > length:
+        words = F.lit(length)
+        for name in names[length:]:
+            words += F.when(F.col(name) != 0, 1).otherwise(0)
+        rows = rows.withColumn("words", F.explode(F.sequence(F.lit(length), words)))
+        rows = rows.withColumns({name: F.when(F.col("words") > i, F.col(name)).otherwise(0) for i, name in enumerate(names)})
+    return rows.groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def filter_of(frequent, length):
@@ -228,15 +258,14 @@ def phrases(frame, longest=LONGEST, support=SUPPORT, top=TOP, chunk_words=CHUNK_
     dictionary = stored(spark, parse(rows, seed, chunk_words, longest))
     single = stored(spark, grams(dictionary, 1))
     totals = single.groupBy("lang").agg(F.sum("n").alias("total"))
-    frequent, listed, chosen = single.where(F.col("n") >= support), [], None
-    for length in range(1, longest + 1):
-        if length > 1:
+    frequent = single.where(F.col("n") >= support)
+    known = frequent.select("lang", F.array("w0").alias("key"), "n")
+    for length, end in [(2, 2), (3, longest)]:
+        if length <= longest:
             chosen = filter_of(frequent, length - 1)
-            frequent = stored(spark, grams(dictionary, length, chosen).where(F.col("n") >= support))
-        listed.append(frequent.select("lang", F.array(*[f"w{i}" for i in range(length)]).alias("key"), "n"))
-    known = listed[0]
-    for more in listed[1:]:
-        known = known.unionAll(more)
+            frequent = stored(spark, grams(dictionary, length, chosen, end).where(F.col("n") >= support))
+            held = F.array(*[f"w{i}" for i in range(end)])
+            known = known.unionAll(frequent.select("lang", F.array_remove(held, F.lit(0).cast("bigint")).alias("key"), "n"))
     known = stored(spark, known)
     candidates = known.where(F.size("key") > 1).select("lang", "key", F.col("n").alias("a"))
     # A longer phrase found as often holds one that is a single word longer and as often, too.

@@ -87,3 +87,42 @@ def test_texts_of_several_steps_are_all_read(spark):
     frame = spark.createDataFrame(texts, "text STRING, lang STRING").coalesce(1)
     want = brute(texts, support=2)
     assert rows(phrases.phrases(frame, support=2)) == want and {row[0] for row in want} == {"de", "en"}
+
+
+def test_longer_phrases_are_counted_in_one_pass(spark, monkeypatch):
+    # Every n-gram is frequent: a pass for each length would make three rows for most words.
+    text = " ".join(f"w{n}" for n in range(300))
+    texts = [(text, "en"), (text, "fr"), ("a b c d e, f g h. i j a b c", "en")] * 2
+    frame = spark.createDataFrame(texts, "text STRING, lang STRING")
+    asked, filter_of = [], phrases.filter_of
+
+    def noted(frequent, length):
+        asked.append((length, filter_of(frequent, length)))
+        return asked[-1][1]
+
+    monkeypatch.setattr(phrases, "filter_of", noted)
+    assert rows(phrases.phrases(frame, support=2)) == brute(texts, support=2)
+    assert [length for length, _ in asked] == [1, 2]
+    dictionary = phrases.parse(frame, 0)
+    made = phrases.starts(dictionary, 3, asked[1][1], 5).collect()
+    # One row for each place that two more words follow in its piece, and none for another one.
+    assert len(made) == 298 + 298 + 3 + 1 + 3
+    assert sum(r.n for r in made) == 2 * (298 + 298 + 3 + 1 + 3)
+
+
+def test_counts_of_several_lengths(spark):
+    texts = ["a b c d e f a b c d", "b c d x b c d", "c d, e f a b c"]
+    frame = spark.createDataFrame([(text, "en") for text in texts], "text STRING, lang STRING")
+    dictionary = phrases.parse(frame, 0, 2)
+    pairs = phrases.grams(dictionary, 2).where("n >= 2")
+    names = {r.hash: r.word for r in phrases.vocabulary(frame, 0).collect()}
+    want, often = Counter(), Counter()
+    for n in range(2, 6):
+        for words in [piece.split() for text in texts for piece in text.split(",")]:
+            often.update(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+    for key, n in often.items():
+        if len(key) > 2 and all(often[key[i : i + 2]] > 1 for i in range(len(key) - 1)):
+            want[key] = n
+    found = phrases.grams(dictionary, 3, phrases.filter_of(pairs, 2), 5).collect()
+    got = {tuple(names[x] for x in r[1:-1] if x): r.n for r in found}
+    assert got == want and len(got) == len(found) and max(map(len, got)) == 5
